@@ -1,10 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import exact_dedup, line_dedup
+from . import chat, exact_dedup, license_scan, line_dedup, secret_scan
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLES = {
