@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, exact_dedup, license_scan, line_dedup, near_dedup, secret_scan
+from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, secret_scan
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
