@@ -17,6 +17,9 @@ _powers: dict[int, np.ndarray] = {}
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) mod 2^64, kept for the next call."""
@@ -65,11 +68,17 @@ class Words:
     """Words of a slice of texts: ``start``/``end`` (bytes), ``doc`` (row), ``first``
     (row -> its first word; one more entry at the end), ``hash``."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
-        if lower:
+    def __init__(self, texts: pa.Array, keep_case: bool = False):
+        """keep_case: ``raw`` keeps capital letters; hashes then lower ASCII and Latin-1 only."""
+        if not keep_case:
             texts = pc.utf8_lower(pc.fill_null(texts, ""))
         self.raw, self.off = flat(texts)
         raw, n = self.raw, len(self.raw)
+        if keep_case:
+            raw = _LOWER[raw]
+            latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
+            latin = latin[(raw[latin] >= 0x80) & (raw[latin] <= 0x9E) & (raw[latin] != 0x97)]
+            raw[latin] += 0x20
         letter = WORD_BYTE[raw]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = letter[:-1], letter[1:]
