@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, secret_scan
+from . import bpe, chat, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, secret_scan
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_bpe_encode": bpe.op4_bpe_encode,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_secret_scan": secret_scan.op7_secret_scan,
