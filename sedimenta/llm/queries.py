@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import bpe, chat, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, secret_scan
+from . import bpe, chat, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe_encode": bpe.op4_bpe_encode,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_array_dedup": suffix_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }

@@ -112,9 +112,14 @@ def runs(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
         for j in range(k):
             out = out * np.uint64(_BASE) + h[at + j]
         return at, mix(out)
+    return at, stretches(h, at, at + k)
+
+
+def stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of word hashes h[start:end]."""
     sums = np.zeros(len(h) + 1, dtype=np.uint64)
     np.cumsum(h * powers(_BASE, len(h)), out=sums[1:])
-    return at, mix((sums[at + k] - sums[at]) * powers(_INVERSE, len(h) + 1)[at])
+    return mix((sums[end] - sums[start]) * powers(_INVERSE, len(h) + 1)[start])
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +131,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(words.first)
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        sums = np.zeros(len(words.hash) + 1, dtype=np.uint64)
-        np.cumsum(words.hash * powers(_BASE, len(words.hash)), out=sums[1:])
-        a, b = words.first[short], words.first[short + 1]
-        h = np.concatenate([h, mix((sums[b] - sums[a]) * powers(_INVERSE, len(sums))[a])])
+        h = np.concatenate([h, stretches(words.hash, words.first[short], words.first[short + 1])])
         doc = np.concatenate([doc, short])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
