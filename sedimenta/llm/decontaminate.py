@@ -14,27 +14,35 @@ from .common import fresh
 from .texthash import Words, runs, slices
 
 RADIUS = 7
-BLOCKS = RADIUS + 1  # by pigeonhole, fingerprints within RADIUS agree in one of RADIUS + 1 blocks
+BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by one bit at most in one of four blocks
+_NEAR = np.concatenate([[0], 1 << np.arange(BITS)])
 STEP = 1.25  # ratio of neighbouring window sizes
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, distance int, similarity double"
 
 
-def bit_sums(h: np.ndarray) -> np.ndarray:
-    """(words + 1, 64): running sums of +1 and -1 for the bits of the word hashes."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
-    out = np.zeros((len(h) + 1, 64), dtype=np.int32)
-    np.cumsum(2 * bits - 1, axis=0, dtype=np.int32, out=out[1:])
+def bit_sums(h: np.ndarray, kind: type) -> np.ndarray:
+    """(words + 1, 64): running sums of +1 and -1 for the bits of the word hashes, which may
+    wrap around: differences over windows that ``kind`` can count are right all the same."""
+    out = np.zeros((len(h) + 1, 64), dtype=kind)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
+    bits += bits
+    bits -= 1
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
     return out
 
 
-def simhash(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of ``size`` words that begin at ``at``."""
-    return np.packbits(sums[at + size] > sums[at], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+def simhash(sums: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all windows of ``size`` words."""
+    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def sum_kind(longest: int) -> type:
+    return np.int8 if longest < 128 else np.int16 if longest < 1 << 15 else np.int32
 
 
 class ItemIndex:
     """All items: their word hashes, shingle weights, and for each window size the
-    fingerprints of the items' windows, found by any of eight 8-bit blocks."""
+    fingerprints of the items' windows, found by any of four 16-bit blocks."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int):
         words = Words(pa.array([t for _, t in items], pa.string()))
@@ -47,7 +55,8 @@ class ItemIndex:
         self.counts, self.total = sets, [sum(n * self.weights[s] for s, n in c.items()) for c in sets]
         lengths = sorted({len(w) for w in self.words if len(w)})
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, list]]] = {}
-        sizes, at = [], 0
+        self.kind = sum_kind(max(lengths, default=0))
+        sizes: list[int] = []
         for n in lengths:
             if not sizes or n > sizes[-1] * STEP:
                 sizes.append(n)
@@ -56,17 +65,19 @@ class ItemIndex:
             prints, who, where = [], [], []
             for k, w in enumerate(self.words):
                 if size <= len(w) < most:
-                    sums = bit_sums(w)
+                    mine = simhash(bit_sums(w, self.kind), size)
                     for at in sorted({0, len(w) - size}):  # an item a little longer has two windows, which cover it
-                        prints.append(simhash(sums, np.array([at]), size)[0])
+                        prints.append(mine[at])
                         who.append(k)
                         where.append(at)
             prints, who, where = np.array(prints, dtype=np.uint64), np.array(who), np.array(where)
             tables = []
             for b in range(BLOCKS):
-                block = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                tables.append((np.searchsorted(block[order], np.arange(257)), order))
+                block = ((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                probes = (block[:, None] ^ _NEAR).reshape(-1)
+                order = np.argsort(probes, kind="stable")
+                first = np.searchsorted(probes[order], np.arange((1 << BITS) + 1))
+                tables.append((np.diff(first) > 0, first, order // len(_NEAR)))
             self.classes[size] = (prints, who, where, tables)
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
@@ -77,16 +88,17 @@ class ItemIndex:
         """(window, entry, distance) of all pairs within RADIUS."""
         mine, _, _, tables = self.classes[size]
         found = []
-        for b, (first, order) in enumerate(tables):
-            block = ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        for b, (any_at, first, order) in enumerate(tables):
+            hit = np.flatnonzero(any_at[blocks[:, b]])
+            block = blocks[hit, b].astype(np.int64)
             n = first[block + 1] - first[block]
-            win = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[block], n)
-            entry = order[at]
+            win = np.repeat(hit, n)
+            entry = order[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[block], n)]
             distance = np.bitwise_count(prints[win] ^ mine[entry])
             ok = distance <= RADIUS
             found.append(np.stack([win[ok], entry[ok], distance[ok]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        return np.unique(np.concatenate(found), axis=0)
 
     def similarity(self, k: int, h: np.ndarray) -> float:
         """Share of the item's shingle weight that the words ``h`` hold."""
@@ -100,7 +112,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     Windows of the items' sizes (in steps of a quarter; an item between two sizes has
     two windows, its first and last words) slide over every word of every document.
     Their 64-bit SimHashes over the words come from differences of running sums.
-    Multi-index search over eight 8-bit blocks finds all item windows within Hamming distance 7. For
+    Multi-index search over four 16-bit blocks, each within one bit, finds all item windows
+    within Hamming distance 7. For
     each, the stretch of the item's length is verified: the share of the item's
     weighted ``shingle``-word runs that it has, rare ones (over the whole benchmark) weighing
     more, must reach ``threshold``. The most similar place is reported, ties by the first.
@@ -121,16 +134,18 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             for part in slices(batch, "text", 1 << 19):
                 words = Words(part["text"])
                 best: dict[tuple[int, int | None], tuple] = {}
-                sums = bit_sums(words.hash)
+                sums = bit_sums(words.hash, index.kind)
                 tried = set()
                 for size, (_, who, where, _) in index.classes.items():
                     n = len(words.hash) - size + 1
                     if n <= 0:
                         continue
-                    at = np.flatnonzero(words.doc[:n] == words.doc[size - 1 :])
-                    for win, entry, distance in index.near(size, simhash(sums, at, size)).tolist():
-                        k, row = int(who[entry]), int(words.doc[at[win]])
-                        lo = max(int(at[win]) - int(where[entry]), int(words.first[row]))
+                    inside = words.doc[:n] == words.doc[size - 1 :]
+                    for win, entry, distance in index.near(size, simhash(sums, size)).tolist():
+                        if not inside[win]:
+                            continue
+                        k, row = int(who[entry]), int(words.doc[win])
+                        lo = max(win - int(where[entry]), int(words.first[row]))
                         hi = min(lo + len(index.words[k]), int(words.first[row + 1]))
                         if (k, lo, distance) in tried:
                             continue
