@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -16,8 +18,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-@query("scan_filter_conj", "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 100000 and o_orderstatus = 'F'")
-def _scan_filter_conj(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 100000 and o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
