@@ -118,6 +118,9 @@ def aligned(df: DataFrame, fields: list[Field], keep_row_id: bool) -> DataFrame:
         raise InvalidInput(f"columns that aren't there: {sorted(unknown)}")
     if keep_row_id and ROW_ID not in given:
         raise InvalidInput(f"{ROW_ID} is missing")
+    for f in fields:  # in order, so a default may use one before it
+        if f.name not in given and f.default is not None:
+            df = df.withColumn(f.name, F.expr(f.default).cast(f.kind))
     out: list[Column] = [F.col(ROW_ID)] if keep_row_id else []
     for f in fields:
         if f.name in given:
@@ -126,7 +129,7 @@ def aligned(df: DataFrame, fields: list[Field], keep_row_id: bool) -> DataFrame:
                 raise InvalidInput(f"{f.name} is {got.simpleString()}, not {f.kind.simpleString()}")
             value = F.col(f"`{f.name}`")
         elif f.default is not None:
-            value = F.expr(f.default).cast(f.kind)
+            value = F.col(f"`{f.name}`")
         elif f.nullable:
             value = F.lit(None).cast(f.kind)
         else:
