@@ -64,6 +64,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def byte_sums(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums that part_hashes takes differences of."""
+    out = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(raw)), out=out[1:])
+    return out
+
+
+def part_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
+    return mix((sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start])
+
+
 class Words:
     """Words of a slice of texts: ``start``/``end`` (bytes), ``doc`` (row), ``first``
     (row -> its first word; one more entry at the end), ``hash``."""
@@ -88,14 +100,12 @@ class Words:
         self.end = np.flatnonzero(letter & ~after) + 1
         self.first = np.searchsorted(self.start, self.off)
         self.doc = np.repeat(np.arange(len(self.off) - 1), np.diff(self.first))
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.sums[1:])
+        self.sums = byte_sums(raw)
         self.hash = self.part(self.start, self.end)
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the byte ranges."""
-        inverse = powers(_INVERSE, len(self.raw) + 1)
-        return mix((self.sums[end] - self.sums[start]) * inverse[start])
+        return part_hashes(self.sums, start, end)
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each run of ``k`` words inside a row."""
