@@ -24,8 +24,9 @@ def _slot(h: np.ndarray, salt: int, bits: int) -> np.ndarray:
 
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
-    """(row, feature) pairs, with repetitions: each word, its first four and five bytes, and
-    the two bytes after it together with whether it is in capitals."""
+    """(row, feature) pairs, with repetitions: each word, its first four and five bytes,
+    the two bytes after it together with whether it is in capitals, and whether it is the
+    second or a later one of equal words in a row."""
     w = Words(texts, keep_case=True)
     raw = np.concatenate([w.raw, np.zeros(2, np.uint8)])
     s, e = w.start, w.end
@@ -33,12 +34,21 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     tail = np.where(e < last, raw[e], 0).astype(np.uint64) | np.where(e + 1 < last, raw[e + 1], 0).astype(np.uint64) << np.uint64(8)
     capital = (raw[s] >= 65) & (raw[s] <= 90) & (raw[np.minimum(s + 1, e - 1)] >= 65) & (raw[np.minimum(s + 1, e - 1)] <= 90) & (e - s > 1)
     tail |= capital.astype(np.uint64) << np.uint64(16)
-    parts = [w.hash, w.part(s, np.minimum(s + 4, e)), w.part(s, np.minimum(s + 5, e)), tail]
-    return np.tile(w.doc, 4), np.concatenate([_slot(h, no + 1, TEXT_BITS) for no, h in enumerate(parts)]), w
+    again = echoes(w)
+    third = again & np.append(False, again[:-1])
+    parts = [w.hash, w.part(s, np.minimum(s + 4, e)), w.part(s, np.minimum(s + 5, e)), tail, again.astype(np.uint64) + third]
+    return np.tile(w.doc, 5), np.concatenate([_slot(h, no + 1, TEXT_BITS) for no, h in enumerate(parts)]), w
+
+
+def echoes(w: Words) -> np.ndarray:
+    """Whether each word equals the one before it in its text."""
+    out = np.zeros(len(w.hash), dtype=bool)
+    out[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+    return out
 
 
 def meta_features(part: pa.RecordBatch, w: Words) -> np.ndarray:
-    """(rows, 9) slots: language, source, size, and the shape of the page in buckets."""
+    """(rows, 10) slots: language, source, size, and the shape of the page in buckets."""
     rows = part.num_rows
     n = np.maximum(np.diff(w.off), 1)
     counts = np.zeros((rows, 6))
@@ -50,7 +60,7 @@ def meta_features(part: pa.RecordBatch, w: Words) -> np.ndarray:
     chars = part["n_chars"].to_numpy(zero_copy_only=False).astype(float)
     size = np.where(np.isnan(chars) | (chars < 0), -1, np.floor(np.log2(np.maximum(chars, 1))))
     lines = np.minimum(np.floor(2 * np.log2(n / (counts[:, 5] + 1) + 1)), 40)
-    cols = [size, np.floor(40 * share[:, 4]), np.floor(20 * share[:, 1]), np.floor(20 * share[:, 2]), lines, np.floor(2 * (n - counts[:, 3]) / words).clip(0, 60), np.floor(np.log2(words))]
+    cols = [size, np.floor(40 * share[:, 4]), np.floor(20 * share[:, 1]), np.floor(20 * share[:, 2]), lines, np.floor(2 * (n - counts[:, 3]) / words).clip(0, 60), np.floor(np.log2(words)), np.ceil(20 * np.bincount(w.doc[echoes(w)], minlength=rows) / words)]
     codes = [(c + 2).astype(np.uint64) for c in cols]
     for name in ("lang", "source"):
         codes.append(_names(part[name]))

@@ -1,0 +1,173 @@
+"""Decontamination, licences and secrets on planted cases and against brute force."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from sedimenta.llm import decontaminate, license_scan, secret_scan
+from sedimenta.llm.texthash import Words
+
+DOCS = "doc_id bigint, text string, item_id string, leak string"
+
+
+def prose(rng, n):
+    return [f"v{rng.randrange(2000)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def leaky():
+    rng = random.Random(9)
+    items = [(i, " ".join(prose(rng, rng.randrange(8, 60)))) for i in range(40)]
+    rows = []
+    for d in range(120):
+        words = prose(rng, rng.randrange(0, 300))
+        if d % 4 == 0:
+            leak = items[d % 40][1].split()
+            if d % 8 == 0 and len(leak) > 30:
+                leak[len(leak) // 2] = "changed"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = leak
+        rows.append((d, " ".join(words).upper() if d % 3 else " ".join(words)))
+    return items, rows
+
+
+def similarity(items, k, words):
+    """The share of an item's weighted shingles in a stretch of words, written again from its definition."""
+
+    def grams(w):
+        n = min(3, len(w))
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter()
+
+    sets = [grams(t.split()) for _, t in items]
+    df = Counter(g for s in sets for g in s)
+    weight = {g: math.log(1 + len(items) / n) for g, n in df.items()}
+    have = grams(words)
+    return sum(min(n, have[g]) * weight[g] for g, n in sets[k].items()) / sum(n * weight[g] for g, n in sets[k].items())
+
+
+def test_decontamination_equals_brute_force(spark, leaky):
+    items, rows = leaky
+    want = set()
+    for d, text in rows:
+        words = text.lower().split()
+        for k, (i, t) in enumerate(items):
+            n = len(t.split())
+            if any(similarity(items, k, words[p : p + n]) >= 0.6 for p in range(max(0, len(words) - n + 1)) if set(words[p : p + n]) & set(t.split()[:3] + t.split()[-3:])):
+                want.add((d, i))
+    df = spark.createDataFrame([(d, t, None, None) for d, t in rows], DOCS)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.benchmark_leaks(df, bench).collect()
+    have = {(r["doc_id"], r["item_id"]) for r in found}
+    assert have == want and {(d, d % 40) for d in range(0, 120, 8) if len(items[d % 40][1].split()) <= 30} <= have
+    for r in found:
+        words = dict(rows)[r["doc_id"]].lower().split()
+        assert math.isclose(similarity(items, r["item_id"], words[r["start_word"] : r["end_word"]]), r["similarity"], abs_tol=1e-6)
+    kept = decontaminate.decontaminate(df, bench)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_index_finds_all_within_radius():
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(f"u{x}" for x in rng.integers(0, 10**6, 20))) for i in range(50)]
+    index = decontaminate.ItemIndex(items, 3)
+    (size, (mine, *_)), = index.classes.items()
+    prints = []
+    for p in mine:
+        flips = rng.choice(64, rng.integers(0, 11), replace=False)
+        prints.append(p ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0)))
+    prints = np.array(prints, dtype=np.uint64)
+    want = {(a, b) for a in range(len(prints)) for b in range(len(mine)) if int(prints[a] ^ mine[b]).bit_count() <= decontaminate.RADIUS}
+    assert {(a, b) for a, b, _ in index.near(size, prints).tolist()} == want and len(want) > 20
+
+
+def test_running_sums_wrap_right():
+    words = Words(pa.array([" ".join(f"t{i}" for i in range(500))]))
+    for size in (1, 30, 127):
+        small = decontaminate.simhash(decontaminate.bit_sums(words.hash, np.int8), size)
+        assert np.array_equal(small, decontaminate.simhash(decontaminate.bit_sums(words.hash, np.int32), size))
+
+
+def test_decontamination_odd(spark, leaky):
+    items, _ = leaky
+    bench = spark.createDataFrame([*items[:3], (3, None), (4, ""), (5, "..."), (None, "a b c d e f"), (6, items[0][1])], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, None, None, None), (2, "", None, None), (None, "x " + items[0][1] + " y", None, None), (3, "a b c d e f", None, None), (3, "a b c d e f", None, None)], DOCS)
+    found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_leaks(df, bench).collect()), key=str)
+    assert found == [(3, None), (3, None), (None, 0), (None, 6)]
+    assert decontaminate.decontaminate(df, bench).count() == 3
+    assert decontaminate.benchmark_leaks(df, bench.limit(0)).count() == 0 == decontaminate.benchmark_leaks(df.limit(0), bench).count()
+
+
+def test_automaton_statistics():
+    rng = random.Random(2)
+    seqs = [[rng.randrange(4) for _ in range(30)] for _ in range(3)]
+    auto = license_scan.SuffixAutomaton(seqs)
+    text = [rng.randrange(5) for _ in range(200)]
+
+    def inside(part):
+        return any(s[i : i + len(part)] == part for s in seqs for i in range(len(s)))
+
+    for at, length, state in auto.statistics(text, 0):
+        assert length == max(n for n in range(at + 2) if inside(text[at + 1 - n : at + 1]))
+        for no, end in auto.ends[state] if length else []:
+            assert seqs[no][end - length : end] == text[at + 1 - length : at + 1]
+
+
+def test_licences(spark):
+    mit = license_scan.TEMPLATES["MIT"][2]
+    words = mit.split()
+    edited = " ".join(w for i, w in enumerate(words) if i % 17)
+    texts = {
+        1: "intro words " + mit + " tail words",
+        2: "İ " + edited.upper(),
+        3: "free software is good and copies of the Software are nice",
+        4: "Licensed under the Apache License, Version 2.0. and then Licensed under the MIT License.",
+        5: None,
+        6: "",
+        7: "x " * 100_000 + mit,
+    }
+    df = spark.createDataFrame([(i, t, "c") for i, t in texts.items()] + [(None, texts[4], "c")], "doc_id bigint, text string, license string")
+    found = license_scan.scan_licenses(df).collect()
+    names = sorted(((r["doc_id"], r["license"]) for r in found), key=str)
+    assert names == sorted([(1, "MIT"), (2, "MIT"), (4, "Apache-2.0"), (4, "MIT"), (7, "MIT"), (None, "Apache-2.0"), (None, "MIT")], key=str)
+    full = next(r for r in found if r["doc_id"] == 1)
+    assert texts[1][full["start"] : full["end"]].startswith("Permission is hereby") and full["coverage"] == 1.0
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("db_password = 'hX9$kq2LmZ81vbTr'", ["db_password"]),
+        ('{"apiKey": "a81bc81bd0e24e6f9a77"}', ["apiKey"]),
+        ("const secret: string = `q8Zr71LmPx92KdTe`;", ["secret"]),
+        ("export AUTH_TOKEN=9f8e7d6c5b4a39281706f5e4", ["AUTH_TOKEN"]),
+        ("part = 'q8Zr71Lm'\ntoken = part + \"Px92KdTe55\"", ["token"]),
+        ("key = 'value one two'\ncolor: red", []),
+        ("password = 'changeme'\ntoken: ${TOKEN}\npassword == 'hX9$kq2LmZ81vbTr'", []),
+        ("no assignments at all", []),
+        ("max_tokens = 123456789012", []),
+    ],
+)
+def test_secrets(text, names):
+    assert [f[0] for f in secret_scan.findings(text, 0.6)] == names
+
+
+def test_secret_table(spark):
+    text = "user = 'bob'\npassword = 'hX9$kq2LmZ81vbTr'\n"
+    rows = [(1, text, "c"), (1, text, "c"), (None, text, "c"), (2, None, "c"), (3, "", "c"), (4, "x=1 " * 50_000 + "\n" + text, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, name string")
+    found = secret_scan.scan_secrets(df).collect()
+    assert sorted((str(r["doc_id"]), r["name"]) for r in found) == [("1", "password"), ("1", "password"), ("4", "password"), ("None", "password")]
+    assert all("kq2Lm" not in str(r.asDict()) for r in found)
+    assert next(text[r["start"] : r["end"]] for r in found if r["doc_id"] == 1) == "'hX9$kq2LmZ81vbTr'"
+    assert secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_propagated(spark):
+    text = "base = 'q8Zr71Lm'\nclient_secret = f\"{base}-Px92KdTe55\"\nclient_secret += 'zz9'"
+    found = list(secret_scan.findings(text, 0.6))
+    assert [f[0] for f in found] == ["client_secret", "client_secret"] and all(f[-1] for f in found)
