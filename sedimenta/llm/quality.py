@@ -128,7 +128,7 @@ class View:
     def scores(self, row: np.ndarray, col: np.ndarray, rows: int) -> np.ndarray:
         """Log odds; a slot counts once for a row however often it occurs."""
         ok = self.weights[col] != 0
-        key = np.unique(row[ok] * (1 << self.bits) + col[ok])
+        key = np.unique(row[ok].astype(np.int64) * (1 << self.bits) + col[ok])
         return np.bincount(key >> self.bits, self.weights[key & ((1 << self.bits) - 1)], minlength=rows) + self.bias
 
 
@@ -149,8 +149,9 @@ class Head:
 
 def _rows_of(first: np.ndarray, flat: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = first[chosen + 1] - first[chosen]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[chosen], n)
-    return np.repeat(np.arange(len(chosen)), n), flat[at]
+    at = np.arange(n.sum(), dtype=np.int32)
+    at += np.repeat((first[chosen] - np.cumsum(n) + n).astype(np.int32), n)
+    return np.repeat(np.arange(len(chosen), dtype=np.int32), n), flat[at]
 
 
 def co_train(sides: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, per_round: int, sure: float, default: float) -> Head:
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sides = []
     for name in ("words", "page"):
         lists = table[name].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        sides.append((lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False).astype(np.int64)))
+        sides.append((lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)))
     order = {"quality": 1.0, "toxic": 0.0}
     return {h: co_train(sides, table[h].to_numpy().astype(np.int64), rounds, per_round, sure, order[h]) for h in HEADS}
 
@@ -266,21 +267,23 @@ def score_documents(docs: DataFrame, heads: dict[str, Head], id_col: str = "doc_
 
 def keep_good(docs: DataFrame, heads: dict[str, Head], id_col: str = "doc_id", text_col: str = "text", least_quality: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score_documents keeps, in one pass without a join."""
-    score, names = _scorer(docs, heads), docs.columns
-    have = set(names)
-    extra = [F.col(text_col).alias("_in_text")] + [(F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)).alias(f"_in_{c}") for c, kind in (("lang", "string"), ("source", "string"), ("n_chars", "bigint"))]
-    wide = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], *extra)
+    score, names, kinds = _scorer(docs, heads), docs.columns, dict(docs.dtypes)
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    wanted = {"text": (text_col, "string"), "lang": ("lang", "string"), "source": ("source", "string"), "n_chars": ("n_chars", "bigint")}
+    # what the classifier reads is one of the columns that pass through, where there is one of that name and type
+    place = {c: f"c{names.index(name)}" for c, (name, kind) in wanted.items() if kinds.get(name) == kind}
+    extra = [(F.col(name) if name in kinds else F.lit(None)).cast(kind).alias(f"in_{c}") for c, (name, kind) in wanted.items() if c not in place]
+    wide = docs.select(*own, *extra)
+    out = [f"c{i}" for i in range(len(names))]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_in_text", 1 << 19):
-                seen = pa.RecordBatch.from_arrays([part[f"_in_{c}"] for c in ("text", "lang", "source", "n_chars")], names=["text", "lang", "source", "n_chars"])
+            for part in slices(batch, place.get("text", "in_text"), 1 << 19):
+                seen = pa.RecordBatch.from_arrays([part[place.get(c, f"in_{c}")] for c in wanted], names=list(wanted))
                 good, toxic = score(seen)
-                ok = pa.array((good >= least_quality) & (toxic < most_toxic))
-                yield pa.RecordBatch.from_arrays([part[f"c{i}"] for i in range(len(names))], names=[f"c{i}" for i in range(len(names))]).filter(ok)
+                yield part.select(out).filter(pa.array((good >= least_quality) & (toxic < most_toxic)))
 
-    kept = wide.mapInArrow(run, wide.select(*[f"c{i}" for i in range(len(names))]).schema)
-    return kept.toDF(*names)
+    return wide.mapInArrow(run, wide.select(*out).schema).toDF(*names)
 
 
 def op1_quality_classifier(spark, sf_dir) -> DataFrame:
