@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
 from .texthash import Words, runs, slices
 
-RADIUS = 7
-BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by one bit at most in one of four blocks
-_NEAR = np.concatenate([[0], 1 << np.arange(BITS)])
+RADIUS = 11
+BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by two bits at most in one of four blocks
+_NEAR = np.unique((1 << np.arange(BITS))[:, None] ^ (1 << np.arange(BITS)))
+_NEAR = np.unique(np.concatenate([_NEAR, 1 << np.arange(BITS)]))
 STEP = 1.25  # ratio of neighbouring window sizes
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, distance int, similarity double"
 
@@ -112,8 +112,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     Windows of the items' sizes (in steps of a quarter; an item between two sizes has
     two windows, its first and last words) slide over every word of every document.
     Their 64-bit SimHashes over the words come from differences of running sums.
-    Multi-index search over four 16-bit blocks, each within one bit, finds all item windows
-    within Hamming distance 7. For
+    Multi-index search over four 16-bit blocks, each within two bits, finds all item windows
+    within Hamming distance 11. For
     each, the stretch of the item's length is verified: the share of the item's
     weighted ``shingle``-word runs that it has, rare ones (over the whole benchmark) weighing
     more, must reach ``threshold``. The most similar place is reported, ties by the first.
@@ -124,39 +124,14 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     with NULL id are reported with it. Other columns are ignored. The benchmark is
     one list that all tasks hold (some KB an item); documents are scanned once, without a shuffle.
     """
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    find = _finder(docs, benchmark, shingle, threshold)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''")
 
     def scan(batches):
-        index = ItemIndex(shared.value, shingle)
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
-                words = Words(part["text"])
-                best: dict[tuple[int, int | None], tuple] = {}
-                sums = bit_sums(words.hash, index.kind)
-                tried = set()
-                for size, (_, who, where, _) in index.classes.items():
-                    n = len(words.hash) - size + 1
-                    if n <= 0:
-                        continue
-                    inside = words.doc[:n] == words.doc[size - 1 :]
-                    for win, entry, distance in index.near(size, simhash(sums, size)).tolist():
-                        if not inside[win]:
-                            continue
-                        k, row = int(who[entry]), int(words.doc[win])
-                        lo = max(win - int(where[entry]), int(words.first[row]))
-                        hi = min(lo + len(index.words[k]), int(words.first[row + 1]))
-                        if (k, lo, distance) in tried:
-                            continue
-                        tried.add((k, lo, distance))
-                        share = index.similarity(k, words.hash[lo:hi])
-                        if share >= threshold:
-                            key, first = (row, index.ids[k]), int(words.first[row])
-                            now = (-share, lo - first, hi - first, distance)
-                            best[key] = min(best.get(key, now), now)
                 ids = part["doc_id"].to_pylist()
-                rows = [(ids[r], i, lo, hi, d, round(-s, 6)) for (r, i), (s, lo, hi, d) in best.items()]
+                rows = [(ids[r], i, lo, hi, d, round(-s, 6)) for (r, i), (s, lo, hi, d) in find(part["text"]).items()]
                 cols = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "start_word", "end_word", "distance", "similarity"])
@@ -164,11 +139,58 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return base.mapInArrow(scan, SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` without the documents that benchmark_leaks reports; rows with NULL id stay."""
-    (key,) = fresh(docs, "leak")
-    leaks = benchmark_leaks(docs, benchmark, id_col, text_col, **params).select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col(key), "left_anti")
+def _finder(docs: DataFrame, benchmark: DataFrame, shingle: int, threshold: float):
+    """A function that tasks call with an array of texts: {(row, item id): (-similarity, start, end, distance)}."""
+    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    made: list[ItemIndex] = []
+
+    def find(texts: pa.Array) -> dict[tuple[int, int | None], tuple]:
+        if not made:
+            made.append(ItemIndex(shared.value, shingle))
+        index, words = made[0], Words(texts)
+        best: dict[tuple[int, int | None], tuple] = {}
+        sums = bit_sums(words.hash, index.kind)
+        tried = set()
+        for size, (_, who, where, _) in index.classes.items():
+            n = len(words.hash) - size + 1
+            if n <= 0:
+                continue
+            inside = words.doc[:n] == words.doc[size - 1 :]
+            for win, entry, distance in index.near(size, simhash(sums, size)).tolist():
+                if not inside[win]:
+                    continue
+                k, row = int(who[entry]), int(words.doc[win])
+                lo = max(win - int(where[entry]), int(words.first[row]))
+                hi = min(lo + len(index.words[k]), int(words.first[row + 1]))
+                if (k, lo, distance) in tried:
+                    continue
+                tried.add((k, lo, distance))
+                share = index.similarity(k, words.hash[lo:hi])
+                if share >= threshold:
+                    key, first = (row, index.ids[k]), int(words.first[row])
+                    now = (-share, lo - first, hi - first, distance)
+                    best[key] = min(best.get(key, now), now)
+        return best
+
+    return find
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shingle: int = 3, threshold: float = 0.6) -> DataFrame:
+    """``docs`` without the rows whose text holds an item as benchmark_leaks says, whatever their ids:
+    one pass, nothing is shuffled. NULL and empty texts stay."""
+    find, names = _finder(docs, benchmark, shingle, threshold), docs.columns
+    wide = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text_col)}"
+
+    def clean(batches):
+        for batch in batches:
+            for part in slices(batch, text, 1 << 19):
+                ok = np.ones(part.num_rows, dtype=bool)
+                ok[[row for row, _ in find(part[text])]] = False
+                yield part.filter(pa.array(ok))
+
+    return wide.mapInArrow(clean, wide.schema).toDF(*names)
 
 
 def op8_decontaminate(spark, sf_dir) -> DataFrame:

@@ -77,7 +77,7 @@ def test_index_finds_all_within_radius():
     (size, (mine, *_)), = index.classes.items()
     prints = []
     for p in mine:
-        flips = rng.choice(64, rng.integers(0, 11), replace=False)
+        flips = rng.choice(64, rng.integers(0, 16), replace=False)
         prints.append(p ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0)))
     prints = np.array(prints, dtype=np.uint64)
     want = {(a, b) for a in range(len(prints)) for b in range(len(mine)) if int(prints[a] ^ mine[b]).bit_count() <= decontaminate.RADIUS}
@@ -97,7 +97,7 @@ def test_decontamination_odd(spark, leaky):
     df = spark.createDataFrame([(1, None, None, None), (2, "", None, None), (None, "x " + items[0][1] + " y", None, None), (3, "a b c d e f", None, None), (3, "a b c d e f", None, None)], DOCS)
     found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.benchmark_leaks(df, bench).collect()), key=str)
     assert found == [(3, None), (3, None), (None, 0), (None, 6)]
-    assert decontaminate.decontaminate(df, bench).count() == 3
+    assert decontaminate.decontaminate(df, bench).count() == 2
     assert decontaminate.benchmark_leaks(df, bench.limit(0)).count() == 0 == decontaminate.benchmark_leaks(df.limit(0), bench).count()
 
 
