@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.select("u", "v", F.least(F.min("v").over(by_u), F.col("u")).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.select("u", "v", F.min("v").over(by_u).alias("m"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialize(small.where("u <> v").distinct(), "cc")
+        last, now = now, materialize(small.where("u <> v").distinct(), "cc")
+        discard(last)
         after = _state(now)
         if after == before:
             break

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import discard, fresh, keys_map, materialize, may_be_in_map
 from .components import components
 from .texthash import Words, shingle_sets, slices
 
@@ -147,15 +147,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = materialize(_exact(_bayes(rest, nodes, threshold, miss), texts, shingle, threshold), "near-edges")
 
     edges = verified.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies)
-    return components(edges).where("id <> comp").select(F.col("id").alias(id_col), F.col("comp").alias("keep_id"))
+    groups = components(edges)
+    discard(signed, multi, texts, stars, verified, split, more)
+    return groups.where("id <> comp").select(F.col("id").alias(id_col), F.col("comp").alias("keep_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` with one document of each group of near_duplicates; rows with NULL id or
     text stay. Rows that repeat with their id fare alike."""
-    (key,) = fresh(docs, "gone")
-    gone = near_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias(key))
-    return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
+    key, flag = fresh(docs, "gone", "near_flag")
+    gone = materialize(near_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias(key)), "near-gone")
+    # a bitmap of fixed size tells which rows may go; only these are shuffled
+    bitmap = keys_map(gone.select(F.xxhash64(key).alias("h")), "h")
+    rows = may_be_in_map(docs, F.xxhash64(F.col(id_col).cast("bigint")), bitmap, flag)
+    asked = rows.where(F.col(flag)).join(gone, F.col(id_col) == F.col(key), "left_anti")
+    return rows.where(~F.col(flag)).unionByName(asked).select(*docs.columns)
 
 
 def op5_minhash_near_dedup(spark, sf_dir) -> DataFrame:
