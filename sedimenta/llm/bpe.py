@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import discard, materialize, shared_dir
 from .texthash import byte_sums, flat, part_hashes, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -367,7 +367,9 @@ def frequent_words(docs: DataFrame, text_col: str, lexicon_size: int) -> list[by
         if left < 0:
             break
         least = level
-    return sorted(r[0].encode() for r in counts.where(F.col("level") >= least).select("word").collect())
+    words = sorted(r[0].encode() for r in counts.where(F.col("level") >= least).select("word").collect())
+    discard(counts)
+    return words
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, lexicon_size: int = 65536) -> str:
@@ -383,7 +385,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", vocabulary: str = VOC
 
 class Encoder:
     """Encodes texts; the ids of word number k are ``ids[first[k]:first[k + 1]]``. Words that were met before
-    are known by their hash; the caller compares the decoded text, and encodes without hashes where it differs."""
+    are known by their hash."""
 
     def __init__(self, tables: dict[str, np.ndarray]):
         self.t, self.find = tables, regex.compile(PATTERN).findall
@@ -445,6 +447,18 @@ class Encoder:
         return gather(self.ids, self.first[words], size), firsts(size)[firsts(n)].astype(np.int32)
 
 
+    def exact(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, whether each text is what its ids decode to); words are known by their hash
+        unless that makes a difference."""
+        want, want_off = flat(texts)
+        for by_hash in (True, False):
+            ids, first = self.encode(texts, by_hash)
+            raw, off = decode_bytes(self.t, ids, first)
+            if np.array_equal(raw, want) and np.array_equal(off, want_off):
+                return ids, first, np.ones(len(texts), dtype=bool)
+        return ids, first, np.array([np.array_equal(raw[a:b], want[c:d]) for a, b, c, d in zip(off, off[1:], want_off, want_off[1:])])
+
+
 def decode_bytes(t: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of rows of ids."""
     start, n = t["token_first"][ids], np.diff(t["token_first"])[ids]
@@ -469,15 +483,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         encoder = Encoder(tables)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                want, want_off = flat(part["text"])
-                for by_hash in (True, False):
-                    ids, first = encoder.encode(part["text"], by_hash)
-                    raw, off = decode_bytes(tables, ids, first)
-                    if whole := np.array_equal(raw, want) and np.array_equal(off, want_off):
-                        break
-                same = np.full(part.num_rows, whole)
-                if not whole:
-                    same = np.array([np.array_equal(raw[a:b], want[c:d]) for a, b, c, d in zip(off, off[1:], want_off, want_off[1:])])
+                ids, first, same = encoder.exact(part["text"])
                 null = pc.is_null(part["text"])
                 lists = pa.ListArray.from_arrays(pa.array(first), pa.array(ids))
                 cols = [part["id"], pc.if_else(null, None, lists), pc.if_else(null, None, pa.array(np.diff(first).astype(np.int32))), pc.if_else(null, None, pa.array(same))]

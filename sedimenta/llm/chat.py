@@ -2,46 +2,42 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+from .bpe import VOCABULARY, Encoder, compile_lexicon, compile_vocabulary, load_ranks, pack, ship, unpack
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SCHEMA = "conv_id bigint, text string, input_ids array<int>, loss_mask array<int>, n_tokens int, n_target int"
 
 
 def render(turns: list[tuple[str, str]], target_role: str) -> tuple[str, list[tuple[int, int]]]:
-    """The whole conversation as one text, and the character spans to train on:
+    """The whole conversation as one text, and the spans (UTF-8 bytes) to train on:
     content and end mark of each turn of the target role, in order."""
     parts, spans, at = [], [], 0
     for role, content in turns:
         head = f"{OPEN}{role}\n"
         parts += (head, content, CLOSE, "\n")
-        start = at + len(head)
-        at = start + len(content) + len(CLOSE) + 1
+        start = at + len(head.encode())
+        at = start + len(content.encode()) + len(CLOSE) + 1
         if role == target_role:
             spans.append((start, at - 1))
     return "".join(parts), spans
 
 
-def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """1 for the tokens that lie wholly in a span; both lists are sorted, so two
-    binary searches per span find its first and last token."""
-    out = np.zeros(len(starts), dtype=np.int32)
-    if spans:
-        lo = np.searchsorted(starts, [s for s, _ in spans], side="left")
-        hi = np.searchsorted(ends, [e for _, e in spans], side="right")
-        for a, b in zip(lo, hi):
-            out[a:b] = 1
-    return out
+def mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """1 for the tokens that lie wholly in a span; tokens and spans are sorted and each
+    apart from each other, so two binary searches per span find its first and last token."""
+    lo = np.searchsorted(starts, spans[:, 0], side="left")
+    hi = np.maximum(np.searchsorted(ends, spans[:, 1], side="right"), lo)
+    step = np.bincount(lo, minlength=len(starts) + 1) - np.bincount(hi, minlength=len(starts) + 1)
+    return np.cumsum(step)[:-1].astype(np.int32)
 
 
-def format_chats(turns: DataFrame, tokenizer_path: str = TOKENIZER, target_role: str = "assistant") -> DataFrame:
+def format_chats(turns: DataFrame, vocabulary: str = VOCABULARY, target_role: str = "assistant") -> DataFrame:
     """One row for each conversation: ``conv_id, text, input_ids, loss_mask, n_tokens, n_target``.
 
     ``turns`` has ``conv_id, turn, role, text``. The turns of a conversation are put in
@@ -59,31 +55,27 @@ def format_chats(turns: DataFrame, tokenizer_path: str = TOKENIZER, target_role:
     turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.where("conv_id is not null").groupBy(F.col("conv_id").cast("bigint").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     chats = chats.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
-    model = turns.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())
+    name = ship(turns.sparkSession, pack(compile_vocabulary(load_ranks(vocabulary)) | compile_lexicon([]) | {"ids": np.zeros(0, np.int32), "ids_first": np.zeros(1, np.int64)}))
 
     def encode(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, processors
-
-        tok = Tokenizer.from_str(model.value)
-        tok.encode_special_tokens = True
-        tok.post_processor = processors.ByteLevel(trim_offsets=False)
-        tok.no_padding()
-        tok.no_truncation()
+        tables = unpack(SparkFiles.get(name))
+        encoder, sizes = Encoder(tables), np.diff(tables["token_first"])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 drawn = [render(list(zip(r, t)), target_role) for r, t in zip(part["roles"].to_pylist(), part["texts"].to_pylist())]
-                rows = []
-                for (_, spans), enc in zip(drawn, tok.encode_batch([t for t, _ in drawn], add_special_tokens=False)):
-                    off = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)
-                    rows.append((enc.ids, mask(off[:, 0], off[:, 1], spans)))
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part["conv_id"], pa.array([t for t, _ in drawn]), pa.array([i for i, _ in rows], ints), pa.array([m for _, m in rows], ints),
-                     pa.array([len(i) for i, _ in rows], pa.int32()), pa.array([int(m.sum()) for _, m in rows], pa.int32())],
-                    names=["conv_id", "text", "input_ids", "loss_mask", "n_tokens", "n_target"],
-                )
+                texts = pa.array([t for t, _ in drawn], pa.string())
+                ids, first, same = encoder.exact(texts)
+                if not same.all():
+                    raise ValueError("token ids that don't decode to their conversation")
+                ends = np.append(0, np.cumsum(sizes[ids]))  # offsets of all tokens of all conversations, one after the other
+                base = ends[first[:-1]]
+                spans = np.array([(b + s, b + e) for b, (_, own) in zip(base.tolist(), drawn) for s, e in own], dtype=np.int64).reshape(-1, 2)
+                marks = mask(ends[:-1], ends[1:], spans)
+                target = np.diff(np.append(0, np.cumsum(marks))[first])
+                offsets = pa.array(first)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids, marks)]
+                yield pa.RecordBatch.from_arrays([part["conv_id"], texts, *lists, pa.array(np.diff(first)), pa.array(target.astype(np.int32))], names=["conv_id", "text", "input_ids", "loss_mask", "n_tokens", "n_target"])
 
     return chats.mapInArrow(encode, SCHEMA)
 
