@@ -16,6 +16,11 @@ def register(table: Table, view: str | None = None, row_id: bool = False) -> Non
     df.createOrReplaceTempView(view or table.name)
 
 
+def register_search(table: Table, view: str, query, projection: list[str] | None = None, dynamic_fields: tuple[str, ...] = (), limit: int = 10) -> None:
+    """Make the result of a top-k search a temporary view, for use in SQL."""
+    table.search(query, projection, dynamic_fields, limit).createOrReplaceTempView(view)
+
+
 def insert_into(table: Table, rows: DataFrame, columns: list[str] | None = None, mode: str = "append", bypass_above: int = 1000, estimate: int | None = None) -> DataFrame:
     """INSERT: ``columns`` names the rows' columns in order. ``overwrite`` truncates first; many
     rows (``estimate`` above ``bypass_above``) go straight to data files."""

@@ -119,6 +119,16 @@ class Table(IndexSet):
         last = len(files) if p.index == p.count - 1 else (p.index + 1) * step
         return files[p.index * step : last] + (self._tier("inline") if p.index == 0 else [])
 
+    def partitions(self, count: int = 16, most_files: int = 1000) -> list[Partition]:
+        """``count`` parts of the files whose sizes differ by one file at most, the first with the inline
+        tier; beyond ``most_files`` contiguous shares, which don't list names."""
+        files = [f["name"] for f in self._tier("file")]
+        if len(files) > most_files:
+            return [Partition(i, count) for i in range(count)]
+        step, more = divmod(len(files), count)
+        cuts = [i * step + min(i, more) for i in range(count + 1)]
+        return [Partition(files=tuple(files[a:b]), inline=i == 0) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
     def _deletes(self, names: set[str]) -> tuple[DataFrame | None, int]:
         hit = [d for d in self.doc["deletes"] if names & set(d["files"])]
         if not hit:
@@ -207,6 +217,8 @@ class Table(IndexSet):
         folder = f"data/{uuid.uuid4().hex}"
         url = self.storage.url(f"{self.path}/{folder}")
         writer = df.write.option("parquet.writer.version", "v2" if self.config["preferred_data_file_format"] == "v2" else "v1")
+        if self.config["parquet_row_group_size"]:
+            writer = writer.option("parquet.block.row.count.limit", self.config["parquet_row_group_size"])
         if per_file:
             writer = writer.option("maxRecordsPerFile", per_file)
         writer.parquet(url)

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, Inte
 
 from sedimenta.errors import InvalidInput, NotFound, NotSupported
 from sedimenta.functions import geometry, vectors
-from sedimenta.operators import maintenance
+from sedimenta.operators import maintenance, sql
 from sedimenta.operators.indexes import BM25Query, Intersects, RabitqQuery, VectorQuery
 from sedimenta.sources.catalog import Client
 
@@ -125,6 +125,8 @@ def test_full_text(make):
         return np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256))
 
     assert np.allclose([r["score"] for r in found], [score(2, 9), score(1, 5)])
+    sql.register_search(t, "pink", BM25Query("pink"), ["title"], ("score",), 1)
+    assert [r["title"] for r in t.spark.sql("select title from pink where score > 0.5").collect()] == ["a"]
     t.insert(t.df().where("title = 'a'"), try_dump=False)
     t.delete("title = 'c'")
     assert [r["title"] for r in t.search(BM25Query("pink"), ["title"], limit=5).collect()] == ["a", "a"]

@@ -130,6 +130,9 @@ def test_partitions(client, spark):
     assert t.count([Partition(i, 3) for i in range(3)]) == [3, 2, 0]
     with pytest.raises(InvalidInput):
         Partition(3, 3)
+    parts = t.partitions(4)
+    assert [len(p.files) for p in parts] == [1, 1, 0, 0] and t.count(parts) == [3, 2, 0, 0]
+    assert sum(t.scan(partition=p).count() for p in parts) == 5 and t.partitions(2, most_files=1) == [Partition(0, 2), Partition(1, 2)]
 
 
 def test_merge_and_cleanup(client, spark):
@@ -150,7 +153,7 @@ def test_merge_and_cleanup(client, spark):
 
 
 def test_bypass_and_formats(client, spark):
-    t = client.create_table("test", "bypass", StructType([StructField("id", LongType(), False)]), config={"inline_row_count_limit": 3, "preferred_data_file_format": "v1"})
+    t = client.create_table("test", "bypass", StructType([StructField("id", LongType(), False)]), config={"inline_row_count_limit": 3, "preferred_data_file_format": "v1", "parquet_row_group_size": 2})
     assert t.bypass_insert(spark.range(7).coalesce(1)) == 7
     assert (t.inline_row_count(), t.data_file_count()) == (0, 3)
     assert [f["rows"] for f in t.data_file_records()] == [3, 3, 1]
@@ -234,3 +237,16 @@ def test_added_column_after_delete(people):
     assert rows(people.scan(["name", "n"])) == [("Bob", 7), ("Charlie", 7), ("David", 7)]
     assert people.update({"n": "n + 1"}, "name = 'Bob'") == 1
     assert rows(people.scan(["name", "n"])) == [("Bob", 8), ("Charlie", 7), ("David", 7)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(people):
+    """Filters and columns reach the Parquet scan; only files that lost rows are joined with deletes."""
+    clean = plan(people.scan(["name"], ["age > 21"]))
+    assert "PushedFilters: [IsNotNull" in clean and "GreaterThan" in clean and "Join" not in clean and ROW_ID not in clean
+    people.delete("name = 'Bob'")
+    dirty = plan(people.scan(["name"], ["age > 21"]))
+    assert dirty.count("LeftAnti") == 1 and "BroadcastHashJoin" in dirty and "GreaterThan" in dirty
