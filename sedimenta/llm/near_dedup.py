@@ -121,10 +121,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns aren't looked at. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    signed = _sign(base.select("id", "text", F.unhex(F.md5("text")).alias("body")), shingle)
-    signed = materialize(signed.select("id", "n", "sig", F.min("id").over(Window.partitionBy("body")).alias("rep")), "near-sig")
-    copies = signed.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    nodes = signed.where("id = rep and n > 0").select("id", "sig")
+    signed = materialize(_sign(base.select("id", "text", F.unhex(F.md5("text")).alias("body")), shingle), "near-sig")
+    # texts that many documents share are added up before the shuffle, and joined by short rows
+    repeated = signed.groupBy("body").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
+    copies = materialize(signed.select("id", "body").join(repeated, "body").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"), "body"), "near-copies")
+    nodes = signed.where("n > 0").join(copies.select(F.col("u").alias("id"), "body"), ["id", "body"], "left_anti").select("id", "sig")
+    nodes = materialize(nodes, "near-nodes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, F.lit(ROWS))))
     by_key = Window.partitionBy("key")
@@ -146,9 +148,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = left.join(right, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(_exact(_bayes(rest, nodes, threshold, miss), texts, shingle, threshold), "near-edges")
 
-    edges = verified.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies)
+    edges = verified.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies.select("u", "v"))
     groups = components(edges)
-    discard(signed, multi, texts, stars, verified, split, more)
+    discard(signed, copies, nodes, multi, texts, stars, verified, split, more)
     return groups.where("id <> comp").select(F.col("id").alias(id_col), F.col("comp").alias("keep_id"))
 
 

@@ -98,6 +98,13 @@ def test_near_equals_brute_force(spark, corpus):
     assert kept.columns == df.columns and kept.count() == len(corpus) - len([1 for i, _ in corpus if i in dict(want)])
 
 
+def test_near_rows_that_share_an_id(spark):
+    one, two = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(60))
+    rows = [(3, one), (5, one), (5, two), (9, two + " more"), (7, "alone here"), (7, "alone here")]
+    assert got(near_dedup.near_duplicates(docs(spark, rows))) == [(5, 3), (9, 3)]
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs(spark, rows)).collect()) == [3, 7, 7]
+
+
 def test_near_recall_of_pairs(spark):
     """Pairs at all similarities above the threshold, each alone: at least nine in ten are found."""
     rng = random.Random(11)
