@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .texthash import Words, runs, slices
 
-RADIUS = 11
-BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by two bits at most in one of four blocks
-_NEAR = np.unique((1 << np.arange(BITS))[:, None] ^ (1 << np.arange(BITS)))
-_NEAR = np.unique(np.concatenate([_NEAR, 1 << np.arange(BITS)]))
+RADIUS = 7
+BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by one bit at most in one of four blocks
+_NEAR = np.concatenate([[0], 1 << np.arange(BITS)])
 STEP = 1.25  # ratio of neighbouring window sizes
+PART_WORDS = 8  # least size of windows that stand for parts of longer items
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, distance int, similarity double"
 
 
@@ -44,7 +44,7 @@ class ItemIndex:
     """All items: their word hashes, shingle weights, and for each window size the
     fingerprints of the items' windows, found by any of four 16-bit blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int):
+    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float = 0.6):
         words = Words(pa.array([t for _, t in items], pa.string()))
         self.shingle = shingle
         self.ids = [i for i, _ in items]
@@ -53,6 +53,11 @@ class ItemIndex:
         df = Counter(s for c in sets for s in c)
         self.weights = {s: math.log(1 + len(items) / n) for s, n in df.items()}
         self.counts, self.total = sets, [sum(n * self.weights[s] for s, n in c.items()) for c in sets]
+        self.known = np.array(sorted(df), dtype=np.uint64)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        # shingles of some item that a stretch must have at least before it can reach the threshold, by item
+        heaviest = [max((self.weights[s] for s in c), default=1.0) for c in sets]
+        self.least = np.array([math.ceil(threshold * t / h - 1e-9) if len(w) >= shingle else 0 for t, h, w in zip(self.total, heaviest, self.words)], dtype=np.int64)
         lengths = sorted({len(w) for w in self.words if len(w)})
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, list]]] = {}
         self.kind = sum_kind(max(lengths, default=0))
@@ -60,13 +65,17 @@ class ItemIndex:
         for n in lengths:
             if not sizes or n > sizes[-1] * STEP:
                 sizes.append(n)
+        parts = next((s for s in sizes if s >= PART_WORDS), 0)
         for no, size in enumerate(sizes):
             most = sizes[no + 1] if no + 1 < len(sizes) else math.inf
             prints, who, where = [], [], []
             for k, w in enumerate(self.words):
-                if size <= len(w) < most:
+                if len(w) >= size and (size == parts or len(w) < most):
                     mine = simhash(bit_sums(w, self.kind), size)
-                    for at in sorted({0, len(w) - size}):  # an item a little longer has two windows, which cover it
+                    # an item a little longer than its size has two windows, which cover it; of one small size all
+                    # items have windows at every half, so that an edit leaves some untouched
+                    half = range(0, len(w) - size, size // 2) if size == parts else ()
+                    for at in sorted({0, len(w) - size, *half}):
                         prints.append(mine[at])
                         who.append(k)
                         where.append(at)
@@ -110,10 +119,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """One row for each item that a document holds: ``doc_id, item_id, start_word, end_word, distance, similarity``.
 
     Windows of the items' sizes (in steps of a quarter; an item between two sizes has
-    two windows, its first and last words) slide over every word of every document.
+    two windows, its first and last words; parts of one small size are also looked for) slide over every word of every document.
     Their 64-bit SimHashes over the words come from differences of running sums.
-    Multi-index search over four 16-bit blocks, each within two bits, finds all item windows
-    within Hamming distance 11. For
+    Multi-index search over four 16-bit blocks, each within one bit, finds all item windows
+    within Hamming distance 7. For
     each, the stretch of the item's length is verified: the share of the item's
     weighted ``shingle``-word runs that it has, rare ones (over the whole benchmark) weighing
     more, must reach ``threshold``. The most similar place is reported, ties by the first.
@@ -147,29 +156,36 @@ def _finder(docs: DataFrame, benchmark: DataFrame, shingle: int, threshold: floa
 
     def find(texts: pa.Array) -> dict[tuple[int, int | None], tuple]:
         if not made:
-            made.append(ItemIndex(shared.value, shingle))
+            made.append(ItemIndex(shared.value, shingle, threshold))
         index, words = made[0], Words(texts)
         best: dict[tuple[int, int | None], tuple] = {}
         sums = bit_sums(words.hash, index.kind)
+        at, grams = runs(words.hash, words.doc, shingle)
+        known = np.zeros(len(words.hash) + 1, dtype=np.int64)
+        if len(index.known):
+            known[at + 1] = index.known[np.minimum(np.searchsorted(index.known, grams), len(index.known) - 1)] == grams
+        known = np.cumsum(known)
         tried = set()
         for size, (_, who, where, _) in index.classes.items():
             n = len(words.hash) - size + 1
             if n <= 0:
                 continue
-            inside = words.doc[:n] == words.doc[size - 1 :]
-            for win, entry, distance in index.near(size, simhash(sums, size)).tolist():
-                if not inside[win]:
+            win, entry, distance = index.near(size, simhash(sums, size)).T
+            inside = words.doc[win] == words.doc[win + size - 1]
+            win, entry, distance = win[inside], entry[inside], distance[inside]
+            item, row = who[entry], words.doc[win]
+            lo = np.maximum(win - where[entry], words.first[row])
+            hi = np.minimum(lo + index.size[item], words.first[row + 1])
+            # most candidates share common words only: too few of their shingles are any item's
+            ok = known[np.maximum(hi - shingle + 1, lo)] - known[lo] >= index.least[item]
+            for k, r, a, b, d in zip(*(x[ok].tolist() for x in (item, row, lo, hi, distance))):
+                if (k, a, d) in tried:
                     continue
-                k, row = int(who[entry]), int(words.doc[win])
-                lo = max(win - int(where[entry]), int(words.first[row]))
-                hi = min(lo + len(index.words[k]), int(words.first[row + 1]))
-                if (k, lo, distance) in tried:
-                    continue
-                tried.add((k, lo, distance))
-                share = index.similarity(k, words.hash[lo:hi])
+                tried.add((k, a, d))
+                share = index.similarity(k, words.hash[a:b])
                 if share >= threshold:
-                    key, first = (row, index.ids[k]), int(words.first[row])
-                    now = (-share, lo - first, hi - first, distance)
+                    key, first = (r, index.ids[k]), int(words.first[r])
+                    now = (-share, a - first, b - first, d)
                     best[key] = min(best.get(key, now), now)
         return best
 

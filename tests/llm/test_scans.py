@@ -84,6 +84,17 @@ def test_index_finds_all_within_radius():
     assert {(a, b) for a, b, _ in index.near(size, prints).tolist()} == want and len(want) > 20
 
 
+def test_edited_and_tiny_items(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(prose(rng, 40 if i else 12))) for i in range(6)] + [(6, "one"), (7, "two words")]
+    edited = items[3][1].split()
+    for at in (2, 14, 36):
+        edited[at] = "other"
+    df = spark.createDataFrame([(1, " ".join(prose(rng, 50) + edited + prose(rng, 50)), None, None), (2, "nothing here", None, None), (3, "see two words", None, None)], DOCS)
+    found = decontaminate.benchmark_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in sorted(found)] == [(1, 3), (3, 7)]
+
+
 def test_running_sums_wrap_right():
     words = Words(pa.array([" ".join(f"t{i}" for i in range(500))]))
     for size in (1, 30, 127):
