@@ -25,6 +25,26 @@ def inner_product(v: Column, q: list[float]) -> Column:
     return F.when(F.size(v) == len(q), _pairwise(v, q, lambda a, b: a * b))
 
 
+def candidates(df: DataFrame, keys: list[str], vector: str, q: list[float], metric: str, k: int) -> DataFrame:
+    """``keys`` and ``vector`` of all rows that may be among the ``k`` best, ties included: each task passes on
+    what isn't beaten by k rows it saw before, by distances of whole Arrow batches at once. Some k log n rows
+    of a task remain for the exact order."""
+    base = df.where(F.size(vector) == len(q)).select(*keys, vector)
+
+    def run(batches):
+        query, best = np.array(q, dtype=float), np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch[vector].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            score = -(rows @ query) if metric == "ip" else ((rows - query) ** 2).sum(axis=1)
+            best = np.sort(np.concatenate([best, score]))[:k]
+            worst = best[-1] if len(best) == k else np.inf
+            yield batch.filter(pa.array(~(score > worst + 1e-9 * (1 + abs(worst)))))
+
+    return base.mapInArrow(run, base.schema)
+
+
 def rotate(x: np.ndarray) -> np.ndarray:
     """Rows padded to a power of two (64 at least), then four rounds of random signs and a Hadamard transform."""
     size = max(64, 1 << (x.shape[1] - 1).bit_length())

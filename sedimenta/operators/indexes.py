@@ -334,7 +334,7 @@ class IndexSet:
         return hits.groupBy(*KEYS).agg(F.sum(idf * weight).alias("_score")), False
 
     def _exact(self, index: dict, query: VectorQuery, limit: int) -> tuple[DataFrame, bool]:
-        rows = self._keyed(index, self.doc["files"])
+        rows = vectors.candidates(self._keyed(index, self.doc["files"]), KEYS, "key", list(query.vector), "l2", max(limit, 1))
         return rows.select(*KEYS, vectors.l2_distance(F.col("key"), list(query.vector)).alias("_score")).where("_score is not null"), True
 
     def _rabitq(self, index: dict, query: RabitqQuery, limit: int) -> tuple[DataFrame, bool]:

@@ -72,8 +72,9 @@ def knn_l2_top10(spark, sf_dir):
 
 @query("knn_ip_top10", f"select vec_id, round(list_inner_product(cast(embedding as double[]), {QUERY}), 9) as score from embeddings order by list_inner_product(cast(embedding as double[]), {QUERY}) desc, vec_id limit 10")
 def knn_ip_top10(spark, sf_dir):
-    t = shared_table(spark, sf_dir, "embeddings")
-    scored = t.df().select("vec_id", vectors.inner_product(F.col("embedding"), _vector(spark, sf_dir)).alias("s"))
+    q = _vector(spark, sf_dir)
+    best = vectors.candidates(shared_table(spark, sf_dir, "embeddings").df(), ["vec_id"], "embedding", q, "ip", 10)
+    scored = best.select("vec_id", vectors.inner_product(F.col("embedding"), q).alias("s"))
     return scored.orderBy(F.col("s").desc(), "vec_id").limit(10).select("vec_id", F.round("s", 9).alias("score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, Inte
 
 from sedimenta.errors import InvalidInput, NotFound, NotSupported
 from sedimenta.functions import geometry, vectors
+from sedimenta.functions.rowid import ROW_ID
 from sedimenta.operators import maintenance, sql
 from sedimenta.operators.indexes import BM25Query, Intersects, RabitqQuery, VectorQuery
 from sedimenta.sources.catalog import Client
@@ -90,6 +91,15 @@ def test_vectors(make):
     assert [r[0] for r in t.search(RabitqQuery([26.0, 26.0, 26.0]), ["id"], limit=2).collect()] == [2, 4]
 
 
+def test_vector_ties_and_odd_rows(make):
+    rows = [(i, [1.0, 1.0, 1.0]) for i in range(30)] + [(30, [0.0]), (31, []), (32, None), (33, [float("nan")] * 3), (34, [None, 1.0, 1.0])]
+    t = make("tied", VECTORS, rows, 20)
+    t.create_index("v", "hnsw", ["vector"])
+    first = [r["id"] for r in t.rows().orderBy(ROW_ID).where("id < 30").limit(4).collect()]
+    assert [r["id"] for r in t.search(VectorQuery([0.0, 0.0, 0.0]), ["id"], limit=4).collect()] == first
+    assert t.search(VectorQuery([0.0, 0.0, 0.0]), ["id"], limit=0).count() == 0
+
+
 def test_rabitq_recall(make):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(400, 24)).astype(np.float32)
