@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, shared shingles, exact verification."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ RADIUS = 7
 BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by one bit at most in one of four blocks
 _NEAR = np.concatenate([[0], 1 << np.arange(BITS)])
 STEP = 1.25  # ratio of neighbouring window sizes
-PART_WORDS = 8  # least size of windows that stand for parts of longer items
+COMMON = 16  # a shingle of more items than this needn't be looked up for an item whose rarer ones suffice
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, distance int, similarity double"
 
 
@@ -53,7 +53,9 @@ class ItemIndex:
         df = Counter(s for c in sets for s in c)
         self.weights = {s: math.log(1 + len(items) / n) for s, n in df.items()}
         self.counts, self.total = sets, [sum(n * self.weights[s] for s, n in c.items()) for c in sets]
+        self.threshold = threshold
         self.known = np.array(sorted(df), dtype=np.uint64)
+        self.weight = np.array([self.weights[s] for s in self.known.tolist()], dtype=float)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         # shingles of some item that a stretch must have at least before it can reach the threshold, by item
         heaviest = [max((self.weights[s] for s in c), default=1.0) for c in sets]
@@ -65,17 +67,13 @@ class ItemIndex:
         for n in lengths:
             if not sizes or n > sizes[-1] * STEP:
                 sizes.append(n)
-        parts = next((s for s in sizes if s >= PART_WORDS), 0)
         for no, size in enumerate(sizes):
             most = sizes[no + 1] if no + 1 < len(sizes) else math.inf
             prints, who, where = [], [], []
             for k, w in enumerate(self.words):
-                if len(w) >= size and (size == parts or len(w) < most):
+                if size <= len(w) < most:
                     mine = simhash(bit_sums(w, self.kind), size)
-                    # an item a little longer than its size has two windows, which cover it; of one small size all
-                    # items have windows at every half, so that an edit leaves some untouched
-                    half = range(0, len(w) - size, size // 2) if size == parts else ()
-                    for at in sorted({0, len(w) - size, *half}):
+                    for at in sorted({0, len(w) - size}):  # an item a little longer has two windows, which cover it
                         prints.append(mine[at])
                         who.append(k)
                         where.append(at)
@@ -88,6 +86,75 @@ class ItemIndex:
                 first = np.searchsorted(probes[order], np.arange((1 << BITS) + 1))
                 tables.append((np.diff(first) > 0, first, order // len(_NEAR)))
             self.classes[size] = (prints, who, where, tables)
+        self._post(df)
+
+    def _post(self, df: Counter) -> None:
+        """Items by shingle. A stretch that reaches the threshold has at least ``need`` of the weight that is
+        posted for an item: all of it, or without its commonest shingles, of half the threshold at most."""
+        self.need, place, who = np.zeros(len(self.ids)), [], []
+        self.own: list[tuple[np.ndarray, list[int]]] = []
+        for k, c in enumerate(self.counts):
+            grams = np.array(sorted(c), dtype=np.uint64)
+            self.own.append((np.searchsorted(self.known, grams), [c[s] for s in grams.tolist()]))
+            if len(self.words[k]) < self.shingle:
+                continue
+            left_out = 0.0
+            for s in sorted(c, key=lambda s: (-df[s], s)):
+                more = left_out + c[s] * self.weights[s]
+                if df[s] > COMMON and more < self.threshold * self.total[k] / 2:
+                    left_out = more
+                else:
+                    place.append(s)
+                    who.append(k)
+            self.need[k] = self.threshold * self.total[k] - left_out
+        place = np.searchsorted(self.known, np.array(place, dtype=np.uint64))
+        self.posted = np.array(who, dtype=np.int64)[np.argsort(place, kind="stable")]
+        self.first_posted = np.searchsorted(np.sort(place), np.arange(len(self.known) + 1))
+
+    def sharing(self, at: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(row, item) of all rows that may hold a stretch of the item's length with the threshold's share of its
+        weight. ``at``, ``gram``: places of known shingles, ascending, and which; none that reaches it is left out."""
+        n = self.first_posted[gram + 1] - self.first_posted[gram]
+        pos, weight = np.repeat(at, n), np.repeat(self.weight[gram], n)
+        item = self.posted[np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first_posted[gram], n)]
+        key = item * (len(doc) + int(self.size.max(initial=0)) + 1) + pos
+        order = np.argsort(key, kind="stable")
+        key, pos, item = key[order], pos[order], item[order]
+        sums = np.append(0.0, np.cumsum(weight[order]))
+        end = np.searchsorted(key, key + self.size[item] - self.shingle + 1)
+        ok = sums[end] - sums[:-1] >= self.need[item] - 1e-6
+        return [divmod(x, len(self.ids)) for x in np.unique(doc[pos[ok]] * len(self.ids) + item[ok]).tolist()]
+
+    def place(self, k: int, at: np.ndarray, gram: np.ndarray, first: int) -> int:
+        """Start of the first of the stretches of item ``k``'s length that have most of its weight, in a row that
+        starts at word ``first`` and has known shingles ``gram`` at ``at``: a window slides over those of the item."""
+        own, most = self.own[k]
+        which = np.searchsorted(own, gram)
+        mine = np.flatnonzero(own[np.minimum(which, len(own) - 1)] == gram)
+        at, which, weight = at[mine].tolist(), which[mine].tolist(), self.weight[own].tolist()
+        span, have, now, end = int(self.size[k]) - self.shingle, [0] * len(own), 0.0, 0
+        best, start = -1.0, first
+        for p, g in zip(at, which):
+            while end < len(at) and at[end] <= p + span:
+                h = which[end]
+                now += weight[h] * (have[h] < most[h])
+                have[h] += 1
+                end += 1
+            if now > best + 1e-9:
+                # the last of its shingles that counts may as well be the stretch's end
+                last, surplus = end - 1, dict[int, int]()
+                while have[which[last]] - surplus.get(which[last], 0) > most[which[last]]:
+                    surplus[which[last]] = surplus.get(which[last], 0) + 1
+                    last -= 1
+                best, start = now, max(first, at[last] - span)
+            now -= weight[g] * (have[g] <= most[g])
+            have[g] -= 1
+        return start
+
+    def distance(self, k: int, sums: np.ndarray, a: int, b: int) -> int:
+        """Between the SimHashes of the words a to b and of the whole item."""
+        print_of = lambda s: np.packbits(s > 0, bitorder="little").view(np.uint64)[0]
+        return int(np.bitwise_count(print_of(sums[b] - sums[a]) ^ print_of(bit_sums(self.words[k], self.kind)[-1])))
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         k = min(self.shingle, len(h))
@@ -119,15 +186,17 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """One row for each item that a document holds: ``doc_id, item_id, start_word, end_word, distance, similarity``.
 
     Windows of the items' sizes (in steps of a quarter; an item between two sizes has
-    two windows, its first and last words; parts of one small size are also looked for) slide over every word of every document.
+    two windows, its first and last words) slide over every word of every document.
     Their 64-bit SimHashes over the words come from differences of running sums.
     Multi-index search over four 16-bit blocks, each within one bit, finds all item windows
-    within Hamming distance 7. For
-    each, the stretch of the item's length is verified: the share of the item's
+    within Hamming distance 7. Passages edited more than that are found by the shingles that they share
+    with an item: for each document and item that may reach the threshold by them, the stretch with the greatest share.
+    The stretch of the item's length is verified: the share of the item's
     weighted ``shingle``-word runs that it has, rare ones (over the whole benchmark) weighing
-    more, must reach ``threshold``. The most similar place is reported, ties by the first.
+    more, must reach ``threshold``. All documents that have such a stretch are found. The most similar place
+    is reported, ties by the first; ``distance`` is that of the windows or of the stretch and the item.
 
-    Items without words and documents shorter than an item's window have no match; items that
+    Items without words have no match, nor has an item in a document too short for the threshold; items that
     repeat, or share an id, are each compared, and an id is reported once for a document row.
     NULL and empty texts give no rows, NULL ids of documents are returned as they are, items
     with NULL id are reported with it. Other columns are ignored. The benchmark is
@@ -162,8 +231,14 @@ def _finder(docs: DataFrame, benchmark: DataFrame, shingle: int, threshold: floa
         sums = bit_sums(words.hash, index.kind)
         at, grams = runs(words.hash, words.doc, shingle)
         known = np.zeros(len(words.hash) + 1, dtype=np.int64)
+        gram = np.zeros(0, np.int64)
         if len(index.known):
-            known[at + 1] = index.known[np.minimum(np.searchsorted(index.known, grams), len(index.known) - 1)] == grams
+            gram = np.minimum(np.searchsorted(index.known, grams), len(index.known) - 1)
+            shared_at = index.known[gram] == grams
+            known[at + 1] = shared_at
+            at, gram = at[shared_at], gram[shared_at]
+        else:
+            at = at[:0]
         known = np.cumsum(known)
         tried = set()
         for size, (_, who, where, _) in index.classes.items():
@@ -187,6 +262,15 @@ def _finder(docs: DataFrame, benchmark: DataFrame, shingle: int, threshold: floa
                     key, first = (r, index.ids[k]), int(words.first[r])
                     now = (-share, a - first, b - first, d)
                     best[key] = min(best.get(key, now), now)
+        for r, k in index.sharing(at, gram, words.doc) if len(at) else ():
+            first, last = int(words.first[r]), int(words.first[r + 1])
+            x, y = np.searchsorted(at, (first, last))
+            a = index.place(k, at[x:y], gram[x:y], first)
+            b = min(a + int(index.size[k]), last)
+            share = index.similarity(k, words.hash[a:b])
+            if share >= threshold:
+                key, now = (r, index.ids[k]), (-share, a - first, b - first, index.distance(k, sums, a, b))
+                best[key] = min(best.get(key, now), now)
         return best
 
     return find

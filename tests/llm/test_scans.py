@@ -95,6 +95,28 @@ def test_edited_and_tiny_items(spark):
     assert [(r["doc_id"], r["item_id"]) for r in sorted(found)] == [(1, 3), (3, 7)]
 
 
+@pytest.mark.parametrize("lengths", [(15, 40), (45, 60)])
+def test_edits_at_random_places_equal_brute_force(spark, lengths):
+    """Items of some length only, some words common; words are replaced, put in and left out at random places."""
+    rng = random.Random(11)
+    items = [(i, " ".join(prose(rng, rng.randrange(*lengths)) + ["as", "is", "well", "known"])) for i in range(30)]
+    texts, want = [], set()
+    for d in range(300):
+        words, leak = prose(rng, rng.randrange(30)), []
+        for w in items[d % 30][1].split():
+            x, rate = rng.random(), 0.06 + 0.03 * (d % 4)
+            leak += [w] if x > rate else [[f"n{d}x"], [f"n{d}x", w], []][rng.choice((0, 0, 1, 2))]
+        text = words + leak + prose(rng, rng.randrange(30))
+        texts.append((d, " ".join(text), None, None))
+        n = len(items[d % 30][1].split())
+        share = [similarity(items, d % 30, text[p : p + n]) for p in range(max(1, len(text) - n + 1))]
+        if max(share) >= 0.6:
+            want.add((d, d % 30, share.index(max(share))))
+    found = decontaminate.benchmark_leaks(spark.createDataFrame(texts, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {w[:2] for w in want} and 100 < len(want) < 280
+    assert sum((r["doc_id"], r["item_id"], r["start_word"]) in want for r in found) >= 0.98 * len(want)  # sums round
+
+
 def test_running_sums_wrap_right():
     words = Words(pa.array([" ".join(f"t{i}" for i in range(500))]))
     for size in (1, 30, 127):
