@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .texthash import Words, mix, slices
@@ -90,14 +90,19 @@ def logistic(row: np.ndarray, col: np.ndarray, n_cols: int, y: np.ndarray, l2: f
     return w[:-1], float(w[-1])
 
 
-def platt(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and bias that turn columns of scores into a calibrated log odds (ridge Newton steps)."""
+def platt(scores: np.ndarray, y: np.ndarray, stands_for: np.ndarray) -> np.ndarray:
+    """Weights and bias that turn columns of scores into a calibrated log odds (ridge Newton steps).
+    ``stands_for``: how many rows each row was drawn from. Within a class it weighs the rows; between
+    the classes it moves the bias, so that a rare class isn't lost to the ridge."""
+    mean = np.array([stands_for[y == c].mean() if (y == c).any() else 1.0 for c in (0, 1)])
+    weight = stands_for / mean[y.astype(int)]
     x = np.column_stack([scores, np.ones(len(y))])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1.0] * (len(w) - 1) + [0.01])
     for _ in range(30):
         p = sigmoid(x @ w)
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w)
+    w[-1] += np.log(mean[1] / mean[0])
     return w
 
 
@@ -154,14 +159,16 @@ def _rows_of(first: np.ndarray, flat: np.ndarray, chosen: np.ndarray) -> tuple[n
     return np.repeat(np.arange(len(chosen), dtype=np.int32), n), flat[at]
 
 
-def co_train(sides: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, per_round: int, sure: float, default: float) -> Head:
+def co_train(sides: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, per_round: int, sure: float, default: float, stands_for: np.ndarray | None = None) -> Head:
     """Fit one target. ``sides``: (first, slots) of each view for all rows; ``y``: 0, 1 or -1
     (not labelled). In each round a view is fitted to the labelled rows and to those the other view
     labelled; a fifth of the labelled rows, held out, calibrates it; of the rows without label whose
-    calibrated probability is ``sure`` or more, the ``per_round`` surest of each class go to the other view."""
+    calibrated probability is ``sure`` or more, the ``per_round`` surest of each class go to the other view. ``stands_for``: how many labelled rows each was
+    drawn from, 1 by default; probabilities are those of all of these."""
     labelled = np.flatnonzero(y >= 0)
+    stands_for = np.ones(len(y)) if stands_for is None else stands_for
     if len(np.unique(y[labelled])) < 2 or min(np.bincount(y[labelled])) < 5:
-        return Head([], np.zeros(0), float(y[labelled].mean()) if len(labelled) else default)
+        return Head([], np.zeros(0), float(np.average(y[labelled], weights=stands_for[labelled])) if len(labelled) else default)
     rng = np.random.default_rng(7)
     mixed = rng.permutation(labelled)
     held = np.zeros(len(y), dtype=bool)
@@ -180,7 +187,7 @@ def co_train(sides: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds:
         if no == rounds:
             break
         for v in (0, 1):
-            curve = platt(views[v].scores(*_rows_of(*sides[v], test), len(test))[:, None], y[test].astype(float))
+            curve = platt(views[v].scores(*_rows_of(*sides[v], test), len(test))[:, None], y[test].astype(float), stands_for[test])
             p = sigmoid(np.column_stack([views[v].scores(*_rows_of(*sides[v], pool), len(pool)), np.ones(len(pool))]) @ curve)
             other = given[1 - v]
             for label, trust in ((1, p), (0, 1 - p)):
@@ -188,7 +195,7 @@ def co_train(sides: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds:
                 best = best[(trust[best] >= sure) & (other[pool[best]] < 0)][:per_round]
                 other[pool[best]] = label
     both = np.column_stack([view.scores(*_rows_of(*side, test), len(test)) for view, side in zip(views, sides)])
-    return Head(views, platt(both, y[test].astype(float)))
+    return Head(views, platt(both, y[test].astype(float), stands_for[test]))
 
 
 def _prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,12 +207,22 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8000, max_pool: int = 4000, rounds: int = 3, per_round: int = 400, sure: float = 0.97) -> dict[str, Head]:
     """The two heads, fitted on the driver. At most ``max_labelled`` labelled documents and
     ``max_pool`` without label take part, those with the least hash of their id; their features
-    alone (some KB each) are collected. Of several labels for one id the worst counts."""
+    alone (some KB each) are collected. Labelled ones are taken for each pair of labels by itself, as many
+    of each or all there are, so that those of a rare class all take part; the calibration
+    corrects for it. Of several labels for one id the worst counts."""
     worst = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     base = _prepare(docs, id_col, text_col).where("id is not null")
     ids = base.select("id")
-    marked = ids.join(worst, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    marked = marked.distinct().join(worst, "id")
+    present = worst.join(ids, "id", "left_semi")
+    there = {(r["quality"], r["toxic"]): r["count"] for r in present.groupBy("quality", "toxic").count().collect()}
+    most = _even(list(there.values()), max_labelled)
+    # a cut of the hashes, which are uniform, leaves little more than ``most`` of each pair to be ranked
+    cut = F.lit(float("inf"))
+    for (q, t), n in there.items():
+        if n > most:
+            cut = F.when(F.col("quality").eqNullSafe(F.lit(q)) & F.col("toxic").eqNullSafe(F.lit(t)), F.lit(-(2.0**63) + 2.0**64 * min(1.0, (1.2 * most + 200) / n))).otherwise(cut)
+    ranked = Window.partitionBy("quality", "toxic").orderBy("hash", "id")
+    marked = present.withColumn("hash", F.xxhash64("id")).where(F.col("hash") <= cut).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most).select("id", "quality", "toxic")
     pool = ids.join(worst, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_pool).distinct()
     wanted = marked.unionByName(pool.selectExpr("id", "cast(null as int) as quality", "cast(null as int) as toxic"))
     # bounded by max_labelled + max_pool rows of 16 bytes
@@ -228,7 +245,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lists = table[name].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
         sides.append((lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)))
     order = {"quality": 1.0, "toxic": 0.0}
-    return {h: co_train(sides, table[h].to_numpy().astype(np.int64), rounds, per_round, sure, order[h]) for h in HEADS}
+    y = {h: table[h].to_numpy().astype(np.int64) for h in HEADS}
+    stands_for = np.ones(table.num_rows)
+    for pair, n in there.items():
+        own = np.all([y[h] == (-1 if v is None else v) for h, v in zip(HEADS, pair)], axis=0)
+        if n > most and own.any():
+            stands_for[own] = n / own.sum()
+    return {h: co_train(sides, y[h], rounds, per_round, sure, order[h], stands_for) for h in HEADS}
+
+
+def _even(sizes: list[int], most: int) -> int:
+    """The number up to which groups of ``sizes`` are taken so that no more than ``most`` are taken in all."""
+    left, groups = most, len(sizes)
+    for n in sorted(sizes):
+        if n * groups > left:
+            return left // groups
+        left, groups = left - n, groups - 1
+    return max(sizes, default=0)
 
 
 def _scorer(docs: DataFrame, heads: dict[str, Head]):

@@ -61,6 +61,24 @@ def test_co_training_uses_the_other_view():
     assert accuracy[1] > accuracy[0] + 0.03
 
 
+def test_rare_class_in_many_labels(spark):
+    """Of 20,000 labels 40 are toxic; a sample of 500 holds one of them by chance."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 20)) + (" vile filth slur" if i % 500 == 0 else "") + (" spam junk" if i % 3 == 0 else ""), i % 3 > 0, i % 500 == 0) for i in range(20_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(q), int(t)) for i, _, q, t in rows], "doc_id bigint, quality int, toxic int")
+    heads = quality.train(docs, labels, max_labelled=500)
+    assert heads["toxic"].constant is None
+    found = quality.score_documents(docs, heads).toPandas().set_index("doc_id").sort_index()
+    toxic, good = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+    assert not found.keep[toxic].any() and found.keep[good & ~toxic].mean() > 0.99
+    assert abs(found.toxic.mean() - toxic.mean()) < 0.002 and abs(found.quality.mean() - good.mean()) < 0.03
+
+
+def test_even_shares():
+    assert [quality._even(*x) for x in (([], 10), ([3, 4], 10), ([3, 4, 100], 10), ([100, 2, 100], 10), ([5, 5], 10))] == [0, 4, 3, 4, 5]
+
+
 def test_odd_rows(held_out, spark):
     heads, _, _ = held_out
     df = spark.createDataFrame([(None, "some text", "a"), (1, None, "b"), (2, "", "c"), (3, "word " * 60_000, "d"), (3, "word " * 60_000, "d")], "doc_id bigint, text string, keep string")
