@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texthash import Words, mix, slices
+from .texthash import Words, byte_sums, flat, mix, part_hashes, slices
 
 HEADS = ("quality", "toxic")
 TEXT_BITS, META_BITS = 18, 12
@@ -69,7 +69,8 @@ def meta_features(part: pa.RecordBatch, w: Words) -> np.ndarray:
 
 def _names(values: pa.Array) -> np.ndarray:
     coded = pc.fill_null(values, "\0").dictionary_encode()
-    own = np.array([int.from_bytes(v.encode()[-24:] + b"\1", "little") % (1 << 64) ^ len(v) for v in coded.dictionary.to_pylist()], dtype=np.uint64)
+    raw, off = flat(coded.dictionary)
+    own = part_hashes(byte_sums(raw), off[:-1], off[1:])
     return own[coded.indices.to_numpy()] if len(own) else np.zeros(len(values), np.uint64)
 
 

@@ -1,6 +1,7 @@
 """The classifier on held-out labels, and the pipeline stage by stage."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,14 @@ def test_rare_class_in_many_labels(spark):
     assert abs(found.toxic.mean() - toxic.mean()) < 0.002 and abs(found.quality.mean() - good.mean()) < 0.03
 
 
+def test_names_are_told_apart():
+    names = ["https://a.com", "https://b.org", "commoncrawl-2023", "commoncrawl-2024", "", None, "a", "aa", "é", "x" * 100, "y" + "x" * 99]
+    codes = quality._names(pa.array(names + names[::-1]))
+    assert len(np.unique(codes)) == len(names) and np.array_equal(codes, codes[::-1])
+    assert np.array_equal(codes[:4], quality._names(pa.array(names[:4])))
+    assert len(quality._names(pa.array([], pa.string()))) == 0
+
+
 def test_even_shares():
     assert [quality._even(*x) for x in (([], 10), ([3, 4], 10), ([3, 4, 100], 10), ([100, 2, 100], 10), ([5, 5], 10))] == [0, 4, 3, 4, 5]
 
