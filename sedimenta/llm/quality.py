@@ -210,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``max_pool`` without label take part, those with the least hash of their id; their features
     alone (some KB each) are collected. Labelled ones are taken for each pair of labels by itself, as many
     of each or all there are, so that those of a rare class all take part; the calibration
-    corrects for it. Of several labels for one id the worst counts."""
+    corrects for it. Of several labels for one id the worst counts, of several rows with one id
+    the one with the least hash."""
     worst = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     base = _prepare(docs, id_col, text_col).where("id is not null")
     ids = base.select("id")
@@ -224,10 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cut = F.when(F.col("quality").eqNullSafe(F.lit(q)) & F.col("toxic").eqNullSafe(F.lit(t)), F.lit(-(2.0**63) + 2.0**64 * min(1.0, (1.2 * most + 200) / n))).otherwise(cut)
     ranked = Window.partitionBy("quality", "toxic").orderBy("hash", "id")
     marked = present.withColumn("hash", F.xxhash64("id")).where(F.col("hash") <= cut).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most).select("id", "quality", "toxic")
-    pool = ids.join(worst, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_pool).distinct()
+    pool = ids.join(worst, "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(max_pool)
     wanted = marked.unionByName(pool.selectExpr("id", "cast(null as int) as quality", "cast(null as int) as toxic"))
-    # bounded by max_labelled + max_pool rows of 16 bytes
-    sample = base.join(F.broadcast(wanted), "id").select("text", "lang", "source", "n_chars", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    # bounded by max_labelled + max_pool rows of 16 bytes; of rows that repeat an id, the one with the least hash takes part,
+    # which is chosen by hashes alone, so that texts are shuffled only where they are that one
+    own_hash = F.xxhash64("text", "lang", "source", "n_chars")
+    least = base.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min(own_hash).alias("hash"))
+    one = base.join(F.broadcast(wanted.join(least, "id")), "id").where(own_hash == F.col("hash")).dropDuplicates(["id"])
+    sample = one.select("text", "lang", "source", "n_chars", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
     def featurise(batches):
         for batch in batches:

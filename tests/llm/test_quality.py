@@ -84,6 +84,16 @@ def test_names_are_told_apart():
     assert len(quality._names(pa.array([], pa.string()))) == 0
 
 
+def test_repeated_ids_take_one_place(spark, monkeypatch):
+    """Two ids on 3,000 rows each don't fill the sample, with or without a label."""
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda sides, y, *_: seen.append(y))
+    docs = spark.range(400).unionByName(spark.range(6000).selectExpr("id % 2 * 200 as id")).selectExpr("id as doc_id", "concat('some text ', id) as text")
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 3 = 0 as int) as toxic")
+    quality.train(docs, labels, max_labelled=200, max_pool=150)
+    assert [len(y) for y in seen] == [350, 350] and [(y >= 0).sum() for y in seen] == [200, 200]
+
+
 def test_even_shares():
     assert [quality._even(*x) for x in (([], 10), ([3, 4], 10), ([3, 4, 100], 10), ([100, 2, 100], 10), ([5, 5], 10))] == [0, 4, 3, 4, 5]
 
