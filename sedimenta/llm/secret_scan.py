@@ -24,6 +24,12 @@ KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|xox[abprs]-[\w-]{10,
 OPERATOR = re.compile(r"=>|:=|\+=|[=:]")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 BARE = re.compile(r"[^\s,;#'\"`(){}\[\]<>]+")
+BARE_PHRASE = re.compile(rf"{BARE.pattern}(?:[ \t]+{BARE.pattern})*")
+SCHEME = re.compile(r"(?:bearer|basic|token)[ \t]+(?=\S+\s*$)", re.I)  # of an Authorization header, before its one token
+BARE_SCHEME = re.compile(r"(?:bearer|basic|token)[ \t]+(?=[^\s,;#'\"`(){}\[\]<>])", re.I)
+PHRASE_NAMES = {"passphrase", "password", "passwd", "pwd"}
+PROMPT = re.compile(r"\b(?:enter|your|please|password|passphrase|must|invalid|incorrect|forgot|wrong|required|the|is)\b", re.I)
+SET_NEXT = re.compile(r"[ \t]*(?:=>|:=|\+=|=(?!=)|:(?!:))")
 IDENT = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*")
 STRING = re.compile(
     r"(?:[rRbBuUfF]{1,2}|@|\$@?)?(?:\"\"\"(?P<a>(?:[^\\]|\\.)*?)\"\"\"|'''(?P<b>(?:[^\\]|\\.)*?)'''|\"(?P<c>(?:[^\"\\\n]|\\.)*)\"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>(?:[^`\\]|\\.)*)`)", re.S
@@ -57,14 +63,21 @@ def typed_name(text: str, op: int) -> str | None:
     return name_before(text, i - 1) if i and text[i - 1] == ":" else None
 
 
-def literal_after(text: str, at: int, known: dict[str, str]) -> tuple[str, int, int, bool] | None:
+def literal_after(text: str, at: int, known: dict[str, str], phrase: bool = False) -> tuple[str, int, int, bool] | None:
     """The value of the expression at ``at``: literals and known names joined by
     ``+`` or standing side by side; else a bare word of configuration syntax.
+    Literals and known names may begin on a later line, if they aren't assigned to there; inside an open bracket they may
+    go on over lines. Of a bare word the auth scheme before it is passed over; ``phrase``: bare words up to the line's end are one value.
     (value, start, end, whether a constant was put in)."""
-    n, parts, start, end, used = len(text), [], -1, -1, False
+    n, parts, start, end, used, depth, below = len(text), [], -1, -1, False, 0, False
     while True:
-        while at < n and text[at] in " \t(":
+        while at < n and (text[at] in " \t(" or not parts and text[at] in "\r\n\\" and (text[at] != "\\" or text[at + 1 : at + 2] in ("\r", "\n")) or depth > 0 and text[at] in "\r\n"):
+            depth += text[at] == "("
+            below |= text[at] in "\r\n"
             at += 1
+        m = STRING.match(text, at) or IDENT.match(text, at)
+        if below and not parts and (not m or SET_NEXT.match(text, m.end())):
+            return None
         if m := STRING.match(text, at):
             value = next(g for g in m.groups() if g is not None)
             filled = HOLE.sub(lambda h: known.get(h[1], h[0]), value)
@@ -73,13 +86,16 @@ def literal_after(text: str, at: int, known: dict[str, str]) -> tuple[str, int,
         elif (m := IDENT.match(text, at)) and m[0] in known:
             parts.append(known[m[0]])
             used = True
-        elif not parts and (m := BARE.match(text, at)):
+        elif not parts and not below and (m := (BARE_PHRASE if phrase else BARE).match(text, at)):
+            if scheme := BARE_SCHEME.match(text, at):
+                m = BARE.match(text, scheme.end())
             value = m[0].rstrip(".")
             return (value, m.start(), m.start() + len(value), False) if value else None
         else:
             break
         start, end, at = (m.start() if start < 0 else start), m.end(), m.end()
-        while at < n and text[at] in " \t)":
+        while at < n and (text[at] in " \t)" or depth > 0 and text[at] in "\r\n"):
+            depth -= text[at] == ")"
             at += 1
         if at < n and text[at] == "+":
             at += 1
@@ -100,7 +116,9 @@ def pairs(text: str):
         if a < done or text[a - 1 : a] in ("=", "!", "<", ">", ":", "~") or text[b : b + 1] in ("=", "~") or (m[0] == ":" and (text[b : b + 1] == ":" or text[b : b + 2] == "//")):
             continue
         name = (typed_name(text, a) if m[0] == "=" else None) or name_before(text, a)
-        if not name or not (found := literal_after(text, b, known)):
+        # several bare words are a passphrase only where the name begins its line
+        phrase = bool(name) and "passphrase" in map(str.lower, WORDS.findall(name)) and text[text.rfind("\n", 0, a) + 1 : a].strip(" \t\"'-") in (name, f"export {name}")
+        if not name or not (found := literal_after(text, b, known, phrase)):
             continue
         value, start, end, used = found
         if m[0] == "+=":
@@ -122,12 +140,15 @@ def name_score(name: str) -> float:
     return best * (0.4 if words and words[-1] in HARMLESS or "public" in words or "max" in words else 1.0)
 
 
-def literal_score(value: str) -> float:
-    """0 for placeholders and prose, near 1 for long strings of high entropy."""
+def literal_score(value: str, phrase: bool = False) -> float:
+    """0 for placeholders and prose, near 1 for long strings of high entropy. ``phrase``: several
+    words may be a secret, if they are 12 characters or more and don't ask for one."""
     if KNOWN.match(value):
         return 1.0
     n = len(value)
-    if n < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if n < 6 or PLACEHOLDER.match(value):
+        return 0.0
+    if any(c.isspace() for c in value) and not (phrase and n >= 12 and not PROMPT.search(value)):
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     mixed = any(c.isdigit() for c in value) + any(c.isupper() for c in value) + any(c.islower() for c in value) + any(not c.isalnum() for c in value)
@@ -137,7 +158,11 @@ def literal_score(value: str) -> float:
 def findings(text: str, threshold: float):
     for name, value, start, end, used in pairs(text):
         s = name_score(name)
-        if s and (score := round(0.5 * s + 0.5 * literal_score(value), 4)) >= threshold and literal_score(value) >= 0.3:
+        if not s:
+            continue
+        value = value[m.end() :].rstrip() if (m := SCHEME.match(value)) else value
+        like = literal_score(value, not PHRASE_NAMES.isdisjoint(map(str.lower, WORDS.findall(name))))
+        if (score := round(0.5 * s + 0.5 * like, 4)) >= threshold and like >= 0.3:
             shown = value[:3] + "*" * min(8, max(0, len(value) - 3))
             yield name, start, end, score, shown, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), used
 
@@ -148,7 +173,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are lexed for assignments of source and configuration syntax (``=``, ``:=``,
     ``=>``, ``+=``, ``:``; quoted, subscripted, dotted and typed names; strings of all
-    common quotes, joined by ``+`` or adjacency, with ``${name}`` holes; bare words).
+    common quotes, joined by ``+`` or adjacency, also on later lines, with ``${name}`` holes; bare words).
+    The scheme of an Authorization header (Bearer, Basic, Token) isn't part of the secret; literals
+    of several words count for passphrases and passwords.
     Names whose value is known are put in where later expressions use them. The score is the
     mean of how telling the name is and how much the literal looks like a secret.
     ``start`` and ``end`` are character offsets of the expression; the literal itself is never

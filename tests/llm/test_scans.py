@@ -1,5 +1,6 @@
 """Decontamination, licences and secrets on planted cases and against brute force."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -189,6 +190,29 @@ def test_secrets(text, names):
     assert [f[0] for f in secret_scan.findings(text, 0.6)] == names
 
 
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        ('{"Authorization": "Bearer q8Zr71LmPx92KdTe55"}', ["q8Zr71LmPx92KdTe55"]),
+        ("curl:\nAuthorization: Bearer q8Zr71LmPx92KdTe55\nAccept: all", ["q8Zr71LmPx92KdTe55"]),
+        ("part = 'q8Zr71LmPx92KdTe55'\nauthorization = f'Basic {part}'", ["q8Zr71LmPx92KdTe55"]),
+        ("passphrase = 'correct horse battery staple'", ["correct horse battery staple"]),
+        ("passphrase: correct horse battery staple # mine\nuser: bob", ["correct horse battery staple"]),
+        ("token =\n    'q8Zr71LmPx92KdTe55'", ["q8Zr71LmPx92KdTe55"]),
+        ("token = \\\n    'q8Zr71LmPx92KdTe55'", ["q8Zr71LmPx92KdTe55"]),
+        ("token = (\n    'q8Zr71Lm'\n    'Px92KdTe55'\n)\nname = 'x'", ["q8Zr71LmPx92KdTe55"]),
+        ("token = (\n    'q8Zr71Lm'\n    + 'Px92KdTe55'\n)", ["q8Zr71LmPx92KdTe55"]),
+        ("password:\nq8Zr71LmPx92KdTe55: x", []),
+        ("secret:\n  'q8Zr71LmPx92KdTe55': 'x'", []),
+        ("token = 'q8Zr71LmPx92KdTe55'\n'Px92KdTe55'", ["q8Zr71LmPx92KdTe55"]),
+        ("password = 'Please enter your password'\nauthorization: Bearer ${TOKEN}\ntitle = 'correct horse battery staple'", []),
+        ("he said the passphrase: it was a long story", []),
+    ],
+)
+def test_secrets_with_schemes_phrases_and_lines(text, secrets):
+    assert [f[-2] for f in secret_scan.findings(text, 0.6)] == [hashlib.sha256(s.encode()).hexdigest() for s in secrets]
+
+
 def test_secret_table(spark):
     text = "user = 'bob'\npassword = 'hX9$kq2LmZ81vbTr'\n"
     rows = [(1, text, "c"), (1, text, "c"), (None, text, "c"), (2, None, "c"), (3, "", "c"), (4, "x=1 " * 50_000 + "\n" + text, "c")]
