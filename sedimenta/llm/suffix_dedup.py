@@ -1,10 +1,10 @@
-"""Suffix-array dedup of repeated passages by prefix-free parsing.
+"""Dedup of repeated passages by sorted words around triggers, after the idea of prefix-free parsing.
 
 A rolling hash over runs of TRIGGER_WORDS words puts a trigger at the least hash of every
-SPAN positions, so equal passages have equal triggers. The triggers part the texts
-into phrases. The distinct phrases with what follows them are the dictionary; every passage
-of ``min_words`` is some suffix of a phrase, up to its trigger, followed by the parse from there.
-Sorting the suffixes and the continuations, each with its array of common lengths, and
+SPAN positions, so equal passages have equal triggers. Every passage of ``min_words`` is some
+words before a trigger followed by words from there. The distinct contexts of triggers are the entries; no
+phrases are numbered and no parse is made, as a passage reaches no further than its context.
+Sorting the words before (backwards) and the words after, each with its array of common lengths, and
 combining both gives the passages in corpus order, so that equal ones are neighbours.
 The work is parted by the words right after the trigger, which equal passages share.
 """
