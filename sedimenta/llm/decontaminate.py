@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import Words, runs, slices
+from .texthash import Words, is_long, pieces, runs, slices
 
-RADIUS = 7
-BLOCKS, BITS = 4, 16  # by pigeonhole, fingerprints within RADIUS differ by one bit at most in one of four blocks
-_NEAR = np.concatenate([[0], 1 << np.arange(BITS)])
-STEP = 1.25  # ratio of neighbouring window sizes
+RADIUS = 11
+BLOCKS, BITS = 4, 16  # by pigeonhole, of two fingerprints within ``radius`` one of four blocks is within radius // 4
 COMMON = 16  # a shingle of more items than this needn't be looked up for an item whose rarer ones suffice
+PIECE = 1 << 19  # bytes of text that are worked on at once
+ITEM_BYTES = 1 << 24  # text of the items that one scan holds
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, distance int, similarity double"
+_made: dict[str, ItemIndex] = {}  # of the scan that this worker is at
 
 
 def bit_sums(h: np.ndarray, kind: type) -> np.ndarray:
@@ -31,64 +34,68 @@ def bit_sums(h: np.ndarray, kind: type) -> np.ndarray:
     return out
 
 
-def simhash(sums: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of all windows of ``size`` words."""
-    return np.packbits(sums[size:] - sums[:-size] > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+def simhash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of the windows of words start..end."""
+    return np.packbits(sums[end] - sums[start] > 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def sum_kind(longest: int) -> type:
     return np.int8 if longest < 128 else np.int16 if longest < 1 << 15 else np.int32
 
 
+def flips(most: int) -> np.ndarray:
+    """All 16-bit numbers with ``most`` bits or fewer."""
+    return np.array([sum(1 << b for b in own) for n in range(most + 1) for own in combinations(range(BITS), n)], dtype=np.int64)
+
+
+def known_shingles(words: Words, k: int) -> list[Counter]:
+    """The ``k``-word runs of each row with their counts; of a shorter row the one run of all its words."""
+    out = []
+    for a, b in zip(words.first, words.first[1:]):
+        h = words.hash[a:b]
+        out.append(Counter(runs(h, np.zeros(len(h), np.int64), min(k, len(h)))[1].tolist()) if len(h) else Counter())
+    return out
+
+
 class ItemIndex:
-    """All items: their word hashes, shingle weights, and for each window size the
-    fingerprints of the items' windows, found by any of four 16-bit blocks."""
+    """Some items: their word hashes, shingle weights, the items by shingle, and the fingerprint
+    of each item, found by any of four 16-bit blocks.
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float = 0.6):
+    ``df``: in how many of all ``total`` items each shingle is, where these are only some of them."""
+
+    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float = 0.6, radius: int = RADIUS, df: dict[int, int] | None = None, total: int | None = None):
         words = Words(pa.array([t for _, t in items], pa.string()))
-        self.shingle = shingle
+        self.shingle, self.threshold, self.radius = shingle, threshold, radius
         self.ids = [i for i, _ in items]
         self.words = [words.hash[a:b] for a, b in zip(words.first, words.first[1:])]
-        sets = [Counter(self._shingles(w).tolist()) for w in self.words]
-        df = Counter(s for c in sets for s in c)
-        self.weights = {s: math.log(1 + len(items) / n) for s, n in df.items()}
+        sets = known_shingles(words, shingle)
+        df = df or Counter(s for c in sets for s in c)
+        self.weights = {s: math.log(1 + (total or len(items)) / df[s]) for c in sets for s in c}
         self.counts, self.total = sets, [sum(n * self.weights[s] for s, n in c.items()) for c in sets]
-        self.threshold = threshold
-        self.known = np.array(sorted(df), dtype=np.uint64)
+        self.known = np.array(sorted(self.weights), dtype=np.uint64)
         self.weight = np.array([self.weights[s] for s in self.known.tolist()], dtype=float)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         # shingles of some item that a stretch must have at least before it can reach the threshold, by item
         heaviest = [max((self.weights[s] for s in c), default=1.0) for c in sets]
-        self.least = np.array([math.ceil(threshold * t / h - 1e-9) if len(w) >= shingle else 0 for t, h, w in zip(self.total, heaviest, self.words)], dtype=np.int64)
-        lengths = sorted({len(w) for w in self.words if len(w)})
-        self.classes: dict[int, list[tuple[np.ndarray, np.ndarray, list]]] = {}
-        self.kind = sum_kind(max(lengths, default=0))
-        sizes: list[int] = []
-        for n in lengths:
-            if not sizes or n > sizes[-1] * STEP:
-                sizes.append(n)
-        for no, size in enumerate(sizes):
-            most = sizes[no + 1] if no + 1 < len(sizes) else math.inf
-            prints, who, where = [], [], []
-            for k, w in enumerate(self.words):
-                if size <= len(w) < most:
-                    mine = simhash(bit_sums(w, self.kind), size)
-                    for at in sorted({0, len(w) - size}):  # an item a little longer has two windows, which cover it
-                        prints.append(mine[at])
-                        who.append(k)
-                        where.append(at)
-            prints, who, where = np.array(prints, dtype=np.uint64), np.array(who), np.array(where)
-            tables = []
-            for b in range(BLOCKS):
-                block = ((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                probes = (block[:, None] ^ _NEAR).reshape(-1)
-                order = np.argsort(probes, kind="stable")
-                first = np.searchsorted(probes[order], np.arange((1 << BITS) + 1))
-                tables.append((np.diff(first) > 0, first, order // len(_NEAR)))
-            self.classes[size] = (prints, who, where, tables)
+        self.least = np.array([max(1, math.ceil(threshold * t / h - 1e-9)) if len(w) else 0 for t, h, w in zip(self.total, heaviest, self.words)], dtype=np.int64)
+        self.kind = sum_kind(int(self.size.max(initial=0)))
+        self.print = np.array([simhash(bit_sums(w, self.kind), [0], [len(w)])[0] for w in self.words], dtype=np.uint64)
+        self.sizes = sorted({len(w) for w in self.words if len(w)})
+        self.size_least = {n: int(self.least[self.size == n].min()) for n in self.sizes}
+        own = np.flatnonzero(self.size > 0)
+        self.near_bits = flips(radius // BLOCKS)
+        self.tables = []
+        for b in range(BLOCKS):
+            key = self.size[own] << BITS | self._block(self.print[own], b)
+            order = np.argsort(key, kind="stable")
+            self.tables.append((key[order], own[order]))
         self._post(df)
 
-    def _post(self, df: Counter) -> None:
+    @staticmethod
+    def _block(prints: np.ndarray, b: int) -> np.ndarray:
+        return ((prints >> np.uint64(BITS * b)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+    def _post(self, df: dict[int, int]) -> None:
         """Items by shingle. A stretch that reaches the threshold has at least ``need`` of the weight that is
         posted for an item: all of it, or without its commonest shingles, of half the threshold at most."""
         self.need, place, who = np.zeros(len(self.ids)), [], []
@@ -151,146 +158,222 @@ class ItemIndex:
             have[g] -= 1
         return start
 
-    def distance(self, k: int, sums: np.ndarray, a: int, b: int) -> int:
-        """Between the SimHashes of the words a to b and of the whole item."""
-        print_of = lambda s: np.packbits(s > 0, bitorder="little").view(np.uint64)[0]
-        return int(np.bitwise_count(print_of(sums[b] - sums[a]) ^ print_of(bit_sums(self.words[k], self.kind)[-1])))
+    def near(self, size: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """(window, item, distance) of all pairs of a window and an item of its size within the radius."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for b, (keys, who) in enumerate(self.tables):
+            probes = ((size << BITS | self._block(prints, b))[:, None] ^ self.near_bits).reshape(-1)
+            first = np.searchsorted(keys, probes, side="left")
+            hit = np.flatnonzero((first < len(keys)) & (keys[np.minimum(first, len(keys) - 1)] == probes)) if len(keys) else []
+            if not len(hit):
+                continue
+            n = np.searchsorted(keys, probes[hit], side="right") - first[hit]
+            win = np.repeat(hit // len(self.near_bits), n)
+            item = who[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[hit], n)]
+            distance = np.bitwise_count(prints[win] ^ self.print[item])
+            ok = distance <= self.radius
+            found.append(np.stack([win[ok], item[ok], distance[ok]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         k = min(self.shingle, len(h))
         return runs(h, np.zeros(len(h), np.int64), k)[1] if k else h
 
-    def near(self, size: int, prints: np.ndarray):
-        """(window, entry, distance) of all pairs within RADIUS."""
-        mine, _, _, tables = self.classes[size]
-        found = []
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        for b, (any_at, first, order) in enumerate(tables):
-            hit = np.flatnonzero(any_at[blocks[:, b]])
-            block = blocks[hit, b].astype(np.int64)
-            n = first[block + 1] - first[block]
-            win = np.repeat(hit, n)
-            entry = order[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[block], n)]
-            distance = np.bitwise_count(prints[win] ^ mine[entry])
-            ok = distance <= RADIUS
-            found.append(np.stack([win[ok], entry[ok], distance[ok]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
-
     def similarity(self, k: int, h: np.ndarray) -> float:
         """Share of the item's shingle weight that the words ``h`` hold."""
         have = Counter(self._shingles(h).tolist())
         return sum(min(n, have.get(s, 0)) * self.weights[s] for s, n in self.counts[k].items()) / self.total[k]
 
+    def _shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those of ``grams`` that some item has, and which they are."""
+        gram = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[gram] == grams)
+        return hit, gram[hit]
+
+    def windows(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the item-sized windows, at every word, that some item of that size may match: they have as many
+        known shingles (which begin at ``at``) as such a match needs. The others can't pass at any distance."""
+        starts, sizes, n = [], [], len(words.hash)
+        known = np.zeros(n + 1, dtype=np.int32)
+        known[at + 1] = 1
+        np.cumsum(known, out=known)
+        for size in self.sizes:
+            if n < size:
+                break
+            if size < self.shingle:
+                spot, grams = words.runs(size)
+                begin = spot[self._shared(grams)[0]]
+            else:
+                span = size - self.shingle + 1
+                begin = np.flatnonzero(known[span : n - self.shingle + 2] - known[: n - size + 1] >= self.size_least[size])
+                begin = begin[words.doc[begin] == words.doc[begin + size - 1]]
+            starts.append(begin)
+            sizes.append(np.full(len(begin), size))
+        return (np.concatenate(starts), np.concatenate(sizes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def similar(self, words: Words) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, start, end, distance) of the candidates of both searches; start and end are words of the slice."""
+        if not len(self.known):
+            return []
+        spot, grams = words.runs(self.shingle)
+        hit, gram = self._shared(grams)
+        at = spot[hit]
+        start, size = self.windows(words, at)
+        out = []
+        if len(start):
+            # only rows with such windows are summed up
+            used = np.zeros(len(words.first) - 1, dtype=bool)
+            used[words.doc[start]] = True
+            own = used[words.doc]
+            moved = np.cumsum(own) - 1
+            sums = bit_sums(words.hash[own], self.kind)
+            for lo in range(0, len(start), 1 << 14):
+                s, n = start[lo : lo + (1 << 14)], size[lo : lo + (1 << 14)]
+                win, item, distance = self.near(n, simhash(sums, moved[s], moved[s] + n)).T
+                out += zip(words.doc[s[win]].tolist(), item.tolist(), s[win].tolist(), (s[win] + n[win]).tolist(), distance.tolist())
+        for r, k in self.sharing(at, gram, words.doc) if len(at) else ():
+            first, last = int(words.first[r]), int(words.first[r + 1])
+            x, y = np.searchsorted(at, (first, last))
+            a = self.place(k, at[x:y], gram[x:y], first)
+            b = min(a + int(self.size[k]), last)
+            sums = bit_sums(words.hash[a:b], self.kind)
+            out.append((r, k, a, b, int(np.bitwise_count(simhash(sums, [0], [b - a])[0] ^ self.print[k]))))
+        return out
+
+    def find(self, texts: pa.Array) -> dict[tuple[int, int | None], tuple]:
+        """{(row, item id): (-similarity, start, end, distance)}, the best place of each item in each text."""
+        if is_long(texts, PIECE):
+            best: dict[tuple[int, int | None], tuple] = {}
+            for part, word, last in pieces(texts, PIECE, int(self.size.max(initial=0)) + self.shingle):
+                for key, (s, a, b, d) in self._find(part, whole=last).items():
+                    now = (s, a + word, b + word, d)
+                    best[key] = min(best.get(key, now), now)
+            return best
+        return self._find(texts)
+
+    def _find(self, texts: pa.Array, whole: bool = True) -> dict[tuple[int, int | None], tuple]:
+        words, best, tried = Words(texts), {}, {}
+        for r, k, a, b, d in self.similar(words):
+            if not whole and a + self.size[k] > len(words.hash):
+                continue  # the next piece has all of it
+            if (k, a, b) not in tried:
+                tried[k, a, b] = self.similarity(k, words.hash[a:b])
+            if (share := tried[k, a, b]) >= self.threshold:
+                key, first = (r, self.ids[k]), int(words.first[r])
+                now = (-share, a - first, b - first, d)
+                best[key] = min(best.get(key, now), now)
+        return best
+
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: float = 0.6) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: float = 0.6, radius: int = RADIUS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """One row for each item that a document holds: ``doc_id, item_id, start_word, end_word, distance, similarity``.
 
-    Windows of the items' sizes (in steps of a quarter; an item between two sizes has
-    two windows, its first and last words) slide over every word of every document.
-    Their 64-bit SimHashes over the words come from differences of running sums.
-    Multi-index search over four 16-bit blocks, each within one bit, finds all item windows
-    within Hamming distance 7. Passages edited more than that are found by the shingles that they share
+    Windows of each item's size slide over every word of every document. Those that have enough of the benchmark's
+    shingles to reach the threshold at all (the others can't, whatever their distance) get a 64-bit SimHash over their words,
+    from differences of running sums. Multi-index search over four 16-bit blocks, each within ``radius`` // 4 bits,
+    finds all items of the window's size within Hamming distance ``radius``. Passages edited more than that, or with words put in or
+    left out, are found by the shingles that they share
     with an item: for each document and item that may reach the threshold by them, the stretch with the greatest share.
     The stretch of the item's length is verified: the share of the item's
     weighted ``shingle``-word runs that it has, rare ones (over the whole benchmark) weighing
     more, must reach ``threshold``. All documents that have such a stretch are found. The most similar place
-    is reported, ties by the first; ``distance`` is that of the windows or of the stretch and the item.
+    is reported, ties by the first; ``distance`` is that of the window or stretch and the item.
 
     Items without words have no match, nor has an item in a document too short for the threshold; items that
     repeat, or share an id, are each compared, and an id is reported once for a document row.
     NULL and empty texts give no rows, NULL ids of documents are returned as they are, items
-    with NULL id are reported with it. Other columns are ignored. The benchmark is
-    one list that all tasks hold (some KB an item); documents are scanned once, without a shuffle.
+    with NULL id are reported with it. Ids are whole numbers. Very long texts are worked on in overlapping pieces. Other columns are ignored. Items of up to
+    ``item_bytes`` of text are one list that all tasks hold, built once in each worker; a larger benchmark is
+    held against the documents part by part. Documents are scanned once for each part, without a shuffle.
     """
-    find = _finder(docs, benchmark, shingle, threshold)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''")
 
-    def scan(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
-                ids = part["doc_id"].to_pylist()
-                rows = [(ids[r], i, lo, hi, d, round(-s, 6)) for (r, i), (s, lo, hi, d) in find(part["text"]).items()]
-                cols = list(zip(*rows)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "start_word", "end_word", "distance", "similarity"])
+    def scan(find):
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch, "text", PIECE):
+                    ids = part["doc_id"].to_pylist()
+                    rows = [(ids[r], i, lo, hi, d, round(-s, 6)) for (r, i), (s, lo, hi, d) in find(part["text"]).items()]
+                    cols = list(zip(*rows)) or [()] * 6
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "start_word", "end_word", "distance", "similarity"])
+
+        return run
+
+    out = None
+    for find in _finders(benchmark, shingle, threshold, radius, item_bytes):
+        found = base.mapInArrow(scan(find), SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finders(benchmark: DataFrame, shingle: int, threshold: float, radius: int, item_bytes: int) -> list:
+    """Functions that tasks call with an array of texts, one for each part of the benchmark; see ItemIndex.find.
+    Items that share an id are in one part, and so are equal texts' shares: weights are those of the whole benchmark."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    size, total = items.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    parts = max(1, math.ceil((size or 0) / item_bytes))
+    if parts == 1:
+        return [_finder(benchmark.sparkSession, items.collect(), shingle, threshold, radius)]
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
 
-    return base.mapInArrow(scan, SCHEMA)
+    def count(batches):
+        for batch in batches:
+            for cut in slices(batch, "text", PIECE):
+                part, sets = cut["part"].to_pylist(), known_shingles(Words(cut["text"]), shingle)
+                rows = [(p, np.uint64(s).astype(np.int64).item()) for p, c in zip(part, sets) for s in c]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["part", "gram"])
+
+    grams = items.select("part", "text").mapInArrow(count, "part bigint, gram bigint")
+    shares = grams.distinct().join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+    out = []
+    for part in range(parts):
+        df = {r["gram"] % (1 << 64): r["n"] for r in shares.where(F.col("part") == part).select("gram", "n").collect()}
+        own = items.where(F.col("part") == part).select("item_id", "text").collect()
+        out.append(_finder(benchmark.sparkSession, own, shingle, threshold, radius, df, total))
+    return out
 
 
-def _finder(docs: DataFrame, benchmark: DataFrame, shingle: int, threshold: float):
-    """A function that tasks call with an array of texts: {(row, item id): (-similarity, start, end, distance)}."""
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), "text").where("text is not null").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-    made: list[ItemIndex] = []
+def _finder(spark, items: list, shingle: int, threshold: float, radius: int, df: dict[int, int] | None = None, total: int | None = None):
+    items = sorted(((r[0], r[1]) for r in items), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    shared, key = spark.sparkContext.broadcast((items, df)), uuid.uuid4().hex
 
     def find(texts: pa.Array) -> dict[tuple[int, int | None], tuple]:
-        if not made:
-            made.append(ItemIndex(shared.value, shingle, threshold))
-        index, words = made[0], Words(texts)
-        best: dict[tuple[int, int | None], tuple] = {}
-        sums = bit_sums(words.hash, index.kind)
-        at, grams = runs(words.hash, words.doc, shingle)
-        known = np.zeros(len(words.hash) + 1, dtype=np.int64)
-        gram = np.zeros(0, np.int64)
-        if len(index.known):
-            gram = np.minimum(np.searchsorted(index.known, grams), len(index.known) - 1)
-            shared_at = index.known[gram] == grams
-            known[at + 1] = shared_at
-            at, gram = at[shared_at], gram[shared_at]
-        else:
-            at = at[:0]
-        known = np.cumsum(known)
-        tried = set()
-        for size, (_, who, where, _) in index.classes.items():
-            n = len(words.hash) - size + 1
-            if n <= 0:
-                continue
-            win, entry, distance = index.near(size, simhash(sums, size)).T
-            inside = words.doc[win] == words.doc[win + size - 1]
-            win, entry, distance = win[inside], entry[inside], distance[inside]
-            item, row = who[entry], words.doc[win]
-            lo = np.maximum(win - where[entry], words.first[row])
-            hi = np.minimum(lo + index.size[item], words.first[row + 1])
-            # most candidates share common words only: too few of their shingles are any item's
-            ok = known[np.maximum(hi - shingle + 1, lo)] - known[lo] >= index.least[item]
-            for k, r, a, b, d in zip(*(x[ok].tolist() for x in (item, row, lo, hi, distance))):
-                if (k, a, d) in tried:
-                    continue
-                tried.add((k, a, d))
-                share = index.similarity(k, words.hash[a:b])
-                if share >= threshold:
-                    key, first = (r, index.ids[k]), int(words.first[r])
-                    now = (-share, a - first, b - first, d)
-                    best[key] = min(best.get(key, now), now)
-        for r, k in index.sharing(at, gram, words.doc) if len(at) else ():
-            first, last = int(words.first[r]), int(words.first[r + 1])
-            x, y = np.searchsorted(at, (first, last))
-            a = index.place(k, at[x:y], gram[x:y], first)
-            b = min(a + int(index.size[k]), last)
-            share = index.similarity(k, words.hash[a:b])
-            if share >= threshold:
-                key, now = (r, index.ids[k]), (-share, a - first, b - first, index.distance(k, sums, a, b))
-                best[key] = min(best.get(key, now), now)
-        return best
+        return _index(key, shared, shingle, threshold, radius, total).find(texts)
 
     return find
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shingle: int = 3, threshold: float = 0.6) -> DataFrame:
+def _index(key: str, shared, shingle: int, threshold: float, radius: int, total: int | None) -> ItemIndex:
+    """The index of a list of items, made by the first of a worker's tasks."""
+    if key not in _made:
+        if len(_made) >= 4:  # parts of one benchmark may take turns
+            _made.pop(next(iter(_made)))
+        items, df = shared.value
+        _made[key] = ItemIndex(items, shingle, threshold, radius, df, total)
+    return _made[key]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", shingle: int = 3, threshold: float = 0.6, radius: int = RADIUS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds an item as benchmark_leaks says, whatever their ids:
-    one pass, nothing is shuffled. NULL and empty texts stay."""
-    find, names = _finder(docs, benchmark, shingle, threshold), docs.columns
+    nothing is shuffled. NULL and empty texts stay."""
+    names = docs.columns
     wide = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index(text_col)}"
+    text, kinds = f"c{names.index(text_col)}", wide.schema
 
-    def clean(batches):
-        for batch in batches:
-            for part in slices(batch, text, 1 << 19):
-                ok = np.ones(part.num_rows, dtype=bool)
-                ok[[row for row, _ in find(part[text])]] = False
-                yield part.filter(pa.array(ok))
+    def clean(find):
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch, text, PIECE):
+                    ok = np.ones(part.num_rows, dtype=bool)
+                    ok[[row for row, _ in find(part[text])]] = False
+                    yield part.filter(pa.array(ok))
+
+        return run
 
-    return wide.mapInArrow(clean, wide.schema).toDF(*names)
+    for find in _finders(benchmark, shingle, threshold, radius, item_bytes):
+        wide = wide.mapInArrow(clean(find), kinds)
+    return wide.toDF(*names)
 
 
 def op8_decontaminate(spark, sf_dir) -> DataFrame:

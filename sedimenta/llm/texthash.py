@@ -53,6 +53,36 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
         at = to
 
 
+def pieces(texts: pa.Array, most_bytes: int, overlap: int):
+    """One long text in pieces of about ``most_bytes`` that end with a word: (an array of one text in lower case, the number
+    of its first word, whether it is the last). Each piece begins ``overlap`` words before the one before it
+    ends, so every run of ``overlap`` + 1 words or fewer lies wholly in one."""
+    raw, _ = flat(pc.utf8_lower(pc.fill_null(texts, "")))
+    at = word = 0
+    while True:
+        end = at
+        while True:
+            end = min(end + most_bytes, len(raw))
+            while end < len(raw) and not len(gap := np.flatnonzero(~WORD_BYTE[raw[end : end + 65536]])):
+                end = min(end + 65536, len(raw))
+            if end < len(raw):
+                end += int(gap[0])
+            letter = WORD_BYTE[raw[at:end]]
+            starts = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+            if len(starts) > overlap or end == len(raw):
+                break
+        yield pa.array([raw[at:end].tobytes()], pa.binary()).cast(pa.string()), word, end == len(raw)
+        if end == len(raw):
+            return
+        keep = len(starts) - overlap
+        at, word = at + int(starts[keep]) if overlap else end, word + keep
+
+
+def is_long(texts: pa.Array, most_bytes: int) -> bool:
+    """Whether an array that slices made is one text to be cut into pieces."""
+    return len(texts) == 1 and (pc.binary_length(texts[0]).as_py() or 0) > 2 * most_bytes
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an array of strings; NULL is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

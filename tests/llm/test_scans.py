@@ -36,6 +36,9 @@ def leaky():
     return items, rows
 
 
+_weighed = {}
+
+
 def similarity(items, k, words):
     """The share of an item's weighted shingles in a stretch of words, written again from its definition."""
 
@@ -43,9 +46,12 @@ def similarity(items, k, words):
         n = min(3, len(w))
         return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter()
 
-    sets = [grams(t.split()) for _, t in items]
-    df = Counter(g for s in sets for g in s)
-    weight = {g: math.log(1 + len(items) / n) for g, n in df.items()}
+    key = hash(tuple(items))
+    if key not in _weighed:
+        sets = [grams(t.split()) for _, t in items]
+        df = Counter(g for s in sets for g in s)
+        _weighed[key] = sets, {g: math.log(1 + len(items) / n) for g, n in df.items()}
+    sets, weight = _weighed[key]
     have = grams(words)
     return sum(min(n, have[g]) * weight[g] for g, n in sets[k].items()) / sum(n * weight[g] for g, n in sets[k].items())
 
@@ -71,18 +77,54 @@ def test_decontamination_equals_brute_force(spark, leaky):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
-def test_index_finds_all_within_radius():
+@pytest.mark.parametrize("radius", [7, 11, 15])
+def test_index_finds_all_within_radius(radius):
     rng = np.random.default_rng(3)
-    items = [(i, " ".join(f"u{x}" for x in rng.integers(0, 10**6, 20))) for i in range(50)]
-    index = decontaminate.ItemIndex(items, 3)
-    (size, (mine, *_)), = index.classes.items()
+    items = [(i, " ".join(f"u{x}" for x in rng.integers(0, 10**6, 20 + i % 2))) for i in range(50)]
+    index = decontaminate.ItemIndex(items, 3, radius=radius)
     prints = []
-    for p in mine:
-        flips = rng.choice(64, rng.integers(0, 16), replace=False)
+    for p in index.print:
+        flips = rng.choice(64, rng.integers(0, 20), replace=False)
         prints.append(p ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0)))
-    prints = np.array(prints, dtype=np.uint64)
-    want = {(a, b) for a in range(len(prints)) for b in range(len(mine)) if int(prints[a] ^ mine[b]).bit_count() <= decontaminate.RADIUS}
-    assert {(a, b) for a, b, _ in index.near(size, prints).tolist()} == want and len(want) > 20
+    prints, size = np.array(prints, dtype=np.uint64), np.where(np.arange(50) % 3, 20, 21)
+    want = {(a, b) for a in range(50) for b in range(50) if int(prints[a] ^ index.print[b]).bit_count() <= radius and size[a] == index.size[b]}
+    assert {(a, b) for a, b, _ in index.near(size, prints).tolist()} == want and len(want) > 4
+
+
+@pytest.mark.parametrize("every", [7, 8, 9, 10, 12, 15])
+def test_words_edited_regularly(every):
+    """Items with one word in ``every`` changed that are as similar as asked for: all are found, most by their SimHash alone."""
+    rng = random.Random(every)
+    items = [(i, " ".join(prose(rng, 40))) for i in range(200)]
+    index = decontaminate.ItemIndex(items, 3)
+    texts, owner = [], []
+    while len(texts) < 100:
+        k = rng.randrange(200)
+        words, shift = items[k][1].split(), rng.randrange(every)
+        for at in range(shift, 40, every):
+            words[at] = f"edit{len(texts)}x{at}"
+        if similarity(items, k, words) >= 0.6:
+            texts.append(" ".join(prose(rng, 60) + words + prose(rng, 60)))
+            owner.append(k)
+    found = index.find(pa.array(texts))
+    assert all((r, k) in found for r, k in enumerate(owner))
+    index.sharing = lambda *_: []
+    alone = index.find(pa.array(texts))
+    assert sum((r, k) in alone for r, k in enumerate(owner)) >= {7: 60, 8: 70}.get(every, 80)
+
+
+def test_long_text_in_pieces_and_benchmark_in_parts(spark, leaky, monkeypatch):
+    items, rows = leaky
+    index = decontaminate.ItemIndex(items, 3)
+    text = " . ".join(t for _, t in rows) + " Ünï İx end"
+    want = index.find(pa.array([text]))
+    monkeypatch.setattr(decontaminate, "PIECE", 1500)
+    assert index.find(pa.array([text])) == want and len(want) > 5
+    df = spark.createDataFrame([(d, t, None, None) for d, t in rows], DOCS)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole, cut = (sorted(map(tuple, decontaminate.benchmark_leaks(df, bench, item_bytes=n).collect())) for n in (1 << 20, 1500))
+    assert whole == cut
+    assert decontaminate.decontaminate(df, bench, item_bytes=1500).count() == decontaminate.decontaminate(df, bench).count()
 
 
 def test_edited_and_tiny_items(spark):
@@ -121,8 +163,9 @@ def test_edits_at_random_places_equal_brute_force(spark, lengths):
 def test_running_sums_wrap_right():
     words = Words(pa.array([" ".join(f"t{i}" for i in range(500))]))
     for size in (1, 30, 127):
-        small = decontaminate.simhash(decontaminate.bit_sums(words.hash, np.int8), size)
-        assert np.array_equal(small, decontaminate.simhash(decontaminate.bit_sums(words.hash, np.int32), size))
+        start = np.arange(500 - size)
+        small = decontaminate.simhash(decontaminate.bit_sums(words.hash, np.int8), start, start + size)
+        assert np.array_equal(small, decontaminate.simhash(decontaminate.bit_sums(words.hash, np.int32), start, start + size))
 
 
 def test_decontamination_odd(spark, leaky):
