@@ -10,14 +10,16 @@ import tempfile
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-from ..errors import Conflict
+from ..errors import Conflict, InvalidInput
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where
-    the session names none, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where the session names none and
+    all runs in this process, as in tests, a temporary one is made, set, and removed at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise InvalidInput("spark.checkpoint.dir names no folder that all executors share")
         own = tempfile.mkdtemp(prefix="sedimenta-")
         atexit.register(shutil.rmtree, own, True)
         folder = f"file://{own}"
