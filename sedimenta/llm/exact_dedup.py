@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAP_BITS, fresh, in_map, repeated_keys_map
@@ -14,8 +14,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Three scans, each shuffling less than the text. The first groups by length;
     the second hashes the prefixes of those whose length repeats; the third hashes
     the full content of those whose length and prefix repeat. What a scan needs
-    to know of the one before is a bitmap of fixed size (``map_bits``), so any share
-    of survivors works alike; the last grouping (length and SHA-256) decides alone.
+    to know of the one before is a bitmap, sized by the number of keys that repeat (of 256 MB at most; beyond some
+    hundred million such keys more texts are hashed in full than need be); the last grouping (length and SHA-256) decides alone.
+    It counts before the shuffle and joins the least id back, so no task holds a group.
 
     In each group the document with the least id stays (NULL ids come last) and has
     no row. NULL texts equal nothing; empty texts equal each other. A row that
@@ -24,19 +25,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     base = base.withColumn("len", F.octet_length("text").cast("bigint"))
-    lengths = repeated_keys_map(base.select("len"), "len", map_bits)
-    same_len = in_map(base, F.col("len"), lengths, map_bits)
+    lengths, bits = repeated_keys_map(base.select("len"), "len", map_bits)
+    same_len = in_map(base, F.col("len"), lengths, bits)
     same_len = same_len.withColumn("prefix", F.xxhash64("len", F.substring("text", 1, prefix_chars)))
-    prefixes = repeated_keys_map(same_len.select("prefix"), "prefix", map_bits)
-    last = in_map(same_len, F.col("prefix"), prefixes, map_bits)
+    prefixes, bits = repeated_keys_map(same_len.select("prefix"), "prefix", map_bits)
+    last = in_map(same_len, F.col("prefix"), prefixes, bits)
     full = last.select("id", "len", F.unhex(F.sha2("text", 256)).alias("full"))
-    order = Window.partitionBy("len", "full").orderBy(F.col("id").asc_nulls_last())
-    ranked = full.select("id", F.first("id").over(order).alias("keep"), F.row_number().over(order).alias("nth"))
-    return ranked.where("nth > 1").select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"))
+    rows = full.groupBy("len", "full", "id").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id")
+    firsts = rows.groupBy("len", "full").agg(F.min(place)["id"].alias("keep"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    # every row but one of the id that stays
+    gone = rows.join(firsts, ["len", "full"]).withColumn("n", F.col("n") - F.col("id").eqNullSafe(F.col("keep")).cast("int")).where("n > 0")
+    # in two steps, as one id may be on any number of rows
+    gone = gone.select("id", "keep", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(4096).cast("bigint"))).alias("at"))
+    gone = gone.select("id", "keep", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(4096), F.col("n") - F.col("at")).cast("int"))))
+    return gone.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` without the documents that exact_duplicates lists; ids must be unique."""
+    """``docs`` without the documents that exact_duplicates lists; ids must be unique. Rows with NULL id or NULL text stay."""
     gone = exact_duplicates(docs, id_col, text_col, **params).select(F.col(id_col).alias("gone"))
     (key,) = fresh(docs, "gone")
     return docs.join(gone.withColumnRenamed("gone", key), F.col(id_col) == F.col(key), "left_anti")

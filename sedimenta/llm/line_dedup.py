@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, fresh, keys_map, materialize, may_be_in_map
+from .common import MAP_BITS, bits_for, fresh, keys_map, materialize, may_be_in_map
 
 WINDOW = 3
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """(id, body, pos, w1, w2): every run of three lines, hashed to 128 bits."""
+    """(id, body, pos, w1, w2): every run of three lines, hashed to 96 bits."""
     hashed = docs.select("id", "body", F.transform(F.split("text", "\n"), lambda s: F.xxhash64(s)).alias("h"))
     runs = hashed.where(F.size("h") >= WINDOW).select(
         "id", "body", F.posexplode(F.arrays_zip(F.slice("h", 1, F.size("h") - 2).alias("a"), F.slice("h", 2, F.size("h") - 2).alias("b"), F.slice("h", 3, F.size("h") - 2).alias("c"))).alias("pos", "r")
@@ -48,10 +48,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their columns; ``n_chars`` is brought up to date where the text changed.
 
     Only the hashes of all windows are shuffled, and the texts of documents that may
-    lose lines (a bitmap of fixed size tells); all other texts stay where they are.
+    lose lines (a bitmap tells, sized by how many they are); all other texts stay where they are.
     """
     flag, body, ranges, lines, kid, kbody = fresh(docs, "ld_flag", "ld_body", "ld_ranges", "ld_lines", "ld_kid", "ld_kbody")
     cuts = materialize(repeated_line_ranges(docs, id_col, text_col), "line-cuts")
+    map_bits = bits_for(cuts.count(), map_bits)
     bitmap = keys_map(cuts, "body", map_bits)
     rows = may_be_in_map(docs.withColumn(body, F.xxhash64(text_col)), F.col(body), bitmap, flag, map_bits)
     same = rows.where(~F.col(flag)).select(*docs.columns)

@@ -201,7 +201,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body")).where("text is not null")
     # fixed in size: bits stand for keys that repeat, others pass only by chance and are dropped later
     block = bytearray(map_bits // 8)
-    for no, piece in repeated_keys_map(_keys(base, min_words), "key", map_bits).toLocalIterator():
+    pieces_of, map_bits = repeated_keys_map(_keys(base, min_words), "key", map_bits)
+    block = bytearray(map_bits // 8)
+    for no, piece in pieces_of.toLocalIterator():
         block[(no - 1) * 4096 : no * 4096] = piece
     bitmap = docs.sparkSession.sparkContext.broadcast(bytes(block))
 

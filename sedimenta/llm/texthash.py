@@ -179,3 +179,21 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
     return h, np.searchsorted(doc, np.arange(rows + 1))
+
+
+def all_shingle_sets(texts: pa.Array, k: int, most_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of texts of any length, worked on in slices and long ones in pieces."""
+    parts, counts = [np.zeros(0, np.uint64)], [0]
+    for cut in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", most_bytes):
+        if is_long(cut["text"], most_bytes):
+            own = np.zeros(0, np.uint64)
+            for piece, _, _ in pieces(cut["text"], most_bytes, k - 1):
+                own = np.union1d(own, Words(piece).runs(k)[1])
+            if len(own):
+                parts.append(own)
+                counts.append(len(own))
+                continue
+        h, first = shingle_sets(Words(cut["text"]), k)
+        parts.append(h)
+        counts += np.diff(first).tolist()
+    return np.concatenate(parts), np.cumsum(counts)

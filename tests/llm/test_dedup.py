@@ -4,9 +4,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sedimenta.llm import components, exact_dedup, line_dedup, near_dedup, suffix_dedup
+from sedimenta.llm import common, components, exact_dedup, line_dedup, near_dedup, suffix_dedup
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
 # a column whose name clashes with those the operators make for themselves
@@ -94,6 +95,7 @@ def test_near_equals_brute_force(spark, corpus):
     have = set(got(near_dedup.near_duplicates(df)))
     want = set(brute_near(corpus, 0.5))
     assert {i for i, _ in want} - {i for i, _ in have} == set() and have == want
+    assert set(got(near_dedup.near_duplicates(df, block=3))) == want  # hot buckets in blocks
     kept = near_dedup.drop_near_duplicates(df)
     assert kept.columns == df.columns and kept.count() == len(corpus) - len([1 for i, _ in corpus if i in dict(want)])
 
@@ -120,6 +122,44 @@ def test_near_recall_of_pairs(spark):
     assert have <= want and len(have) >= 0.9 * len(want) > 90
 
 
+def test_bucket_of_unlike_documents(spark):
+    """Form letters: a third of the words is theirs, so many share buckets, and few pairs among them are alike."""
+    rng = random.Random(12)
+    form, rows = prose(rng, 110), []
+    for k in range(60):
+        own = prose(rng, 50, 10**6)
+        rows.append((2 * k, " ".join(form + own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, " ".join(form + own[:45] + prose(rng, 5, 10**6))))
+    want = brute_near(rows, 0.72)
+    for block in (4, near_dedup.BLOCK):
+        assert got(near_dedup.near_duplicates(docs(spark, rows), threshold=0.72, block=block)) == want
+    assert len(want) == 20
+
+
+def test_near_empty_and_equal(spark):
+    assert got(near_dedup.near_duplicates(docs(spark, []))) == []
+    assert got(exact_dedup.exact_duplicates(docs(spark, []))) == []
+    df = spark.range(20_000).selectExpr("id as doc_id", "'one text that all of them have' as text")
+    assert near_dedup.near_duplicates(df).where("keep_id = 0").count() == 19_999 == exact_dedup.exact_duplicates(df).where("keep_id = 0").count()
+    same = spark.range(10_000).selectExpr("7L as doc_id", "'one text' as text")
+    assert got(exact_dedup.exact_duplicates(same)) == [(7, 7)] * 9999
+
+
+def test_no_window_holds_a_group(spark, corpus):
+    """Hot groups are aggregated before the shuffle and joined back; nothing is ranked within them."""
+    df = docs(spark, corpus)
+    plan = exact_dedup.exact_duplicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") >= 2
+
+
+def test_maps_grow_with_the_keys(spark):
+    assert common.bits_for(10) == common.MAP_BITS and common.bits_for(10**7) == 1 << 27 and common.bits_for(10**12) == common.MOST_BITS
+    keys = spark.range(40_000).selectExpr("xxhash64(id % 30000) as k")
+    bitmap, bits = common.repeated_keys_map(keys, "k", least=1 << 15)
+    assert bits == 1 << 17 and common.in_map(keys, F.col("k"), bitmap, bits).count() < 26_000
+
+
 def test_bayes_bounds():
     need = near_dedup.least_matches(0.5, 0.001)
     assert all(0 < need[n] < n * 0.5 for n in need) and list(need) == [32, 64, 96, 128, 160]
