@@ -1,12 +1,10 @@
-"""Dedup of repeated passages by sorted words around triggers, after the idea of prefix-free parsing.
+"""Dedup of repeated passages by prefix-free parsing, parted by triggers.
 
 A rolling hash over runs of TRIGGER_WORDS words puts a trigger at the least hash of every
-SPAN positions, so equal passages have equal triggers. Every passage of ``min_words`` is some
-words before a trigger followed by words from there. The distinct contexts of triggers are the entries; no
-phrases are numbered and no parse is made, as a passage reaches no further than its context.
-Sorting the words before (backwards) and the words after, each with its array of common lengths, and
-combining both gives the passages in corpus order, so that equal ones are neighbours.
-The work is parted by the words right after the trigger, which equal passages share.
+SPAN positions, so equal passages have equal triggers and are worked on together. The words around a trigger within which
+the passages of ``min_words`` that have it lie are its context; equal contexts count once. The distinct contexts of some triggers
+are a corpus of highly repetitive text: it is parsed into phrases, and suffix arrays of the dictionary of
+phrases and of the parse combine into corpus order (prefix_free), where equal passages are neighbours.
 """
 
 from __future__ import annotations
@@ -16,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, materialize, repeated_keys_map
-from .texthash import Words, mix, runs, slices, stretches
+from .common import MAP_BITS, bits_for, discard, keys_map, materialize
+from .prefix_free import PrefixFreeParse
+from .texthash import Words, is_long, mix, pieces, runs, slices, stretches
 
 TRIGGER_WORDS = 4
-CHUNK = 20_000  # dictionary entries that are combined at once, if no trigger has more
+CHUNK = 10_000  # contexts whose order is found at once, if no trigger has more
+HOT = 20_000  # occurrences of a trigger from which its passages are shuffled one by one
+PIECE = 1 << 19
 _RESULT = "key bigint, ctx bigint, a_lo int, a_hi int, f_id bigint, f_body bigint, f_at int"
 
 
@@ -59,132 +60,131 @@ def _lists(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(values[at]))
 
 
+def _parses(batch: pa.RecordBatch, min_words: int):
+    """(rows, their Parse, number of the first word) of the slices of a batch; long texts in pieces."""
+    for part in slices(batch, "text", PIECE):
+        if is_long(part["text"], PIECE):
+            for piece, word, _ in pieces(part["text"], PIECE, min_words - 1):
+                yield part, Parse(piece, min_words), word
+        else:
+            yield part, Parse(part["text"], min_words), 0
+
+
 def _keys(base: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
-                yield pa.RecordBatch.from_arrays([pa.array(Parse(part["text"], min_words).key)], names=["key"])
+            for _, p, _ in _parses(batch, min_words):
+                yield pa.RecordBatch.from_arrays([pa.array(p.key)], names=["key"])
 
     return base.select("text").mapInArrow(run, "key bigint")
 
 
-def _occurrences(base: DataFrame, min_words: int, bitmap, bits: int, full: bool) -> DataFrame:
-    """A row for each trigger whose key may repeat: key, ctx, id, body, at; if ``full`` also the words around it."""
+def _set(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    slot = np.mod(keys, bits)
+    return bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+
+
+def _occurrences(base: DataFrame, min_words: int, maps, kind: str) -> DataFrame:
+    """``full``, ``short``: a row for each trigger whose key may repeat: key, ctx, id, body, at; if full also its context's words.
+    ``windows``: of the triggers that are hot a row for each passage: two hashes, id, body, its first word."""
 
     def run(batches):
-        known = np.frombuffer(bitmap.value, dtype=np.uint8)
+        (all_bits, block), (hot_bits, hot_block) = maps.value
+        known, hot_known = np.frombuffer(block, dtype=np.uint8), np.frombuffer(hot_block, dtype=np.uint8)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
-                p = Parse(part["text"], min_words)
-                w, slot = p.words, np.mod(p.key, bits)
-                ok = np.flatnonzero(known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            for part, p, word in _parses(batch, min_words):
+                w = p.words
+                hot = _set(hot_known, hot_bits, p.key) if len(hot_known) else np.zeros(len(p.key), dtype=bool)
+                ok = np.flatnonzero(hot if kind == "windows" else _set(known, all_bits, p.key) & ~hot)
                 at, lo, hi, key = p.at[ok], p.lo[ok], p.hi[ok], p.key[ok]
+                if kind == "windows":
+                    n = hi - lo + 1
+                    at = np.repeat(at - hi, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 row = w.doc[at]
+                place, take = pa.array((at - w.first[row] + word).astype(np.int32)), pa.array(row)
+                cols = {"id": part["id"].take(take), "body": part["body"].take(take), "at": place}
+                if kind == "windows":
+                    own = {name: pa.array(stretches(h, at, at + min_words).view(np.int64)) for name, h in (("w1", w.hash), ("w2", mix(w.hash)))}
+                    yield pa.RecordBatch.from_pydict(own | cols)
+                    continue
                 # the words from the first window's start to the last one's end say all about a trigger
                 ctx = stretches(w.hash, at - hi, at - lo + min_words) + mix((lo * 4096 + hi).astype(np.uint64))
-                place = (at - w.first[row]).astype(np.int32)
-                take = pa.array(row)
-                cols = {"key": pa.array(key), "ctx": pa.array(ctx.view(np.int64)), "id": part["id"].take(take), "body": part["body"].take(take), "at": pa.array(place)}
-                if full:
+                cols = {"key": pa.array(key), "ctx": pa.array(ctx.view(np.int64))} | cols
+                if kind == "full":
                     short = (w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    cols |= {"lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "lefts": _lists(short, at - hi, hi), "rights": _lists(short, at, min_words - lo)}
+                    cols |= {"lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "words": _lists(short, at - hi, hi - lo + min_words)}
                 yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "key bigint, ctx bigint, id bigint, body bigint, at int" + (", lo int, hi int, lefts array<int>, rights array<int>" if full else "")
-    return base.mapInArrow(run, schema)
-
-
-def _padded(lists: pa.ListArray, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(n), width), dtype=np.uint32)
-    row = np.repeat(np.arange(len(n)), n)
-    col = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    if backwards:
-        col = np.repeat(n, n) - 1 - col
-    out[row, col] = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-    return out, n
-
+    head = "w1 bigint, w2 bigint" if kind == "windows" else "key bigint, ctx bigint"
+    return base.mapInArrow(run, f"{head}, id bigint, body bigint, at int" + (", lo int, hi int, words array<int>" if kind == "full" else ""))
 
-def _sorted(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): the suffix array of the rows, and how many words each has in common with the one before."""
-    wide = np.ascontiguousarray(table.astype(">u4")).view(np.dtype((np.void, 4 * table.shape[1]))).reshape(-1)
-    order = np.argsort(wide, kind="stable")
-    common = np.zeros(len(order), dtype=np.int64)
-    if len(order) > 1:
-        other = table[order[1:]] != table[order[:-1]]
-        common[1:] = np.where(other.any(axis=1), other.argmax(axis=1), table.shape[1])
-    return order, common
 
-
-def combine(chunk: pa.Table, min_words: int) -> pa.RecordBatch:
-    """The repeated passages of the dictionary entries of whole triggers: for each entry runs
+def combine(chunk: pa.Table, min_words: int, modulus: int = 8) -> pa.RecordBatch:
+    """The repeated passages of the contexts of whole triggers: for each context runs
     of distances a_lo..a_hi before the trigger at which a passage starts that occurs more than
     once, and its first occurrence."""
-    cols = {c: chunk[c].to_numpy() for c in ("key", "ctx", "n", "lo", "hi", "f_body", "f_at")}
-    f_id = chunk["f_id"]
-    null = f_id.is_null().to_numpy()
-    ids = f_id.fill_null(0).to_numpy()
+    cols = {c: chunk[c].to_numpy().astype(np.int64) for c in ("key", "ctx", "n", "lo", "hi", "f_body", "f_at")}
+    f_id = chunk["f_id"].combine_chunks()
+    null = f_id.is_null().to_numpy(zero_copy_only=False)
+    ids = f_id.fill_null(0).to_numpy(zero_copy_only=False)
     rank = np.empty(len(ids), dtype=np.int64)
     rank[np.lexsort((cols["f_at"], cols["f_body"], ids, null))] = np.arange(len(ids))
     by_rank = np.argsort(rank)
-    widest = int(cols["hi"].max(initial=0)) + 1
-    left, _ = _padded(chunk["lefts"].combine_chunks(), widest, True)
-    right, _ = _padded(chunk["rights"].combine_chunks(), min_words, False)
-    suffixes, common_left = _sorted(left)
-    parse, common_right = _sorted(right)
-    rows, starts, firsts = [], [], []
-    left_class, right_class = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-    for a in range(widest):
-        left_class[suffixes] = np.cumsum(common_left < a) if a else 0
-        right_class[parse] = np.cumsum(common_right < min_words - a)
-        own = np.flatnonzero((cols["lo"] <= a) & (a <= cols["hi"]))
-        if not len(own):
-            continue
-        order = own[np.lexsort((rank[own], left_class[own], right_class[own], cols["key"][own]))]
-        same = (cols["key"][order[1:]] == cols["key"][order[:-1]]) & (right_class[order[1:]] == right_class[order[:-1]]) & (left_class[order[1:]] == left_class[order[:-1]])
-        group = np.cumsum(np.append(True, ~same)) - 1
-        begin = np.flatnonzero(np.append(True, ~same))
-        often = np.add.reduceat(cols["n"][order], begin)[group] > 1
-        rows.append(order[often])
-        starts.append(np.full(int(often.sum()), a))
-        firsts.append(rank[order[begin]][group][often])
-    names = ["key", "ctx", "a_lo", "a_hi", "f_id", "f_body", "f_at"]
-    if not rows:
-        rows, starts, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    row, a, first = (np.concatenate(x) for x in (rows, starts, firsts))
-    order = np.lexsort((a, first, row))
-    row, a, first = row[order], a[order], first[order]
+    lists = chunk["words"].combine_chunks()
+    words, first = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32), lists.offsets.to_numpy().astype(np.int64)
+    first = first - first[0]
+    # all places at which a passage starts, in corpus order
+    n = cols["hi"] - cols["lo"] + 1
+    row = np.repeat(np.arange(len(ids)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    a = cols["hi"][row] - at
+    order, common = PrefixFreeParse(words, first, modulus).order(first[row] + row + at)
+    begin = np.flatnonzero(np.append(True, common[1:] < min_words)) if len(order) else np.zeros(0, np.int64)
+    group = np.cumsum(np.append(True, common[1:] < min_words)[: len(order)]) - 1
+    often = np.add.reduceat(cols["n"][row[order]], begin)[group] > 1 if len(order) else np.zeros(0, bool)
+    least = np.minimum.reduceat(rank[row[order]], begin)[group] if len(order) else np.zeros(0, np.int64)
+    row, a, least = row[order][often], a[order][often], least[often]
+    order = np.lexsort((a, least, row))
+    row, a, least = row[order], a[order], least[order]
     new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1]) | (a[1:] != a[:-1] + 1)
+    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (a[1:] != a[:-1] + 1)
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(row)) - 1 if len(lo) else lo
-    src = by_rank[first[lo]]
+    src = by_rank[least[lo]]
     arrays = [pa.array(cols["key"][row[lo]]), pa.array(cols["ctx"][row[lo]]), pa.array(a[lo].astype(np.int32)), pa.array(a[hi].astype(np.int32)), pa.array(ids[src], mask=null[src]), pa.array(cols["f_body"][src]), pa.array(cols["f_at"][src].astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    return pa.RecordBatch.from_arrays(arrays, names=["key", "ctx", "a_lo", "a_hi", "f_id", "f_body", "f_at"])
 
 
 def _combine_all(entries: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, opened = 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.num_rows
-            if size >= CHUNK:
+            opened = batch["key"][0].as_py() if opened is None else opened
+            if size >= CHUNK and batch["key"][-1].as_py() != opened:
                 table = pa.Table.from_batches(held)
                 key = table["key"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last trigger may go on
-                if cut:
-                    yield combine(table.slice(0, cut), min_words)
-                    held = table.slice(cut).to_batches()
-                    size = len(key) - cut
+                yield combine(table.slice(0, cut), min_words)
+                held, size, opened = table.slice(cut).to_batches(), len(key) - cut, int(key[-1])
         if held:
             yield combine(pa.Table.from_batches(held), min_words)
 
     return entries.mapInArrow(run, _RESULT)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, map_bits: int = 8 * MAP_BITS) -> DataFrame:
+def _fetch(bitmap: DataFrame, bits: int) -> tuple[int, bytes]:
+    block = bytearray(bits // 8)
+    for no, piece in bitmap.toLocalIterator():
+        block[(no - 1) * 4096 : no * 4096] = piece
+    return bits, bytes(block)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, map_bits: int = MAP_BITS, hot: int = HOT) -> DataFrame:
     """One row for each stretch that later occurrences of passages of ``min_words`` words cover:
     ``doc_id, start_word, end_word, n_words, first_doc_id``.
 
@@ -192,30 +192,39 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``min_words`` words that occurs before, in the order of (id, text hash, place; NULL ids last), is
     covered; covered runs that overlap or touch are merged. ``first_doc_id`` is the least of the documents
     that have the first occurrences. All runs of all texts take part; results are exact but for
-    hashes of 64 bits and more.
+    hashes: 64 bits for the words that all passages of a trigger share and 32 for each word around them.
+
+    Which triggers' keys repeat is told by a bitmap, sized by how many they are (128 MB at most; others pass by chance only
+    and are dropped later). Contexts are added up before they are shuffled. Triggers of more than ``hot`` occurrences have their passages
+    added up one by one (by hashes of 128 bits) instead of in one task.
 
     NULL texts and texts of fewer than ``min_words`` words give no rows. Rows that repeat with
-    both id and text count as one. NULL ids are returned as they are. Other columns are ignored; an
-    empty table gives no rows.
+    both id and text count as one. Ids are whole numbers; NULL ids are returned as they are. Very long texts are worked on in overlapping
+    pieces. Other columns are ignored; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body")).where("text is not null")
-    # fixed in size: bits stand for keys that repeat, others pass only by chance and are dropped later
-    block = bytearray(map_bits // 8)
-    pieces_of, map_bits = repeated_keys_map(_keys(base, min_words), "key", map_bits)
-    block = bytearray(map_bits // 8)
-    for no, piece in pieces_of.toLocalIterator():
-        block[(no - 1) * 4096 : no * 4096] = piece
-    bitmap = docs.sparkSession.sparkContext.broadcast(bytes(block))
+    repeated = materialize(_keys(base, min_words).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "trigger-keys")
+    many, hot_many = repeated.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > hot, 1))).first()
+    bits, hot_bits = min(1 << 30, bits_for(many, map_bits)), min(1 << 30, bits_for(hot_many, 1 << 15))
+    hot_map = _fetch(keys_map(repeated.where(F.col("n") > hot), "key", hot_bits), hot_bits) if hot_many else (hot_bits, b"")
+    maps = spark.sparkContext.broadcast((_fetch(keys_map(repeated, "key", bits), bits), hot_map))
+    discard(repeated)
 
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "body", "at")
-    full = _occurrences(base, min_words, bitmap, map_bits, True)
-    entries = full.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"), *[F.first(c).alias(c) for c in ("lo", "hi", "lefts", "rights")])
-    entries = entries.select("key", "ctx", "n", "lo", "hi", "lefts", "rights", F.col("f.id").alias("f_id"), F.col("f.body").alias("f_body"), F.col("f.at").alias("f_at"))
+    full = _occurrences(base, min_words, maps, "full")
+    entries = full.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"), *[F.first(c).alias(c) for c in ("lo", "hi", "words")])
+    entries = entries.select("key", "ctx", "n", "lo", "hi", "words", F.col("f.id").alias("f_id"), F.col("f.body").alias("f_body"), F.col("f.at").alias("f_at"))
     found = materialize(_combine_all(entries.repartition("key").sortWithinPartitions("key"), min_words), "passages")
 
-    hits = _occurrences(base, min_words, bitmap, map_bits, False).join(found, ["key", "ctx"])
+    hits = _occurrences(base, min_words, maps, "short").join(found, ["key", "ctx"])
     later = hits.where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("body") == F.col("f_body")) & (F.col("at") == F.col("f_at"))))
     spans = later.select("id", "body", (F.col("at") - F.col("a_hi")).alias("s"), (F.col("at") - F.col("a_lo") + min_words).alias("e"), "f_id")
+    if hot_many:
+        windows = _occurrences(base, min_words, maps, "windows")
+        firsts = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
+        more = windows.join(firsts, ["w1", "w2"]).where(place != F.col("f"))
+        spans = spans.unionByName(more.select("id", "body", F.col("at").alias("s"), (F.col("at") + min_words).alias("e"), F.col("f.id").alias("f_id")))
     by_doc = Window.partitionBy("id", "body").orderBy("s", "e")
     reach = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("apart", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("apart").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))

@@ -3,11 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sedimenta.llm import common, components, exact_dedup, line_dedup, near_dedup, suffix_dedup
+from sedimenta.llm import common, components, exact_dedup, line_dedup, near_dedup, prefix_free, suffix_dedup
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
 # a column whose name clashes with those the operators make for themselves
@@ -207,6 +209,37 @@ def test_passages(spark, corpus, n):
     assert got(suffix_dedup.repeated_passages(docs(spark, rows, CLASH), min_words=n)) == brute_passages(rows, n)
 
 
+@pytest.mark.parametrize("modulus", [1, 3, 8, 10**9])
+def test_corpus_order_equals_a_plain_suffix_array(modulus):
+    rng = random.Random(modulus)
+    base = [rng.randrange(5) for _ in range(60)]
+    seqs = [[], [3]] + [base[rng.randrange(60) :] + [rng.randrange(9) for _ in range(rng.randrange(6))] + base[: rng.randrange(60)] for _ in range(25)] + [base, base]
+    first = np.cumsum([0, *map(len, seqs)])
+    words = np.array([w for q in seqs for w in q], dtype=np.uint32)
+    pfp = prefix_free.PrefixFreeParse(words, first, modulus)
+    suffixes = [tuple([w + 1 for w in q[i:]] + [0]) for q in seqs for i in range(len(q) + 1)]
+    order, common = pfp.order(np.arange(len(suffixes)))
+    assert [suffixes[i] for i in order] == sorted(suffixes)
+    for x, y, n in zip(order, order[1:], common[1:]):
+        a, b = suffixes[x], suffixes[y]
+        assert n == next((i for i, (c, d) in enumerate(zip(a, b)) if c != d), len(a))
+    assert modulus > 8 or len(pfp.entry) - 1 < len(pfp.start)  # phrases repeat
+
+
+def test_passages_hot_long(spark, corpus, monkeypatch):
+    rows = [r for r in corpus if r[0] is not None] + [(3000, " ".join(prose(random.Random(4), 3000) + corpus[0][1].split() * 3))]
+    want = brute_passages(rows, 12)
+    assert got(suffix_dedup.repeated_passages(docs(spark, rows), min_words=12, hot=3)) == want
+    for text in (rows[-1][1], "x " * 5000):
+        table = pa.RecordBatch.from_pydict({"id": [1], "body": [1], "text": [text]})
+        whole = suffix_dedup.Parse(table["text"], 12)
+        monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+        cut = list(suffix_dedup._parses(table, 12))
+        monkeypatch.undo()
+        starts = sorted(w + t - a for _, p, w in cut for t, lo, hi in zip(p.at, p.lo, p.hi) for a in range(lo, hi + 1))
+        assert len(cut) > 5 and starts == sorted(t - a for t, lo, hi in zip(whole.at, whole.lo, whole.hi) for a in range(lo, hi + 1))
+
+
 def test_passages_odd(spark, corpus):
     assert got(suffix_dedup.repeated_passages(docs(spark, []))) == []
     text = corpus[0][1]
