@@ -53,11 +53,11 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
         at = to
 
 
-def pieces(texts: pa.Array, most_bytes: int, overlap: int):
-    """One long text in pieces of about ``most_bytes`` that end with a word: (an array of one text in lower case, the number
+def pieces(texts: pa.Array, most_bytes: int, overlap: int, lower: bool = True):
+    """One long text in pieces of about ``most_bytes`` that end with a word: (an array of one text, by default in lower case, the number
     of its first word, whether it is the last). Each piece begins ``overlap`` words before the one before it
     ends, so every run of ``overlap`` + 1 words or fewer lies wholly in one."""
-    raw, _ = flat(pc.utf8_lower(pc.fill_null(texts, "")))
+    raw, _ = flat(pc.utf8_lower(pc.fill_null(texts, "")) if lower else texts)
     at = word = 0
     while True:
         end = at

@@ -53,13 +53,53 @@ def test_co_training_uses_the_other_view():
     text = [np.unique(np.append(rng.integers(1000, 5000, 5), 10 + truth[i] * 50 + rng.integers(0, 50, 3))) for i in range(n)]
     page = [np.array([200 + truth[i] * 3, 300 + rng.integers(0, 5)]) for i in range(n)]
     sides = [(np.append(0, np.cumsum([len(x) for x in side])), np.concatenate(side)) for side in (text, page)]
-    y = np.where(np.arange(n) < 60, truth, -1)
-    accuracy = []
-    for rounds in (0, 3):
-        head = quality.co_train(sides, y, rounds, 100, 0.9, 1.0)
-        own = head.views[0].scores(*quality._rows_of(*sides[0], np.arange(n)), n) > 0
-        accuracy.append((own == truth).mean())
-    assert accuracy[1] > accuracy[0] + 0.03
+    learner = quality.Learner(sides, np.where(np.arange(n) < 60, truth, -1), 1.0)
+    rest = np.arange(60, n)
+    pairs = [quality._rows_of(*side, rest) for side in sides]
+    accuracy, taught = [], [None, None]
+    for _ in range(3):
+        learner.fit(taught)
+        accuracy.append(((learner.views[0].scores(*pairs[0], len(rest)) > 0) == truth[rest]).mean())
+        counts = [np.zeros((2, (1 << bits) + 1), dtype=np.int64) for bits in quality.BITS]
+        quality.count_sure(pairs, len(rest), learner.teachers(), 0.9, counts)
+        taught = [quality.lessons(c, z) for c, z in zip(counts, quality.LEAST_Z)]
+    assert accuracy[-1] > accuracy[0] + 0.03 and accuracy[-1] > 0.95
+
+
+def test_all_documents_without_labels_teach(spark):
+    """However many there are, each round counts all that a view is sure of."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 20)) + (f" good{rng.integers(40)}" if i % 2 else f" bad{rng.integers(40)}"), f"src{i % 2}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    learners = {"quality": None, "toxic": quality.Learner([], np.zeros(0, np.int64), 0.0)}
+    sample = quality._prepare(docs.where("doc_id < 400"), "doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    sides = [(np.searchsorted(row, np.arange(401)), col) for row, col in quality.features(sample)]
+    learners["quality"] = quality.Learner(sides, np.arange(400) % 2, 1.0)
+    learners["quality"].fit([None, None])
+    taught = quality._exchange(quality._prepare(docs, "doc_id", "text"), learners, np.arange(400), 0.9)["quality"]
+    assert all(t is not None and np.abs(t).max() > 3 for t in taught)
+    heads = quality.train(docs, labels)
+    assert quality.score_documents(docs, heads).where("keep = (doc_id % 2 = 1)").count() > 8990
+
+
+def test_page_view_reads_no_text():
+    def part(text, **other):
+        cols = {"text": [text], "lang": ["en"], "source": ["s"], "n_chars": [7], "host": ["h"]} | {k: [v] for k, v in other.items()}
+        return pa.RecordBatch.from_pydict(cols)
+
+    one = quality.meta_features(part("some text"))[1].tolist()
+    assert quality.meta_features(part("OTHER 12 !!"))[1].tolist() == one
+    assert all(quality.meta_features(part("some text", **x))[1].tolist() != one for x in ({"lang": "de"}, {"source": "t"}, {"n_chars": 900}, {"host": "i"}))
+
+
+def test_long_text_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"{'W' if x % 7 == 0 else 'w'}{x}é{'!' if x % 5 == 0 else ''}" for x in rng.integers(0, 60, 3000)]
+    texts = pa.array([" ".join(np.repeat(words, rng.integers(1, 4, 3000)).tolist()) + ". the END\n"])
+    whole = quality.text_features(texts)
+    monkeypatch.setattr(quality, "PIECE", 900)
+    assert all(np.array_equal(a, b) for a, b in zip(quality.text_features(texts), whole))
 
 
 def test_rare_class_in_many_labels(spark):
@@ -86,12 +126,12 @@ def test_names_are_told_apart():
 
 def test_repeated_ids_take_one_place(spark, monkeypatch):
     """Two ids on 3,000 rows each don't fill the sample, with or without a label."""
-    seen = []
-    monkeypatch.setattr(quality, "co_train", lambda sides, y, *_: seen.append(y))
+    seen, real = [], quality.Learner
+    monkeypatch.setattr(quality, "Learner", lambda sides, y, *rest: seen.append(y) or real(sides, y, *rest))
     docs = spark.range(400).unionByName(spark.range(6000).selectExpr("id % 2 * 200 as id")).selectExpr("id as doc_id", "concat('some text ', id) as text")
     labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "cast(id % 3 = 0 as int) as toxic")
-    quality.train(docs, labels, max_labelled=200, max_pool=150)
-    assert [len(y) for y in seen] == [350, 350] and [(y >= 0).sum() for y in seen] == [200, 200]
+    quality.train(docs, labels, max_labelled=200)
+    assert [len(y) for y in seen] == [200, 200] and all((y >= 0).all() for y in seen)
 
 
 def test_even_shares():
