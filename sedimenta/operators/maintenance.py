@@ -5,50 +5,58 @@ None changes what a scan returns. A lease keeps two workers from doing the same
 
 from __future__ import annotations
 
-import json
 import time
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+
+from pyspark.sql import functions as F
 
 from ..errors import Conflict
 from ..functions.rowid import ROW_ID
+from ..sources.storage import Versioned
+from .table import forget
 
 
 @contextmanager
 def lease(table, task: str, seconds: float = 3600):
-    """True if this worker holds the task; false if another one does. Leases that ran out are taken over."""
-    path, now = f"{table.path}/leases/{task}.json", time.time()
-    held = False
+    """True if this worker holds the task; false if another one does. A lease is a version of a document, so of two workers that
+    take over one that ran out only one gets it, and only its holder gives it back."""
+    held, doc = None, Versioned(table.storage, f"{table.path}/leases/{task}")
+    version, now = doc.load()
+    if (now or {}).get("until", 0) < time.time():
+        with suppress(Conflict):
+            held = doc.publish(version, {"until": time.time() + seconds})
     try:
-        try:
-            table.storage.create(path, json.dumps({"until": now + seconds}))
-            held = True
-        except Conflict:
-            if json.loads(table.storage.read(path) or "{}").get("until", 0) < now:
-                table.storage.create(path, json.dumps({"until": now + seconds}), overwrite=True)
-                held = True
-        yield held
+        yield held is not None
     finally:
-        if held:
-            table.storage.delete(path)
+        if held is not None:
+            with suppress(Conflict):  # it ran out and another worker has it
+                doc.publish(held, {"until": 0})
 
 
 def dump(table) -> int:
-    """While the inline tier has ``inline_row_count_limit`` live rows, move as many, the
-    first by row id, to a data file. Returns the number of rows moved."""
-    moved = 0
+    """If the inline tier has ``inline_row_count_limit`` live rows or more, move the first by row id, as many lots of that
+    size as there are, to data files of at most one lot each, in one job. Returns the number of rows moved."""
     with lease(table, "dump") as held:
-        if not held:
+        limit, live = table.config["inline_row_count_limit"], table.inline_row_count()
+        lots, left = divmod(live, limit)
+        if not held or not lots:
             return 0
-        limit = table.config["inline_row_count_limit"]
-        while (live := table.inline_row_count()) >= limit:
-            inline = table._tier("inline")
-            rows = physical(table, inline).orderBy(ROW_ID)
-            files = table._write(rows.limit(limit).coalesce(1).sortWithinPartitions(ROW_ID), "file")
-            rest = table._write(rows.offset(limit), "inline") if live > limit else []
-            _replace(table, inline, files + rest)
-            table._index_files(files)
-            moved += limit
-    return moved
+        inline = table._tier("inline")
+        rows = physical(table, inline)
+        rest = []
+        if left:  # fewer than a lot: the greatest ids stay
+            edge = rows.select(ROW_ID).orderBy(F.col(ROW_ID).desc()).limit(left).agg(F.min(ROW_ID)).first()[0]
+            rest = table._write(rows.where(F.col(ROW_ID) >= F.lit(edge)), "inline")
+            rows = rows.where(F.col(ROW_ID) < F.lit(edge))
+        files = table._write(_ordered(rows, lots), "file", limit)
+        _replace(table, inline, files + rest)
+        table._index_files(files)
+        return live - left
+
+
+def _ordered(rows, parts: int):
+    """Rows in ``parts`` ranges of row ids, sorted."""
+    return (rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, ROW_ID)).sortWithinPartitions(ROW_ID)
 
 
 def physical(table, files: list[dict]):
@@ -62,33 +70,33 @@ def _replace(table, old: list[dict], new: list[dict]) -> None:
 
     def change(doc):
         doc["files"] = [f for f in doc["files"] if f["name"] not in gone] + new
-        left = {f["name"] for f in doc["files"]}
-        doc["deletes"] = [d for d in doc["deletes"] if left & set(d["files"])]
+        forget(doc)
 
     table._publish(change, rebase=False)
 
 
 def merge(table, valid_row_threshold: int | None = None) -> int:
     """Rewrite data files that have fewer live rows than the threshold (half of
-    ``inline_row_count_limit``), in order, in groups of at least ``inline_row_count_limit`` live rows; a last group that
+    ``inline_row_count_limit``), in order, in groups of at least ``inline_row_count_limit`` live rows, all in one job; a last group that
     doesn't reach it stays as it is. Returns the number of files that were replaced."""
     limit = table.config["inline_row_count_limit"]
     threshold = limit // 2 if valid_row_threshold is None else valid_row_threshold
-    done = 0
     with lease(table, "merge") as held:
         if not held:
             return 0
-        group, size = [], 0
+        old, group, groups, size = [], [], 0, 0
         for f in [f for f in table._tier("file") if f["live"] < threshold]:
             group.append(f)
             size += f["live"]
             if size >= limit:
-                files = table._write(physical(table, group).coalesce(1).sortWithinPartitions(ROW_ID), "file")
-                _replace(table, group, files)
-                table._index_files(files)
-                done += len(group)
+                old, groups = old + group, groups + 1
                 group, size = [], 0
-    return done
+        if not old:
+            return 0
+        files = table._write(_ordered(physical(table, old), groups), "file")
+        _replace(table, old, files)
+        table._index_files(files)
+        return len(old)
 
 
 def cleanup(table, older_than: float) -> list[str]:

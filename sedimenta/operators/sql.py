@@ -22,14 +22,13 @@ def register_search(table: Table, view: str, query, projection: list[str] | None
 
 
 def insert_into(table: Table, rows: DataFrame, columns: list[str] | None = None, mode: str = "append", bypass_above: int = 1000, estimate: int | None = None) -> DataFrame:
-    """INSERT: ``columns`` names the rows' columns in order. ``overwrite`` truncates first; many
+    """INSERT: ``columns`` names the rows' columns in order. ``overwrite`` replaces all rows in one version, and nothing changes if it fails; many
     rows (``estimate`` above ``bypass_above``) go straight to data files."""
     if mode not in ("append", "overwrite"):
         raise NotSupported(f"insert mode {mode}")
     rows = rows.toDF(*columns) if columns else rows
-    if mode == "overwrite":
-        table.truncate()
-    n = table.bypass_insert(rows) if estimate is not None and estimate > bypass_above else table.insert(rows)
+    over = mode == "overwrite"
+    n = table.bypass_insert(rows, overwrite=over) if estimate is not None and estimate > bypass_above else table.insert(rows, overwrite=over)
     return counted(table.spark, n)
 
 

@@ -175,7 +175,7 @@ class Table(IndexSet):
 
     def scan(self, projection: Sequence[str] | None = None, filters: Sequence[Column | str] = (), partition: Partition | None = None, offset: int = 0, limit: int | None = None, row_id: bool = False, batch_size: int = 1024) -> DataFrame:
         """Filter, then project, then page. NULL conditions select nothing. Pages are in the order of the row ids.
-        Files that an index rules out aren't read."""
+        Files that an index rules out, or whose rows lie before or after the page, aren't read."""
         if projection is not None and not projection:
             raise InvalidInput("an empty projection")
         if batch_size < 1 or offset < 0 or (limit is not None and limit < 0):
@@ -185,6 +185,8 @@ class Table(IndexSet):
         if missing := [c for c in wanted if c != ROW_ID and c not in names]:
             raise NotFound(f"columns {missing}")
         files = self.pruned(self._chosen(partition), filters)
+        if not filters and (offset or limit is not None):
+            files, offset = self._paged(files, offset, limit)
         boxed = [f for f in filters if isinstance(f, Intersects)]
         out = self.intersecting(files, boxed[0]) if boxed else self.rows(files)
         for f in boxed[1:]:
@@ -205,15 +207,32 @@ class Table(IndexSet):
             raise InvalidInput(f"a condition of {kind.simpleString()}")
         return c.cast("boolean")
 
+    def _paged(self, files: list[dict], offset: int, limit: int | None) -> tuple[list[dict], int]:
+        """Files that a page without filter may touch, and how much of the offset is left: by counts alone files are
+        skipped whose rows come before it or after it, where files are apart in row ids."""
+        ranges = sorted((f for f in files if f["live"]), key=lambda f: f.get("ids", ["", ""]))
+        if any("ids" not in f for f in ranges) or any(a["ids"][1] >= b["ids"][0] for a, b in zip(ranges, ranges[1:])):
+            return files, offset
+        chosen, at = [], 0
+        for f in ranges:
+            if at + f["live"] <= offset and not chosen:
+                at += f["live"]
+            elif limit is None or at < offset + limit:
+                chosen.append(f)
+                at += f["live"]
+        return chosen, offset - (at - sum(f["live"] for f in chosen))
+
     def fetch(self, ids: DataFrame, projection: Sequence[str] | None = None) -> DataFrame:
-        """The rows whose ids ``ids`` holds, by a semi join."""
-        out = self.rows().join(ids.select(ROW_ID), ROW_ID, "left_semi")
+        """The rows whose ids ``ids`` holds, by a semi join over the files whose range of ids reaches those asked for."""
+        lo, hi = (r and bytes(r).hex() for r in ids.agg(F.min(ROW_ID), F.max(ROW_ID)).first())
+        files = [f for f in self.doc["files"] if lo and f.get("ids", [lo, hi])[0] <= hi and lo <= f.get("ids", [lo, hi])[1]]
+        out = self.rows(files).join(ids.select(ROW_ID), ROW_ID, "left_semi")
         return out.select(*(projection or [f.name for f in self.fields]))
 
     # -- writing
 
     def _write(self, df: DataFrame, tier: str, per_file: int | None = None) -> list[dict]:
-        """Write rows under physical names; a record for each file, with its rows counted from the footers."""
+        """Write rows under physical names; a record for each file, with its rows and its range of row ids."""
         folder = f"data/{uuid.uuid4().hex}"
         url = self.storage.url(f"{self.path}/{folder}")
         writer = df.write.option("parquet.writer.version", "v2" if self.config["preferred_data_file_format"] == "v2" else "v1")
@@ -222,11 +241,13 @@ class Table(IndexSet):
         if per_file:
             writer = writer.option("maxRecordsPerFile", per_file)
         writer.parquet(url)
-        counts = {r[0]: r[1] for r in self.spark.read.schema(df.schema).parquet(url).groupBy(F.col("_metadata.file_name")).count().collect()}
+        written = self.spark.read.schema(f"{ROW_ID} binary").parquet(url).groupBy(F.col("_metadata.file_name")).agg(F.count(F.lit(1)), F.min(ROW_ID), F.max(ROW_ID)).collect()
+        counts = {r[0]: r[1] for r in written}
+        ids = {r[0]: [bytes(x).hex() for x in r[2:]] for r in written}
         sizes = {name: n for name, n, *_ in self.storage.list(f"{self.path}/{folder}")}
         columns = [c[1:] for c in df.columns if c not in (ROW_ID, FILE)]
         return [
-            {"name": name, "path": f"{folder}/{name}", "tier": tier, "rows": n, "live": n, "bytes": sizes[name], "columns": columns, "format": self.config["preferred_data_file_format"]}
+            {"name": name, "path": f"{folder}/{name}", "tier": tier, "rows": n, "live": n, "bytes": sizes[name], "ids": ids[name], "columns": columns, "format": self.config["preferred_data_file_format"]}
             for name, n in sorted(counts.items())
         ]
 
@@ -242,34 +263,56 @@ class Table(IndexSet):
         for f in doc["files"]:
             f["live"] -= lost.get(f["name"], 0)
         doc["files"] = [f for f in doc["files"] if f["live"]]
-        left = {f["name"] for f in doc["files"]}
-        doc["deletes"] = [d for d in doc["deletes"] if left & set(d["files"])]
+        forget(doc)
+
+    def _add(self, files: list[dict], overwrite: bool = False, batch: tuple[str, int] | None = None) -> bool:
+        """Publish new files; ``overwrite`` puts them in the place of all that the handle's version has. A ``batch`` (stream, number) that
+        the table has already is left out: false. It is noted in the same version as its rows."""
+        done = False
+
+        def change(doc):
+            nonlocal done
+            if batch and doc.get("streams", {}).get(batch[0], -1) >= batch[1]:
+                done = True
+                return
+            if batch:
+                doc["streams"] = doc.get("streams", {}) | {batch[0]: batch[1]}
+            if overwrite:
+                doc["files"] = []
+            doc["files"].extend(files)
+            forget(doc)
+
+        self._publish(change, rebase=not overwrite)
+        return not done
 
-    def insert(self, df: DataFrame, keep_row_ids: bool = False, try_dump: bool = True) -> int:
-        """Append to the inline tier; returns the number of rows. Then dump() if the tier is full."""
+    def insert(self, df: DataFrame, keep_row_ids: bool = False, try_dump: bool = True, overwrite: bool = False, batch: tuple[str, int] | None = None) -> int:
+        """Append to the inline tier; returns the number of rows. Then dump() if the tier is full. ``overwrite``: instead of all
+        rows there are, in one version, once the new ones are written. ``batch``: see _add; one that repeats inserts nothing."""
         rows = aligned(df, self.fields, keep_row_ids)
         files = self._write(rows if keep_row_ids else with_row_ids(rows), "inline")
-        self._publish(lambda doc: doc["files"].extend(files), rebase=True)
+        if not self._add(files, overwrite, batch):
+            return 0
         if try_dump and self.inline_row_count() >= self.config["inline_row_count_limit"]:
             from .maintenance import dump
 
             dump(self)
         return sum(f["rows"] for f in files)
 
-    def bypass_insert(self, df: DataFrame) -> int:
-        """Append straight to data files of at most ``inline_row_count_limit`` rows each."""
+    def bypass_insert(self, df: DataFrame, overwrite: bool = False) -> int:
+        """Append straight to data files of at most ``inline_row_count_limit`` rows each; ``overwrite`` as for insert."""
         files = self._write(with_row_ids(aligned(df, self.fields, False)), "file", self.config["inline_row_count_limit"])
-        self._publish(lambda doc: doc["files"].extend(files), rebase=True)
+        self._add(files, overwrite)
         self._index_files(files)
         return sum(f["rows"] for f in files)
 
     def update(self, set_map: dict[str, Column | str], condition: Column | str | bool = True) -> int:
         """SET columns (expressions see the old row) where the condition is true; row ids stay.
-        Changed rows move to the inline tier in the same write that lists what they replace."""
+        Changed rows move to the inline tier in the same write that lists what they replace; as many as would fill it become data
+        files. Files that an index rules out aren't read."""
         by_name = {f.name: f for f in self.fields}
         if not set_map or (unknown := set(set_map) - set(by_name)):
             raise InvalidInput(f"columns to set: {sorted(set_map)}") if not set_map else NotFound(f"columns {sorted(unknown)}")
-        hit = self.rows(with_file=True).where(self._condition(condition))
+        hit = self.rows(self.pruned(self.doc["files"], [condition]), with_file=True).where(self._condition(condition))
         values = []
         for f in self.fields:
             v = as_column(set_map[f.name]) if f.name in set_map else F.col(f"`{f.name}`")
@@ -280,9 +323,12 @@ class Table(IndexSet):
                     v = F.when(v.isNull(), F.raise_error(F.lit(f"{f.name} is NULL")).cast(f.kind)).otherwise(v)
             values.append(v.alias(f.physical))
         # the new rows carry the file they come from, so matching runs once and its result is durable
-        files = self._write(hit.select(ROW_ID, *values, FILE), "inline")
+        files = self._write(hit.select(ROW_ID, *values, FILE), "inline", self.config["inline_row_count_limit"])
         if not files:
             return 0
+        large = sum(f["rows"] for f in files) >= self.config["inline_row_count_limit"]
+        if large:  # nothing would be gained by moving them once more
+            files = [f | {"tier": "file"} for f in files]
         written = self.spark.read.schema(f"{ROW_ID} binary, {FILE} string").parquet(*[self.storage.url(f"{self.path}/{f['path']}") for f in files])
         deletes, lost = self._write_deletes(written)
 
@@ -292,6 +338,8 @@ class Table(IndexSet):
             doc["deletes"].extend(deletes)
 
         self._publish(change, rebase=False)
+        if large:
+            self._index_files(files)
         return sum(lost.values())
 
     def delete(self, condition: Column | str | bool) -> int:
@@ -302,7 +350,8 @@ class Table(IndexSet):
             return self.truncate()
         if constant is False:
             return 0
-        deletes, lost = self._write_deletes(self.rows(with_file=True).where(c).select(FILE, ROW_ID))
+        files = self.pruned(self.doc["files"], [condition])
+        deletes, lost = self._write_deletes(self.rows(files, with_file=True).where(c).select(FILE, ROW_ID))
         if not lost:
             return 0
 
@@ -324,9 +373,8 @@ class Table(IndexSet):
         gone = self.count()
 
         def change(doc):
-            doc["files"], doc["deletes"] = [], []
-            for i in doc["indexes"]:
-                i["parts"] = []
+            doc["files"] = []
+            forget(doc)
 
         self._publish(change, rebase=False)
         return gone
@@ -371,6 +419,14 @@ class Table(IndexSet):
         self._publish(lambda doc: doc.update(fields=to_json([f for f in self.fields if f.id != gone.id])), rebase=False)
 
 
+def forget(doc: dict) -> None:
+    """Drop deletes and index parts of which no file is left."""
+    left = {f["name"] for f in doc["files"]}
+    doc["deletes"] = [d for d in doc["deletes"] if left & set(d["files"])]
+    for i in doc["indexes"]:
+        i["parts"] = [p for p in i["parts"] if left & set(p["files"])]
+
+
 def counted(spark, n: int) -> DataFrame:
     """The one row that a statement returns."""
     return spark.createDataFrame([(n,)], StructType([StructField("count", LongType(), False)]))

@@ -6,6 +6,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -45,15 +46,27 @@ class Storage:
         return self._fs.exists(self._at(path))
 
     def create(self, path: str, text: str, overwrite: bool = False) -> None:
-        """Write a small text file; without ``overwrite`` one that exists is a Conflict."""
-        try:
-            out = self._fs.create(self._at(path), overwrite)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()):
-                raise Conflict(path) from e
-            raise
+        """Write a small text file that nobody ever sees in part; one that exists is a Conflict, or with ``overwrite`` replaced. It is written under another
+        name and then gets its own in one step that never overwrites: a link on local disks, a rename elsewhere (atomic on HDFS)."""
+        draft = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
+        try:
+            if overwrite:
+                self._fs.delete(self._at(path), False)
+            if self._fs.getUri().getScheme() == "file":
+                name = lambda at: self._jvm.java.io.File(at.toUri().getPath()).toPath()
+                try:
+                    self._jvm.java.nio.file.Files.createLink(name(self._at(path)), name(draft))
+                except Py4JJavaError as e:
+                    if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                        raise Conflict(path) from e
+                    raise
+            elif self._fs.exists(self._at(path)) or not self._fs.rename(draft, self._at(path)):
+                raise Conflict(path)
+        finally:
+            self._fs.delete(draft, False)
 
     def read(self, path: str) -> str:
         stream = self._fs.open(self._at(path))
@@ -77,7 +90,7 @@ class Storage:
 
 class Versioned:
     """A JSON document whose versions are files made exclusively: of two writers of
-    the same version one gets a Conflict."""
+    the same version one gets a Conflict, and so does one whose version isn't the newest any more, however old it is."""
 
     def __init__(self, storage: Storage, folder: str, keep: int = 20):
         self.storage, self.folder, self.keep = storage, folder, keep
@@ -85,12 +98,28 @@ class Versioned:
     def versions(self) -> list[int]:
         return sorted(int(name[1:-5]) for name, *_ in self.storage.list(self.folder) if name.startswith("v") and name.endswith(".json"))
 
+    def _name(self, version: int) -> str:
+        return f"{self.folder}/v{version:012d}.json"
+
     def load(self) -> tuple[int, dict | None]:
-        found = self.versions()
-        return (found[-1], json.loads(self.storage.read(f"{self.folder}/v{found[-1]:012d}.json"))) if found else (0, None)
+        for _ in range(20):
+            found = self.versions()
+            if not found:
+                return 0, None
+            try:
+                return found[-1], json.loads(self.storage.read(self._name(found[-1])))
+            except Py4JJavaError:  # many others published meanwhile and it was removed as an old one
+                if self.storage.exists(self._name(found[-1])):
+                    raise
+        raise Conflict(self.folder)
 
     def publish(self, version: int, document: dict) -> int:
-        self.storage.create(f"{self.folder}/v{version + 1:012d}.json", json.dumps(document))
-        for old in self.versions()[: -self.keep]:
-            self.storage.delete(f"{self.folder}/v{old:012d}.json")
+        self.storage.create(self._name(version + 1), json.dumps(document))
+        there = self.versions()
+        # old versions are removed, so a writer that is far behind can make its file; the newest always stays and betrays it
+        if there[-1] > version + 1:
+            self.storage.delete(self._name(version + 1))
+            raise Conflict(self._name(version + 1))
+        for old in there[: -self.keep]:
+            self.storage.delete(self._name(old))
         return version + 1

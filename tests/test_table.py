@@ -250,3 +250,78 @@ def test_plans(people):
     people.delete("name = 'Bob'")
     dirty = plan(people.scan(["name"], ["age > 21"]))
     assert dirty.count("LeftAnti") == 1 and "BroadcastHashJoin" in dirty and "GreaterThan" in dirty
+
+
+def test_stale_writers_lose_nothing_silently(client, spark):
+    """A handle that is more versions behind than are kept gets a Conflict, or appends on top of the newest."""
+    client.create_table("test", "stale", PEOPLE)
+    behind, other, now = (client.load_table("test", "stale") for _ in range(3))
+    for i in range(25):
+        now.insert(spark.createDataFrame([("a", i)], PEOPLE), try_dump=False)
+    with pytest.raises(Conflict):
+        behind._publish(lambda doc: doc.update(files=[]), rebase=False)
+    assert other.insert(spark.createDataFrame([("late", 99)], PEOPLE)) == 1
+    t = client.load_table("test", "stale")
+    assert t.count() == 26 == t.df().count() and len(t._manifest.versions()) <= 20
+    assert t.storage.list(f"{t.path}/manifest")[0][0].endswith(".json")  # no drafts stay
+
+
+def test_overwrite_is_one_version(people, spark):
+    version = people.version
+    with pytest.raises(InvalidInput):
+        sql.insert_into(people, spark.createDataFrame([("x", "y")], "name string, age string"), mode="overwrite")
+    with pytest.raises(Exception, match="name is NULL"):
+        sql.insert_into(people, spark.createDataFrame([(None, 1)], "name string, age int"), mode="overwrite")
+    assert people.refresh().version == version and people.df().count() == 4
+    sql.insert_into(people, spark.createDataFrame([("x", 1)], PEOPLE), mode="overwrite")
+    assert people.version == version + 1 and rows(people.df()) == [("x", 1)]
+
+
+def test_batches_that_repeat(people, spark):
+    more = spark.createDataFrame([("x", 1)], PEOPLE)
+    assert [people.insert(more, batch=("s", n)) for n in (0, 0, 1, 0)] == [1, 0, 1, 0]
+    assert people.insert(more, batch=("other", 0)) == 1 and people.df().count() == 7
+
+
+def test_lease_is_given_back_by_its_holder_only(people):
+    with maintenance.lease(people, "x", seconds=-1) as first:
+        with maintenance.lease(people, "x") as second:
+            assert first and second
+            with maintenance.lease(people, "x") as third:
+                assert not third
+        with maintenance.lease(people, "x", seconds=-1) as fourth:
+            assert fourth
+    with maintenance.lease(people, "x") as fifth:
+        assert fifth
+
+
+def test_dump_of_many_lots(client, spark):
+    t = client.create_table("test", "lots", StructType([StructField("id", LongType(), False)]), config={"inline_row_count_limit": 10})
+    t.insert(spark.range(57), try_dump=False)
+    last = {r["id"] for r in t.rows().orderBy(F.col(ROW_ID).desc()).limit(7).collect()}
+    assert maintenance.dump(t) == 50
+    assert t.inline_row_count() == 7 and all(f["rows"] <= 10 for f in t.data_file_records())
+    assert {r[0] for r in t.rows(t._tier("inline")).select("id").collect()} == last and t.df().distinct().count() == 57
+    assert t.update({"id": "id + 100"}, "id % 2 = 0") == 29 and t.inline_row_count() <= 7  # as many as fill the tier become files
+
+
+def test_pages_skip_files_by_count(client, spark):
+    t = client.create_table("test", "paged", StructType([StructField("id", LongType(), False)]), config={"inline_row_count_limit": 10})
+    for i in range(5):
+        t.bypass_insert(spark.range(10 * i, 10 * i + 10).coalesce(1))
+    t.delete("id in (3, 15)")
+    order = [r["id"] for r in t.rows().orderBy(ROW_ID).collect()]
+    for offset, limit in ((0, 3), (9, 1), (12, 20), (40, None), (47, 5), (48, 5)):
+        page = t.scan(offset=offset, limit=limit)
+        assert [r[0] for r in page.collect()] == order[offset:][:limit]
+        assert len(page.inputFiles()) <= (limit or 8) // 9 + 2
+    assert len(t._paged(t.doc["files"], 20, 5)[0]) == 1
+
+
+def test_fetch_reads_the_files_of_the_ids(client, spark):
+    t = client.create_table("test", "fetched", StructType([StructField("id", LongType(), False)]))
+    for i in range(4):
+        t.bypass_insert(spark.range(10 * i, 10 * i + 10).coalesce(1))
+    some = spark.createDataFrame(t.rows().where("id in (21, 25)").select(ROW_ID).collect(), f"{ROW_ID} binary")
+    assert rows(t.fetch(some)) == [(21,), (25,)] and len(t.fetch(some).inputFiles()) <= 2
+    assert t.fetch(some.limit(0)).count() == 0
