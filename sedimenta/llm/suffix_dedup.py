@@ -84,39 +84,54 @@ def _set(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
 
 
-def _occurrences(base: DataFrame, min_words: int, maps, kind: str) -> DataFrame:
-    """``full``, ``short``: a row for each trigger whose key may repeat: key, ctx, id, body, at; if full also its context's words.
-    ``windows``: of the triggers that are hot a row for each passage: two hashes, id, body, its first word."""
+def _occurrences(base: DataFrame, min_words: int, maps, full: bool) -> DataFrame:
+    """A row for each trigger whose key may repeat: key, ctx, id, body, at; if ``full`` also its context's words and whether its key may be hot."""
 
     def run(batches):
-        (all_bits, block), (hot_bits, hot_block) = maps.value
+        (bits, block), (hot_bits, hot_block) = maps.value
         known, hot_known = np.frombuffer(block, dtype=np.uint8), np.frombuffer(hot_block, dtype=np.uint8)
         for batch in batches:
             for part, p, word in _parses(batch, min_words):
-                w = p.words
-                hot = _set(hot_known, hot_bits, p.key) if len(hot_known) else np.zeros(len(p.key), dtype=bool)
-                ok = np.flatnonzero(hot if kind == "windows" else _set(known, all_bits, p.key) & ~hot)
+                w, ok = p.words, np.flatnonzero(_set(known, bits, p.key))
                 at, lo, hi, key = p.at[ok], p.lo[ok], p.hi[ok], p.key[ok]
-                if kind == "windows":
-                    n = hi - lo + 1
-                    at = np.repeat(at - hi, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 row = w.doc[at]
-                place, take = pa.array((at - w.first[row] + word).astype(np.int32)), pa.array(row)
-                cols = {"id": part["id"].take(take), "body": part["body"].take(take), "at": place}
-                if kind == "windows":
-                    own = {name: pa.array(stretches(h, at, at + min_words).view(np.int64)) for name, h in (("w1", w.hash), ("w2", mix(w.hash)))}
-                    yield pa.RecordBatch.from_pydict(own | cols)
-                    continue
                 # the words from the first window's start to the last one's end say all about a trigger
                 ctx = stretches(w.hash, at - hi, at - lo + min_words) + mix((lo * 4096 + hi).astype(np.uint64))
-                cols = {"key": pa.array(key), "ctx": pa.array(ctx.view(np.int64))} | cols
-                if kind == "full":
+                place, take = pa.array((at - w.first[row] + word).astype(np.int32)), pa.array(row)
+                cols = {"key": pa.array(key), "ctx": pa.array(ctx.view(np.int64)), "id": part["id"].take(take), "body": part["body"].take(take), "at": place}
+                if full:
+                    hot = _set(hot_known, hot_bits, key) if len(hot_known) else np.zeros(len(key), dtype=bool)
                     short = (w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    cols |= {"lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "words": _lists(short, at - hi, hi - lo + min_words)}
+                    cols |= {"lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "hot": pa.array(hot), "words": _lists(short, at - hi, hi - lo + min_words)}
                 yield pa.RecordBatch.from_pydict(cols)
 
-    head = "w1 bigint, w2 bigint" if kind == "windows" else "key bigint, ctx bigint"
-    return base.mapInArrow(run, f"{head}, id bigint, body bigint, at int" + (", lo int, hi int, words array<int>" if kind == "full" else ""))
+    return base.mapInArrow(run, "key bigint, ctx bigint, id bigint, body bigint, at int" + (", lo int, hi int, hot boolean, words array<int>" if full else ""))
+
+
+def _one_by_one(entries: DataFrame, min_words: int) -> DataFrame:
+    """What combine finds, for contexts of triggers that no one task should hold: each passage is hashed (128 bits of its words'
+    32) and added up by itself."""
+
+    def run(batches):
+        for batch in batches:
+            lo, hi = (batch[c].to_numpy().astype(np.int64) for c in ("lo", "hi"))
+            words, first = batch["words"].flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), batch["words"].offsets.to_numpy().astype(np.int64)
+            n = hi - lo + 1
+            row = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = (first - first[0])[row] + off
+            hashes = [pa.array(stretches(mix(words + np.uint64(salt)), at, at + min_words).view(np.int64)) for salt in (1, 1 << 40)]
+            cols = [batch[c].take(pa.array(row)) for c in ("key", "ctx", "n", "f_id", "f_body", "f_at")]
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array((hi[row] - off).astype(np.int32)), *cols], names=["w1", "w2", "a", "key", "ctx", "n", "f_id", "f_body", "f_at"])
+
+    every = entries.select("key", "ctx", "n", "lo", "hi", "words", "f_id", "f_body", "f_at").mapInArrow(run, "w1 bigint, w2 bigint, a int, key bigint, ctx bigint, n bigint, f_id bigint, f_body bigint, f_at int")
+    # by the places of triggers: of two triggers with equal passages of one text the first is also the first passage
+    place = F.struct(F.col("f_id").isNull().alias("no_id"), "f_id", "f_body", "f_at")
+    firsts = every.groupBy("w1", "w2").agg(F.sum("n").alias("all"), F.min(place).alias("f")).where("all > 1").select("w1", "w2", "f")
+    found = every.select("w1", "w2", "key", "ctx", "a").join(firsts, ["w1", "w2"])
+    run_of = F.col("a") - F.row_number().over(Window.partitionBy("key", "ctx", "f").orderBy("a"))
+    runs_of = found.withColumn("run", run_of).groupBy("key", "ctx", "f", "run").agg(F.min("a").alias("a_lo"), F.max("a").alias("a_hi"))
+    return runs_of.select("key", "ctx", "a_lo", "a_hi", "f.f_id", "f.f_body", "f.f_at")
 
 
 def combine(chunk: pa.Table, min_words: int, modulus: int = 8) -> pa.RecordBatch:
@@ -195,7 +210,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hashes: 64 bits for the words that all passages of a trigger share and 32 for each word around them.
 
     Which triggers' keys repeat is told by a bitmap, sized by how many they are (128 MB at most; others pass by chance only
-    and are dropped later). Contexts are added up before they are shuffled. Triggers of more than ``hot`` occurrences have their passages
+    and are dropped later). Contexts are added up before they are shuffled. The distinct contexts of triggers of more than ``hot`` occurrences have their passages
     added up one by one (by hashes of 128 bits) instead of in one task.
 
     NULL texts and texts of fewer than ``min_words`` words give no rows. Rows that repeat with
@@ -212,19 +227,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     discard(repeated)
 
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "body", "at")
-    full = _occurrences(base, min_words, maps, "full")
-    entries = full.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"), *[F.first(c).alias(c) for c in ("lo", "hi", "words")])
-    entries = entries.select("key", "ctx", "n", "lo", "hi", "words", F.col("f.id").alias("f_id"), F.col("f.body").alias("f_body"), F.col("f.at").alias("f_at"))
-    found = materialize(_combine_all(entries.repartition("key").sortWithinPartitions("key"), min_words), "passages")
+    full = _occurrences(base, min_words, maps, True)
+    entries = full.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"), *[F.first(c).alias(c) for c in ("lo", "hi", "hot", "words")])
+    entries = entries.select("key", "ctx", "n", "lo", "hi", "hot", "words", F.col("f.id").alias("f_id"), F.col("f.body").alias("f_body"), F.col("f.at").alias("f_at"))
+    found = _combine_all((entries.where("not hot") if hot_many else entries).repartition("key").sortWithinPartitions("key"), min_words)
+    found = materialize(found.unionByName(_one_by_one(entries.where("hot"), min_words)) if hot_many else found, "passages")
 
-    hits = _occurrences(base, min_words, maps, "short").join(found, ["key", "ctx"])
+    hits = _occurrences(base, min_words, maps, False).join(found, ["key", "ctx"])
     later = hits.where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("body") == F.col("f_body")) & (F.col("at") == F.col("f_at"))))
     spans = later.select("id", "body", (F.col("at") - F.col("a_hi")).alias("s"), (F.col("at") - F.col("a_lo") + min_words).alias("e"), "f_id")
-    if hot_many:
-        windows = _occurrences(base, min_words, maps, "windows")
-        firsts = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1").drop("n")
-        more = windows.join(firsts, ["w1", "w2"]).where(place != F.col("f"))
-        spans = spans.unionByName(more.select("id", "body", F.col("at").alias("s"), (F.col("at") + min_words).alias("e"), F.col("f.id").alias("f_id")))
     by_doc = Window.partitionBy("id", "body").orderBy("s", "e")
     reach = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("apart", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("apart").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
