@@ -114,11 +114,14 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(row: np.ndarray, col: np.ndarray, n_cols: int, y: np.ndarray, l2: float, dense: np.ndarray, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of 0/1 features, weights of the columns of ``dense`` and bias of a logistic regression, by Adam on all rows."""
+def logistic(row: np.ndarray, col: np.ndarray, n_cols: int, y: np.ndarray, l2: float, dense: np.ndarray, steps: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of 0/1 features, weights of the columns of ``dense`` and bias of a logistic regression, by Adam on all rows, from
+    weights and bias ``start`` on."""
     n, own = len(y), n_cols + dense.shape[1]
     w, m, v = (np.zeros(own + 1) for _ in range(3))
     w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    if start is not None:
+        w[:n_cols], w[-1] = start[:-1], start[-1]
     for t in range(1, steps + 1):
         p = sigmoid(np.bincount(row, w[col], minlength=n) + dense @ w[n_cols:own] + w[-1])
         g = np.concatenate([np.bincount(col, (p - y)[row], minlength=n_cols), dense.T @ (p - y), [(p - y).sum()]]) / n + l2 * np.append(w[:-1], 0)
@@ -151,8 +154,8 @@ class View:
     weights: np.ndarray = field(default=None)
     bias: float = 0.0
 
-    def fit(self, row: np.ndarray, col: np.ndarray, y: np.ndarray, z_least: float, taught: np.ndarray | None = None) -> View:
-        """On labelled rows. ``taught``: a weight for each slot that the other view's pseudo-labels gave; their sum is a
+    def fit(self, row: np.ndarray, col: np.ndarray, y: np.ndarray, z_least: float, taught: np.ndarray | None = None, start: View | None = None) -> View:
+        """On labelled rows, from the same view without lessons (``start``) on, if there is one. ``taught``: a weight for each slot that the other view's pseudo-labels gave; their sum is a
         feature of its own, so the labels decide how far it is trusted."""
         n1, n = y.sum(), len(y)
         size = 1 << self.bits
@@ -165,7 +168,8 @@ class View:
             lean = np.bincount(row, taught[col], minlength=n)
             scale = float(lean.std()) or 1.0
             dense = (lean / scale)[:, None]
-        w, trust, self.bias = logistic(row[ok], place[col[ok]], len(chosen), y, 1e-4, dense)
+        begin = np.append(start.weights[chosen], start.bias) if start else None
+        w, trust, self.bias = logistic(row[ok], place[col[ok]], len(chosen), y, 1e-4, dense, 400 if start is None else 150, begin)
         self.weights = np.zeros(size, dtype=np.float32)
         self.weights[chosen] = w
         if taught is not None:
@@ -225,12 +229,15 @@ class Learner:
             held[own[: max(1, len(own) // 5)]] = True
         self.train, self.test = labelled[~held[labelled]], labelled[held[labelled]]
         self.views: list[View] = []
+        self.alone: list[View] = []  # the views that the labels alone teach
 
     def fit(self, taught: list[np.ndarray | None]) -> None:
         """Fit both views to the labels and to what each was taught by the other."""
         if self.constant is None:
             y = self.y[self.train].astype(float)
-            self.views = [View(bits).fit(*_rows_of(*side, self.train), y, z, own) for bits, side, z, own in zip(BITS, self.sides, LEAST_Z, taught)]
+            if not self.alone:
+                self.alone = [View(bits).fit(*_rows_of(*side, self.train), y, z) for bits, side, z in zip(BITS, self.sides, LEAST_Z)]
+            self.views = [first if own is None else View(first.bits).fit(*_rows_of(*side, self.train), y, z, own, first) for first, side, z, own in zip(self.alone, self.sides, LEAST_Z, taught)]
 
     def _held_out(self) -> np.ndarray:
         return np.column_stack([v.scores(*_rows_of(*side, self.test), len(self.test)) for v, side in zip(self.views, self.sides)])
