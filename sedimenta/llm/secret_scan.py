@@ -207,11 +207,14 @@ class Lexed:
 
     def pairs(self):
         """All pairs of the text, in the order of their values."""
-        tokens, first, ternary, i = self.tokens, 0, False, 0
+        # first: where the statement's target begins; colon: whether a colon in it gave nothing yet (a type may follow)
+        tokens, first, ternary, colon, together, i = self.tokens, 0, False, False, True, 0
+        self.line = 0
         while i < len(tokens):
             t = tokens[i]
             if t.kind == "line" or t.text in (";", "{", "("):
-                first, ternary = i + 1, False
+                first, ternary, colon, together = i + 1, False, False, True
+                self.line = i + 1 if t.kind == "line" else self.line
             elif t.text == "?" and not self._at(i + 1, ":"):
                 ternary = True
             elif t.text == "#" and self._at(i + 1, "define") and self._kind(i + 2) == "name":
@@ -224,28 +227,27 @@ class Lexed:
                 i = found[1][3]
                 continue
             elif t.text in ASSIGN and i > first and not (t.text == ":" and ternary):
+                if t.text == ":" and colon:
+                    first = i - 1
                 done = None
                 for pair in self._assigned(first, i):
                     if pair is not None:
                         yield pair[0]
                         done = pair[1]
                 if done is not None:
-                    first, i = (done, done) if self._at(done, ",") else (first, done)
+                    first, i, colon, together = done, done, False, True
                     continue
-                if self._at(i, ":", "=>") and self._kind(i + 1) == "line":
-                    first = i + 1
+                colon = t.text in (":", "?:")
+                first = first if colon else i + 1
             elif t.text == ",":
-                # the next key of a literal, unless names are assigned to together
-                if not self._together(first, i):
-                    first = i + 1
+                if not together or i == first:  # the next key of a literal; else names that are assigned to together
+                    first, colon, together = i + 1, False, True
+            elif t.kind != "name" and t.text not in (")", "*"):
+                together = False
             i += 1
         yield from self._tags()
         yield from self._logins()
 
-    def _together(self, first: int, comma: int) -> bool:
-        own = self.tokens[first:comma]
-        return bool(own) and all(t.kind == "name" or t.text in (",", "(", ")", "*") for t in own)
-
     def _call(self, i: int):
         """(name, value) of ``define("NAME", "value")`` and of ``setName("value")``: calls whose first or only arguments are literals."""
         callee = self.tokens[i].text
@@ -266,7 +268,7 @@ class Lexed:
         if not any(names):
             return
         words = list(map(str.lower, WORDS.findall(names[-1] or "")))
-        line = self.text[self.text.rfind("\n", 0, self.tokens[op].start) + 1 : self.tokens[op].start].strip(" \t\"'-")
+        line = self.text[self.tokens[self.line].start : self.tokens[op].start].strip(" \t\"'-") if op - self.line <= 4 else None
         config = sign == ":" or line in (names[-1], f"export {names[-1]}") and self.text[self.tokens[op].start - 1] not in " \t"
         phrase = "passphrase" in words and line in (names[-1], f"export {names[-1]}")
         i = op + 1
