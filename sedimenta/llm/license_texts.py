@@ -1,5 +1,9 @@
 """Licence notices and texts, as published by their stewards, by SPDX-like id."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
@@ -52,3 +56,15 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
     "All-Rights-Reserved": ["Copyright. All rights reserved. No part of this work may be reproduced without permission."],
 }
+
+#: Whole texts, as their stewards publish them, by the licence they are of.
+FULL_TEXTS = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1",
+              "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def all_templates() -> dict[str, list[str]]:
+    """Notices and, after them, the whole text of each licence that there is one of."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for name, file in FULL_TEXTS.items():
+        out.setdefault(name, []).append((Path(__file__).parent / "licenses" / f"{file}.txt").read_text())
+    return out

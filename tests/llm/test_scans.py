@@ -194,7 +194,7 @@ def test_automaton_statistics():
 
 
 def test_licences(spark):
-    mit = license_scan.TEMPLATES["MIT"][2]
+    mit = license_scan.all_templates()["MIT"][2]
     words = mit.split()
     edited = " ".join(w for i, w in enumerate(words) if i % 17)
     texts = {
@@ -215,6 +215,60 @@ def test_licences(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_long_matches_equal_brute_force():
+    """Few different tokens, so that matches overlap, repeat and tie."""
+    rng = random.Random(8)
+    for _ in range(20):
+        seqs = [[rng.choice("abcd") for _ in range(rng.randrange(4, 25))] for _ in range(3)]
+        m = license_scan.Matcher({"t": [" ".join(s) for s in seqs]}, 3, 0.01, 2)
+        text = [rng.choice("abcde") for _ in range(80)]
+        want = set()
+
+        def places(part):
+            return [(no, i) for no, s in enumerate(seqs) for i in range(len(s) - len(part) + 1) if s[i : i + len(part)] == part]
+
+        longest = [max(n for n in range(at + 2) if not n or places(text[at + 1 - n : at + 1])) for at in range(len(text))]
+        for at, n in enumerate(longest):
+            if n >= 3 and (at + 1 == len(text) or longest[at + 1] <= n):
+                want |= {(no, at + 1 - n, n, i) for no, i in places(text[at + 1 - n : at + 1])}
+        ids, hit, _ = m._hits(text)
+        found = m.matches(ids, hit, 10**6)
+        assert {(no, *x) for no, own in found.items() for x in own} == want
+        spans = m.spans(text)
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and all(n <= hi - lo for _, lo, hi, n, _ in spans)
+
+
+def test_whole_licence_texts_long_and_linear(monkeypatch):
+    import time
+
+    m = license_scan.Matcher(license_scan.all_templates(), 3, 0.7, 6)
+    for name in ("GPL-3.0", "MPL-2.0", "Apache-2.0", "LGPL-2.1"):
+        no = max(i for i, (n, _) in enumerate(m.names) if n == name)
+        whole = license_scan.all_templates()[name][-1]
+        words = whole.split()
+        edited = "intro text " + " ".join(w for i, w in enumerate(words) if i % 40) + " more of it"
+        (found,) = m.find("one two " + whole + " three")
+        assert found[0] == no and found[4] == 1.0
+        assert [f[0] for f in m.find(edited)] == [no]
+    text = " ".join(f"w{i} x{i} y{i} " * 10 + "Licensed under the MIT License. " + f"z{i} " * 20 for i in range(60))
+    want = list(m.find(text))
+    monkeypatch.setattr(license_scan, "PIECE", 600)
+    assert list(m.find(text)) == want and len(want) == 60
+    monkeypatch.undo()
+    took = []
+    for n in (2000, 8000):
+        start = time.process_time()
+        assert len(list(m.find("Licensed under the MIT License. " * n))) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_licence_ties_and_repeated_rows(spark):
+    given = {"a": ["one two three four"], "b": ["one two three four"]}
+    df = spark.createDataFrame([(1, "one two three four"), (1, "one two three four")], "doc_id bigint, text string")
+    assert [(r["license"], r["template"]) for r in license_scan.scan_licenses(df, templates=given).collect()] == [("a", 0)] * 2
+
+
 @pytest.mark.parametrize(
     ("text", "names"),
     [
