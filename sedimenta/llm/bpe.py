@@ -23,14 +23,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, shared_dir
-from .texthash import byte_sums, flat, part_hashes, slices
+from .common import delete_at_exit, discard, materialize, shared_dir
+from .texthash import byte_sums, flat, is_long, part_hashes, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are parted into words before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 256  # bytes from which a word is merged alone, by a heap
 CACHE_WORDS = 400_000
+PIECE = 1 << 20  # bytes of text that are worked on at once
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -244,6 +245,7 @@ def ship(spark: SparkSession, block: bytes) -> str:
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(block))
     out.close()
+    delete_at_exit(spark, path.toString())
     spark.sparkContext.addFile(path.toString())
     return name
 
@@ -254,6 +256,39 @@ _RARE = np.zeros(256, dtype=bool)  # bytes whose texts are parted by PATTERN its
 _RARE[[*range(0, 9), 11, 12, *range(14, 32), 39, *range(192, 195), *range(196, 256)]] = True
 
 
+_SAFE = np.full(256, 9, dtype=np.uint8)  # kinds of ASCII between which PATTERN always ends a word; 9: none
+_SAFE[33:127] = 3
+_SAFE[[*range(65, 91), *range(97, 123)]], _SAFE[48:58], _SAFE[[32, 9, 10, 13]], _SAFE[39] = 0, 1, 2, 9
+
+
+def cut(text: pa.Array, most_bytes: int) -> pa.Array:
+    """One text in parts of about ``most_bytes`` whose words are those of the text: each ends after a letter, digit or sign
+    (no apostrophe) that is followed by an ASCII character of another kind, or a space. A run without such a place isn't cut."""
+    raw, _ = flat(text)
+    ends = [0]
+    while ends[-1] < len(raw):
+        at = ends[-1] + most_bytes
+        while at < len(raw):
+            kind = _SAFE[raw[at - 1 : at + 65536]]
+            safe = np.flatnonzero((kind[:-1] != 2) & (kind[:-1] != 9) & (kind[1:] != 9) & (kind[:-1] != kind[1:]))
+            if len(safe):
+                at += int(safe[0])
+                break
+            at += len(kind) - 1
+        ends.append(min(at, len(raw)))
+    return pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()).cast(pa.string())
+
+
+def parts(batch: pa.RecordBatch, column: str):
+    """Texts of a batch in arrays of about PIECE bytes; longer texts are cut."""
+    for part in slices(batch, column, PIECE):
+        if is_long(part[column], PIECE):
+            own = cut(part[column], PIECE)
+            yield from (own.slice(k, 1) for k in range(len(own)))
+        else:
+            yield part[column]
+
+
 class Parted:
     """The words that PATTERN makes of texts, as byte ranges ``start``/``end`` of ``raw`` with their ``hash``.
 
@@ -337,8 +372,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             numbers, total, kept = Numbers(), np.zeros(0, np.int64), []
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                p = Parted(part["text"])
+            for texts in parts(batch, "text"):
+                p = Parted(texts)
                 keys, at, n = np.unique(p.hash, return_index=True, return_counts=True)
                 num = numbers.find(keys)
                 total[num[num >= 0]] += n[num >= 0]
@@ -346,7 +381,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 numbers.add(keys[new], len(total))
                 kept.append(p.bytes_of(at[new]))
                 total = np.concatenate([total, n[new]])
-                for text in part["text"].take(pa.array(p.slow)).to_pylist():
+                for text in texts.take(pa.array(p.slow)).to_pylist():
                     rare.update(find(text))
                 if len(total) + len(rare) > CACHE_WORDS:
                     yield from drain()
@@ -446,9 +481,22 @@ class Encoder:
         size = self.first[words + 1] - self.first[words]
         return gather(self.ids, self.first[words], size), firsts(size)[firsts(n)].astype(np.int32)
 
-
     def exact(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first, whether each text is what its ids decode to); words are known by their hash
+        """(ids, first, whether each text is what its ids decode to); long texts are worked on in parts."""
+        if (pc.max(pc.binary_length(texts)).as_py() or 0) <= 2 * PIECE:
+            return self._exact(texts)
+        ids, n, same = [], [], []
+        for i in range(len(texts)):
+            own = texts.slice(i, 1)
+            cuts = cut(own, PIECE) if is_long(own, PIECE) else own
+            done = [self._exact(cuts.slice(k, 1)) for k in range(len(cuts))]
+            ids += [x for x, _, _ in done]
+            n.append(sum(len(x) for x, _, _ in done))
+            same.append(all(ok.all() for _, _, ok in done))
+        return np.concatenate(ids), firsts(np.array(n)).astype(np.int32), np.array(same)
+
+    def _exact(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As exact; words are known by their hash
         unless that makes a difference."""
         want, want_off = flat(texts)
         for by_hash in (True, False):
@@ -472,8 +520,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and the frequent ones compiled; then each text's words get their ids from the
     memory-mapped lexicon, or by exact merges. ``round_trip`` says whether the decoded ids are the text.
 
-    A NULL text has NULL ids, token count and round trip; an empty one has no ids. NULL ids of documents
-    are returned as they are, rows that repeat are encoded again, other columns are
+    A NULL text has NULL ids, token count and round trip; an empty one has no ids. Ids of documents are whole numbers; NULL ids
+    are returned as they are, long texts are worked on in parts, an empty table gives no rows, rows that repeat are encoded again, other columns are
     ignored. Marks of special tokens are ordinary text. The ids don't depend on which words are frequent.
     """
     name = build_lexicon(docs, text_col, vocabulary, lexicon_size)
@@ -482,7 +530,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tables = unpack(SparkFiles.get(name))
         encoder = Encoder(tables)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", PIECE):
                 ids, first, same = encoder.exact(part["text"])
                 null = pc.is_null(part["text"])
                 lists = pa.ListArray.from_arrays(pa.array(first), pa.array(ids))
@@ -494,7 +542,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "input_ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, text`` from token ids. NULL ids give NULL, none an empty text; ids that don't
+    """``doc_id, text`` from token ids. NULL ids give NULL, none an empty text; a NULL among them stands for no token; ids that don't
     make up UTF-8 give replacement characters; an id that the vocabulary lacks is an error."""
     name = ship(encoded.sparkSession, pack(compile_vocabulary(load_ranks(vocabulary))))
 
@@ -502,8 +550,11 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         tables = unpack(SparkFiles.get(name))
         for batch in batches:
             lists = batch["ids"]
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            raw, off = decode_bytes(tables, lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n)).astype(np.int64))
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ids = lists.flatten()
+            real = ids.is_valid().to_numpy(zero_copy_only=False)
+            n = np.bincount(np.repeat(np.arange(len(size)), size)[real], minlength=len(size))
+            raw, off = decode_bytes(tables, ids.drop_null().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(n)).astype(np.int64))
             null = pc.is_null(lists).to_pylist()
             data = raw.tobytes()
             texts = [None if gone else data[a:b].decode("utf-8", "replace") for gone, a, b in zip(null, off.tolist(), off[1:].tolist())]

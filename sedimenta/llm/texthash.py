@@ -186,9 +186,7 @@ def all_shingle_sets(texts: pa.Array, k: int, most_bytes: int = 1 << 19) -> tupl
     parts, counts = [np.zeros(0, np.uint64)], [0]
     for cut in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", most_bytes):
         if is_long(cut["text"], most_bytes):
-            own = np.zeros(0, np.uint64)
-            for piece, _, _ in pieces(cut["text"], most_bytes, k - 1):
-                own = np.union1d(own, Words(piece).runs(k)[1])
+            own = np.unique(np.concatenate([np.unique(Words(piece).runs(k)[1]) for piece, _, _ in pieces(cut["text"], most_bytes, k - 1)]))
             if len(own):
                 parts.append(own)
                 counts.append(len(own))

@@ -87,6 +87,30 @@ def test_word_counts_cover_everything(spark):
     assert {r["word"]: r["n"] for r in bpe.word_counts(df).collect()} == dict(want)
 
 
+def test_long_texts_in_parts(vocabulary, monkeypatch):
+    text = " ".join(fuzz(400))
+    t = tables(vocabulary, [" the", "ab"])
+    want = vocabulary[2].encode_ordinary(text)
+    for size in (40, 300, 5000):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        assert "".join(bpe.cut(pa.array([text]), size).to_pylist()) == text and len(bpe.cut(pa.array([text]), size)) > len(text) // size // 3
+        ids, first, same = bpe.Encoder(t).exact(pa.array(["short", text, ""]))
+        assert ids[first[1] : first[2]].tolist() == want and same.all() and first[3] == first[2] == len(ids)
+    assert len(bpe.cut(pa.array(["a" * 1000]), 50)) == 1
+
+
+def test_null_among_ids(spark):
+    df = spark.createDataFrame([(1, [72, None, 73]), (2, None), (3, [None])], "doc_id bigint, input_ids array<int>")
+    found = {r["doc_id"]: r["text"] for r in bpe.decode_documents(df).collect()}
+    assert found[2] is None and found[3] == "" and len(found[1]) == 2
+
+
+def test_chat_repeated_turns_and_long(spark):
+    rows = [(1, 0, "user", "same"), (1, 0, "user", "same"), (1, 1, "assistant", "word " * 600_000)]
+    (r,) = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert r["text"].count("<|im_start|>user\nsame<|im_end|>") == 2 and sum(r["loss_mask"]) == r["n_target"] >= 600_000
+
+
 def brute_chat(tok, turns, role):
     """Encode the whole text and test each token against each span."""
     text, spans = "", []
