@@ -5,11 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIALECTS = ("wkb", "ewkb", "geopackage", "mysql", "spatialite")
+#: How flat little-endian geometries begin.
+_POINT, _LINE, _RING = bytes.fromhex("0101000000"), bytes.fromhex("0102000000"), bytes.fromhex("010300000001000000")
 BOX = "xmin double, ymin double, xmax double, ymax double"
 
 
@@ -73,13 +76,42 @@ def bounding_box(data: bytes | None, dialect: str = "wkb") -> tuple[float, float
     return min(xs), min(ys), max(xs), max(ys)
 
 
+def boxes_of(values: pd.Series, dialect: str = "wkb") -> np.ndarray:
+    """(rows, 4) bounding boxes, NaN where there is none. Flat little-endian points, lines and polygons of one ring are read
+    for all rows of a size at once, others one by one."""
+    out = np.full((len(values), 4), np.nan)
+    at = np.flatnonzero(values.notna().to_numpy())
+    raw = [bytes(values.iloc[i]) for i in at]
+    if dialect in ("wkb", "ewkb"):
+        sizes = np.array([len(g) for g in raw], dtype=np.int64)
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            data = np.frombuffer(b"".join(raw[i] for i in own), dtype=np.uint8).reshape(len(own), n)
+            for head in {bytes(x) for x in data[:, :13]} if n >= 21 else ():
+                lead = 5 if head[:5] == _POINT and n == 21 else 9 if head[:5] == _LINE else 13 if head[:9] == _RING else 0
+                points = int.from_bytes(head[lead - 4 : lead], "little") if lead > 5 else 1
+                if not lead or lead + 16 * points != n:
+                    continue
+                same = (data[:, :13] == np.frombuffer(head, np.uint8)).all(axis=1) if lead > 5 else (data[:, :5] == np.frombuffer(_POINT, np.uint8)).all(axis=1)
+                xy = np.ascontiguousarray(data[same, lead:]).view("<f8").reshape(-1, points, 2)
+                out[at[own[same]]] = np.concatenate([xy.min(axis=1), xy.max(axis=1)], axis=1)
+                for i in own[same]:
+                    raw[i] = None
+                if lead == 5:  # all points of this size
+                    break
+    for i, g in zip(at, raw):
+        if g is not None and (b := bounding_box(g, dialect)) is not None:
+            out[i] = b
+    return out
+
+
 def box(geometry: Column, dialect: str = "wkb") -> Column:
     """struct(xmin, ymin, xmax, ymax) of NULLs where there is no geometry."""
 
     @F.pandas_udf(BOX)
     def boxes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([bounding_box(g, dialect) or (None,) * 4 for g in batch], columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
+            yield pd.DataFrame(boxes_of(batch, dialect), columns=["xmin", "ymin", "xmax", "ymax"])
 
     return boxes(geometry)
 

@@ -13,16 +13,24 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, ByteType, DateType, FloatType, IntegerType, LongType, ShortType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, DateType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from ..errors import InvalidInput, NotFound, NotSupported
 from ..functions import geometry, vectors
+from ..functions.expressions import as_column
 from ..functions.rowid import ROW_ID
 from ..functions.text import tokens
 
 FILE = "_file"
 KEYS = [FILE, ROW_ID]
 K1, B = 1.2, 0.75
+#: Rows (about 100 bytes each) up to which a side of a join is broadcast, or the best rows of a search come to the driver.
+FEW = 10_000
+#: Up to so many row ids are looked up by value, so that Parquet skips row groups without them.
+NAMED = 64
+_OPS = {"EqualTo": "=", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">="}
+_FLIPPED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -34,7 +42,10 @@ class Compare:
     value: object
 
     def as_column(self) -> Column:
-        c, v = F.col(f"`{self.column}`"), self.value if isinstance(self.value, Column) else F.lit(self.value)
+        c = F.col(f"`{self.column}`")
+        if self.op == "in":  # a tuple of values
+            return c.isin(*self.value)
+        v = self.value if isinstance(self.value, Column) else F.lit(self.value)
         return {"=": c == v, "<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}[self.op]
 
 
@@ -75,7 +86,8 @@ class RabitqQuery:
 
 @dataclass
 class Kind:
-    """An index kind: the key types it takes, its parameters with their defaults, its entries."""
+    """An index kind: the key types it takes, its parameters with their defaults, its entries and what they answer. One that
+    is made known by ``register_kind`` is used by scans and searches like those that are here."""
 
     name: str
     params: dict = field(default_factory=dict)
@@ -87,6 +99,22 @@ class Kind:
         """Entries of rows (FILE, ROW_ID, key); None if the kind keeps none."""
         return None
 
+    def layout(self, entries: DataFrame) -> DataFrame:
+        """Entries in the order in which they are stored, so that look-ups read few row groups."""
+        return entries
+
+    def supports(self, condition) -> str | None:
+        """What entries say of a filter on the key: "exact" (which rows), "inexact" (which files may have some), or None."""
+        return None
+
+    def matching(self, entries: DataFrame, params: dict, condition) -> DataFrame:
+        """Entries that the filter may select."""
+        raise NotSupported(f"filters of {self.name}")
+
+    def search(self, table, index: dict, query, limit: int) -> tuple[DataFrame, bool]:
+        """FILE, ROW_ID and ``_score`` of at least the ``limit`` best rows, and whether smaller is better."""
+        raise NotSupported(f"search by {self.name}")
+
 
 class BTree(Kind):
     def check(self, kind, params):
@@ -94,7 +122,16 @@ class BTree(Kind):
             raise NotSupported(f"an ordered index on {kind.simpleString()}")
 
     def entries(self, rows, params):
-        return rows.where("key is not null").select(*KEYS, "key").orderBy("key")
+        return rows.where("key is not null").select(*KEYS, "key")
+
+    def layout(self, entries):
+        return entries.orderBy("key", ROW_ID)  # with the row id a key of many rows is split among tasks
+
+    def supports(self, condition):
+        return "inexact" if isinstance(condition, Compare) else None
+
+    def matching(self, entries, params, condition):
+        return entries.where(Compare("key", condition.op, condition.value).as_column())
 
 
 class FullText(Kind):
@@ -107,12 +144,38 @@ class FullText(Kind):
     def entries(self, rows, params):
         return postings(rows)
 
+    def layout(self, entries):
+        return entries.orderBy("term", ROW_ID)
+
+    def search(self, table, index, query, limit):
+        """BM25 of the rows that have a term of the query; only their postings are read."""
+        entries = table._all_entries(index, table.doc["files"])
+        if entries is None:
+            entries = postings(table._keyed(index, []))
+        terms = [r[0] for r in table.spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query.text))))).collect()]
+        hits = entries.where(F.col("term").isin(*terms))
+        if query.per_segment:
+            files = table.doc["files"]
+            sizes = table.spark.createDataFrame([(f["name"], f["live"]) for f in files], f"{FILE} string, n bigint")
+            df = hits.groupBy(FILE, "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(sizes) if len(files) <= FEW else sizes, FILE)
+            hits = hits.join(df, [FILE, "term"])
+        else:
+            df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.lit(table.count()))
+            hits = hits.join(F.broadcast(df) if len(terms) <= FEW else df, "term")
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / index["params"]["avgdl"]))
+        return hits.groupBy(*KEYS).agg(F.sum(idf * weight).alias("_score")), False
+
 
 class Vectors(Kind):
     def check(self, kind, params):
         if not isinstance(kind, ArrayType) or not isinstance(kind.elementType, FloatType):
             raise NotSupported(f"vector search on {kind.simpleString()}")
 
+    def search(self, table, index, query, limit):
+        rows = vectors.candidates(table._keyed(index, table.doc["files"]), KEYS, "key", list(query.vector), "l2", max(limit, 1))
+        return rows.select(*KEYS, vectors.l2_distance(F.col("key"), list(query.vector)).alias("_score")).where("_score is not null"), True
+
 
 class Rabitq(Vectors):
     def check(self, kind, params):
@@ -123,6 +186,20 @@ class Rabitq(Vectors):
     def entries(self, rows, params):
         return vectors.encode_vectors(rows, KEYS, "key", params["total_bits"])
 
+    def search(self, table, index, query, limit):
+        metric, q = index["params"]["metric"], list(query.vector)
+        many = limit * max(query.rerank, 1)
+        codes = table._all_entries(index, table.doc["files"])
+        if codes is None:
+            codes = vectors.encode_vectors(table._keyed(index, []), KEYS, "key", index["params"]["total_bits"])
+        best = vectors.estimated(codes, KEYS, q, index["params"]["total_bits"], metric, many)
+        best = best.orderBy(F.col("score").desc() if metric == "ip" else F.col("score"), ROW_ID).limit(many)
+        if not query.rerank:
+            return best.withColumnRenamed("score", "_score"), metric == "l2"
+        exact = vectors.inner_product if metric == "ip" else vectors.l2_distance
+        rows = table._keyed(index, table.doc["files"]).join(F.broadcast(best.select(*KEYS)) if many <= FEW else best.select(*KEYS), KEYS)
+        return rows.select(*KEYS, exact(F.col("key"), q).alias("_score")), metric == "l2"
+
 
 class RTree(Kind):
     def check(self, kind, params):
@@ -132,7 +209,21 @@ class RTree(Kind):
             raise InvalidInput(f"dialect {params['dialect']}")
 
     def entries(self, rows, params):
-        return boxes(rows, params["dialect"]).where("xmin is not null").orderBy("xmin")
+        return boxes(rows, params["dialect"]).where("xmin is not null")
+
+    def layout(self, entries):
+        # tiles: a range of x for each task, and within it row groups that are ranges of y
+        return entries.repartitionByRange("xmin", ROW_ID).sortWithinPartitions("ymin")
+
+    def supports(self, condition):
+        return "exact" if isinstance(condition, Intersects) else None
+
+    def matching(self, entries, params, condition):
+        want = geometry.bounding_box(condition.geometry, params["dialect"])
+        if want is None:
+            return entries.where("false")
+        x0, y0, x1, y1 = want
+        return entries.where((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))
 
 
 KINDS: dict[str, Kind] = {}
@@ -147,6 +238,21 @@ for _kind in (BTree("btree"), FullText("bm25", {"avgdl": 256.0}), Vectors("hnsw"
     register_kind(_kind)
 
 
+def anded(tree) -> list:
+    """The parts that a parsed expression ANDs."""
+    return anded(tree.left()) + anded(tree.right()) if tree.getClass().getSimpleName() == "And" else [tree]
+
+
+def as_intersects(tree) -> Intersects | None:
+    """``st_intersects(column, X'...')`` of a parsed expression."""
+    if tree.getClass().getSimpleName() != "UnresolvedFunction" or tree.nameParts().last().lower() != "st_intersects" or tree.arguments().size() != 2:
+        return None
+    of, area = tree.arguments().apply(0), tree.arguments().apply(1)
+    if of.getClass().getSimpleName() != "UnresolvedAttribute" or area.getClass().getSimpleName() != "Literal":
+        return None
+    return Intersects(of.nameParts().last(), bytes(area.value()))
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """(file, row, term, tf, len) of every text, one row for each distinct token."""
     split = rows.where("key is not null").select(*KEYS, tokens(F.col("key")).alias("t"))
@@ -206,7 +312,7 @@ class IndexSet:
             if entries is None:
                 continue
             path = f"index/{uuid.uuid4().hex}"
-            entries.write.parquet(self.storage.url(f"{self.path}/{path}"))
+            KINDS[index["kind"]].layout(entries).write.option("parquet.block.row.count.limit", 100_000).parquet(self.storage.url(f"{self.path}/{path}"))
             part = {"path": path, "files": [f["name"] for f in files]}
 
             def change(doc, at=index["name"], part=part):
@@ -251,28 +357,73 @@ class IndexSet:
 
     # -- filters
 
-    def comparison(self, condition) -> Compare | None:
-        """A filter as ``column op literal``, if it is one; SQL text is parsed."""
-        if isinstance(condition, Compare):
-            return condition
-        if not isinstance(condition, str):
-            return None
-        tree = self.spark._jsparkSession.sessionState().sqlParser().parseExpression(condition)
-        op = {"EqualTo": "=", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">="}.get(tree.getClass().getSimpleName())
-        if op is None or tree.left().getClass().getSimpleName() != "UnresolvedAttribute" or tree.right().getClass().getSimpleName() != "Literal":
-            return None
-        return Compare(tree.left().name().strip("`"), op, F.expr(tree.right().sql()))
+    def spatial(self, filters: Sequence) -> list:
+        """Filters with every ``st_intersects(column, literal)`` that SQL text ANDs as an ``Intersects``."""
+        out, parser = [], self.spark._jsparkSession.sessionState().sqlParser()
+        for f in filters:
+            if isinstance(f, str) and "st_intersects" in f.lower():
+                for part in anded(parser.parseExpression(f)):
+                    out.append(as_intersects(part) or part.sql())
+            else:
+                out.append(f)
+        return out
 
-    def pruned(self, files: list[dict], filters: Sequence) -> list[dict]:
-        """The files that may have rows for the filters, by the ordered indexes. Entries are sorted by
-        key, so a lookup reads few row groups; what it collects is names of files."""
+    def conjuncts(self, filters: Sequence, alias: str | None = None) -> list:
+        """What the filters AND together, as far as indexes understand it: ``Compare`` and ``Intersects``. SQL text and
+        columns are resolved against the table (as ``alias``), so literals may stand on either side and types are coerced."""
+        out = []
         for f in filters:
-            c = self.comparison(f)
-            for index in self._indexes("btree", c.column) if c else []:
+            if isinstance(f, (Column, str)):
+                empty = self.spark.createDataFrame([], StructType([StructField(ROW_ID, BinaryType()), *self.schema])).alias(alias or self.name)
+                tree = empty.select(as_column(f).alias("c"))._jdf.queryExecution().analyzed().projectList().head().child()
+                out.extend(self._understood(tree))
+            elif not isinstance(f, bool):
+                out.append(f)
+        return out
+
+    def _understood(self, tree, shared=None) -> list[Compare]:
+        """Comparisons that an analysed expression ANDs; ``shared`` is what BETWEEN refers to twice."""
+        kind = tree.getClass().getSimpleName()
+        if kind == "Between":
+            return self._understood(tree.replacement())
+        if kind == "With" and tree.defs().size() == 1:
+            return self._understood(tree.child(), tree.defs().apply(0).child())
+        if kind == "And":
+            return self._understood(tree.left(), shared) + self._understood(tree.right(), shared)
+        if kind == "In":
+            name, items = self._attribute(tree.value(), shared), [tree.list().apply(i) for i in range(tree.list().size())]
+            return [Compare(name, "in", tuple(F.expr(i.sql()) for i in items))] if name and all(i.foldable() for i in items) else []
+        if kind not in _OPS:
+            return []
+        for side, other, op in ((tree.left(), tree.right(), _OPS[kind]), (tree.right(), tree.left(), _FLIPPED[_OPS[kind]])):
+            if other.foldable() and (name := self._attribute(side, shared)):
+                return [Compare(name, op, F.expr(other.sql()))]
+        return []
+
+    @staticmethod
+    def _attribute(tree, shared=None) -> str | None:
+        """The column that an expression is; wider integers of it compare alike."""
+        if tree.getClass().getSimpleName() == "CommonExpressionRef" and shared is not None:
+            tree = shared
+        if tree.getClass().getSimpleName() == "Cast" and {tree.dataType().simpleString(), tree.child().dataType().simpleString()} <= set(_WHOLE):
+            tree = tree.child()
+        return tree.name() if tree.getClass().getSimpleName() == "AttributeReference" else None
+
+    def pruned(self, files: list[dict], filters: Sequence, alias: str | None = None) -> list[dict]:
+        """The files that may have rows for the filters, by the indexes. Entries are stored in an order
+        that suits the look-up, so it reads few row groups; what it collects is names of files."""
+        if not any(i["parts"] for i in self.doc["indexes"]):
+            return files
+        ids = {f.id: f.name for f in self.fields}
+        for c in self.conjuncts(filters, alias):
+            for index in self.doc["indexes"]:
+                kind = KINDS[index["kind"]]
+                if ids.get(index["columns"][0]) != c.column or not kind.supports(c):
+                    continue
                 known, rest = self._split(index, files)
-                if known:
-                    hits = self._entries(index, known).where(Compare("key", c.op, c.value).as_column()).select(FILE).distinct()
-                    names = {r[0] for r in hits.collect()}
+                entries = self._entries(index, known) if known else None
+                if entries is not None:
+                    names = {r[0] for r in kind.matching(entries, index["params"], c).select(FILE).distinct().collect()}
                     files = [f for f in known if f["name"] in names] + rest
                 break
         return files
@@ -280,18 +431,12 @@ class IndexSet:
     def intersecting(self, files: list[dict], f: Intersects) -> DataFrame:
         """Live rows whose box touches the geometry's, inclusive; rows without geometry never do."""
         indexes = self._indexes("rstar", f.column)
-        dialect = indexes[0]["params"]["dialect"] if indexes else "wkb"
-        want = geometry.bounding_box(f.geometry, dialect)
         rows = self.rows(files, with_file=True)
-        if want is None:
-            return rows.where("false")
-        x0, y0, x1, y1 = want
-        touch = (F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0)
         if indexes:
-            entries = self._all_entries(indexes[0], files)
+            entries, params = self._all_entries(indexes[0], files), indexes[0]["params"]
         else:
-            entries = boxes(rows.select(*KEYS, F.col(f"`{f.column}`").alias("key")), dialect)
-        return rows if entries is None else rows.join(entries.where(touch).select(*KEYS), KEYS, "left_semi")
+            entries, params = boxes(rows.select(*KEYS, F.col(f"`{f.column}`").alias("key")), "wkb"), {"dialect": "wkb"}
+        return rows if entries is None else rows.join(KINDS["rstar"].matching(entries, params, f).select(*KEYS), KEYS, "left_semi")
 
     # -- top-k search
 
@@ -307,46 +452,19 @@ class IndexSet:
         if not indexes:
             raise NotFound(f"an index of kind {query.kind}")
         index = indexes[0]
-        scored, ascending = {"bm25": self._bm25, "hnsw": self._exact, "rabitq": self._rabitq}[query.kind](index, query, limit)
+        scored, ascending = KINDS[query.kind].search(self, index, query, limit)
         wanted = list(projection) if projection is not None else [f.name for f in self.fields]
         wanted = ([ROW_ID] if row_id and ROW_ID not in wanted else []) + wanted
         order = [F.col("_score").asc() if ascending else F.col("_score").desc(), F.col(ROW_ID)]
         top = scored.orderBy(*order).limit(limit)
-        # the top rows are few (limit); they find their columns by a broadcast join
-        found = self.rows(with_file=True).join(F.broadcast(top), KEYS).orderBy(*order)
-        return found.select(*[F.col(f"`{c}`") for c in wanted], *[F.col("_score").alias(d) for d in dynamic_fields])
-
-    def _bm25(self, index: dict, query: BM25Query, limit: int) -> tuple[DataFrame, bool]:
-        entries = self._all_entries(index, self.doc["files"])
-        if entries is None:
-            entries = postings(self._keyed(index, []))
-        terms = self.spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query.text)))).alias("term"))
-        hits = entries.join(F.broadcast(terms), "term")
-        if query.per_segment:
-            sizes = self.spark.createDataFrame([(f["name"], f["live"]) for f in self.doc["files"]], f"{FILE} string, n bigint")
-            df = hits.groupBy(FILE, "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(sizes), FILE)
-            hits = hits.join(df, [FILE, "term"])
+        if limit <= FEW:  # few enough for the driver, which then reads their files alone
+            best = top.select(*KEYS, "_score").collect()
+            names, ids = {r[FILE] for r in best}, [bytes(r[ROW_ID]) for r in best]
+            rows = self.rows([f for f in self.doc["files"] if f["name"] in names], with_file=True)
+            if len(ids) <= NAMED:
+                rows = rows.where(F.col(ROW_ID).isin(*[F.lit(i) for i in ids]))
+            top = F.broadcast(self.spark.createDataFrame(best, top.select(*KEYS, "_score").schema))
         else:
-            df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.lit(self.count()))
-            hits = hits.join(F.broadcast(df), "term")
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / index["params"]["avgdl"]))
-        return hits.groupBy(*KEYS).agg(F.sum(idf * weight).alias("_score")), False
-
-    def _exact(self, index: dict, query: VectorQuery, limit: int) -> tuple[DataFrame, bool]:
-        rows = vectors.candidates(self._keyed(index, self.doc["files"]), KEYS, "key", list(query.vector), "l2", max(limit, 1))
-        return rows.select(*KEYS, vectors.l2_distance(F.col("key"), list(query.vector)).alias("_score")).where("_score is not null"), True
-
-    def _rabitq(self, index: dict, query: RabitqQuery, limit: int) -> tuple[DataFrame, bool]:
-        metric, q = index["params"]["metric"], list(query.vector)
-        many = limit * max(query.rerank, 1)
-        codes = self._all_entries(index, self.doc["files"])
-        if codes is None:
-            codes = vectors.encode_vectors(self._keyed(index, []), KEYS, "key", index["params"]["total_bits"])
-        best = vectors.estimated(codes, KEYS, q, index["params"]["total_bits"], metric, many)
-        best = best.orderBy(F.col("score").desc() if metric == "ip" else F.col("score"), ROW_ID).limit(many)
-        if not query.rerank:
-            return best.withColumnRenamed("score", "_score"), metric == "l2"
-        exact = vectors.inner_product if metric == "ip" else vectors.l2_distance
-        rows = self._keyed(index, self.doc["files"]).join(F.broadcast(best.select(*KEYS)), KEYS)
-        return rows.select(*KEYS, exact(F.col("key"), q).alias("_score")), metric == "l2"
+            rows = self.rows(with_file=True)
+        found = rows.join(top, KEYS).orderBy(*order)
+        return found.select(*[F.col(f"`{c}`") for c in wanted], *[F.col("_score").alias(d) for d in dynamic_fields])

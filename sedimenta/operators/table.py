@@ -167,7 +167,7 @@ class Table(IndexSet):
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.select(*[F.col(f"`{n}`") for n in names])
+        return out.select(*[F.col(f"`{n}`") for n in names]).alias(self.name)
 
     def df(self) -> DataFrame:
         """All live rows without their ids."""
@@ -184,6 +184,7 @@ class Table(IndexSet):
         wanted = list(projection) if projection is not None else ([ROW_ID] if row_id else []) + names
         if missing := [c for c in wanted if c != ROW_ID and c not in names]:
             raise NotFound(f"columns {missing}")
+        filters = self.spatial(filters)
         files = self.pruned(self._chosen(partition), filters)
         if not filters and (offset or limit is not None):
             files, offset = self._paged(files, offset, limit)
@@ -202,7 +203,7 @@ class Table(IndexSet):
     def _condition(self, c: Column | str | bool) -> Column:
         c = F.lit(c) if isinstance(c, bool) else as_column(c)
         kinds = StructType([StructField(ROW_ID, physical_schema([])[0].dataType), *self.schema])
-        kind = self.spark.createDataFrame([], kinds).select(c.alias("c")).schema["c"].dataType
+        kind = self.spark.createDataFrame([], kinds).alias(self.name).select(c.alias("c")).schema["c"].dataType
         if not isinstance(kind, BooleanType) and kind.typeName() != "void":
             raise InvalidInput(f"a condition of {kind.simpleString()}")
         return c.cast("boolean")
@@ -224,11 +225,14 @@ class Table(IndexSet):
 
     def fetch(self, ids: DataFrame, projection: Sequence[str] | None = None) -> DataFrame:
         """The rows whose ids ``ids`` holds, by a semi join over the files whose range of ids reaches those asked for."""
-        lo, hi = (r and bytes(r).hex() for r in ids.agg(F.min(ROW_ID), F.max(ROW_ID)).first())
-        files = [f for f in self.doc["files"] if lo and f.get("ids", [lo, hi])[0] <= hi and lo <= f.get("ids", [lo, hi])[1]]
-        out = self.rows(files).join(ids.select(ROW_ID), ROW_ID, "left_semi")
+        out = self.rows(self._reached(ids)).join(ids.select(ROW_ID), ROW_ID, "left_semi")
         return out.select(*(projection or [f.name for f in self.fields]))
 
+    def _reached(self, ids: DataFrame) -> list[dict]:
+        """Files whose range of row ids reaches those of ``ids``."""
+        lo, hi = (r and bytes(r).hex() for r in ids.agg(F.min(ROW_ID), F.max(ROW_ID)).first())
+        return [f for f in self.doc["files"] if lo and f.get("ids", [lo, hi])[0] <= hi and lo <= f.get("ids", [lo, hi])[1]]
+
     # -- writing
 
     def _write(self, df: DataFrame, tier: str, per_file: int | None = None) -> list[dict]:
@@ -351,7 +355,14 @@ class Table(IndexSet):
         if constant is False:
             return 0
         files = self.pruned(self.doc["files"], [condition])
-        deletes, lost = self._write_deletes(self.rows(files, with_file=True).where(c).select(FILE, ROW_ID))
+        return self._delete(self.rows(files, with_file=True).where(c))
+
+    def delete_ids(self, ids: DataFrame) -> int:
+        """Delete the rows whose ids ``ids`` holds; others and ids that repeat are ignored."""
+        return self._delete(self.rows(self._reached(ids), with_file=True).join(ids.select(ROW_ID), ROW_ID, "left_semi"))
+
+    def _delete(self, rows: DataFrame) -> int:
+        deletes, lost = self._write_deletes(rows.select(FILE, ROW_ID))
         if not lost:
             return 0
 
@@ -364,7 +375,7 @@ class Table(IndexSet):
 
     def _constant(self, condition: Column) -> bool | None:
         """The value of a condition that uses no column; NULL counts as false."""
-        plan = self.spark.createDataFrame([], self.schema).select(condition)._jdf.queryExecution().analyzed()
+        plan = self.spark.createDataFrame([], self.schema).alias(self.name).select(condition)._jdf.queryExecution().analyzed()
         if not plan.projectList().head().references().isEmpty() or not plan.projectList().head().deterministic():
             return None
         return bool(self.spark.range(1).select(condition).first()[0])

@@ -42,6 +42,13 @@ def btree_date(spark, sf_dir):
     return indexed(spark, sf_dir, "orders", {"by_date": ("btree", "o_orderdate", {})}).scan(ORDER, ["o_orderdate < timestamp_ntz'1996-01-01'"])
 
 
+@query("btree_text", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey in (7, 100, 5000) or o_orderkey between 200 and 230 and o_custkey > 3")
+def btree_text(spark, sf_dir):
+    t = indexed(spark, sf_dir, "orders", {"by_key": ("btree", "o_orderkey", {})})
+    low = t.scan(ORDER, ["230 >= o_orderkey and o_orderkey between 200 and 4000 and o_custkey > 3"])
+    return low.unionByName(t.scan(ORDER, [F.col("o_orderkey").isin(7, 100, 5000)]))
+
+
 @query("two_indexes_intersect", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey < 5000 and o_custkey > 50")
 def two_indexes_intersect(spark, sf_dir):
     t = indexed(spark, sf_dir, "orders", {"by_key": ("btree", "o_orderkey", {}), "by_customer": ("btree", "o_custkey", {})})
@@ -98,6 +105,13 @@ def rabitq_top10(spark, sf_dir):
     return t.search(RabitqQuery(_vector(spark, sf_dir)), ["vec_id"], limit=10)
 
 
+@query("rabitq_ip_top10", f"select vec_id from embeddings order by list_inner_product(cast(embedding as double[]), {QUERY}) desc, vec_id limit 10")
+def rabitq_ip_top10(spark, sf_dir):
+    t = fresh_table(spark, sf_dir, "embeddings")
+    t.create_index("codes", "rabitq", ["embedding"], {"metric": "ip"})
+    return t.search(RabitqQuery(_vector(spark, sf_dir)), ["vec_id"], limit=10)
+
+
 BM25 = """
 with t as (select doc_id, {part} as part, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|.')) as term from documents),
 l as (select doc_id, count(*) as len from t group by 1),

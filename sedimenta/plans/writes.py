@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField
 
 from ..functions.rowid import ROW_ID
 from ..operators import maintenance, sql
-from .loading import client, fresh_table, source
+from .loading import client, fresh_table, shared_table, source
 from .registry import query
 
 PLAIN = "select * from orders"
@@ -117,14 +117,19 @@ def delete_count(spark, sf_dir):
 
 @query("delete_row_ids", "select * from orders where o_orderkey % 5 <> 0")
 def delete_row_ids(spark, sf_dir):
-    t = fresh_table(spark, sf_dir, "nation")
-    first = t.rows().orderBy(ROW_ID).first()[ROW_ID]
-    assert t.delete(F.col(ROW_ID) == F.lit(first)) == 1
     t = fresh_table(spark, sf_dir, "orders")
-    t.delete("o_orderkey % 5 = 0")
+    t.delete_ids(t.rows().where("o_orderkey % 5 = 0").select(ROW_ID))
     return t.df()
 
 
+@query("delete_one_row_id", "select count(*) - 1 as n from nation")
+def delete_one_row_id(spark, sf_dir):
+    t = fresh_table(spark, sf_dir, "nation")
+    first = t.rows().orderBy(ROW_ID).first()[ROW_ID]
+    t.delete(F.col(ROW_ID) == F.lit(bytes(first)))
+    return t.df().agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("delete_true", "select * from orders where false")
 def delete_true(spark, sf_dir):
     t = fresh_table(spark, sf_dir, "orders")
@@ -182,3 +187,55 @@ def sql_dml_view(spark, sf_dir):
     sql.update_table(t, {"o_orderstatus": "'N'"}, "o_orderkey % 4 = 0")
     sql.register(t, "orders_now")
     return spark.sql("select o_orderstatus, count(*) as n, sum(o_custkey) as s from orders_now group by o_orderstatus")
+
+
+@query("sql_text_dml", "select o_orderstatus, count(*) as n, cast(sum(o_custkey) as bigint) as s from (select case when o_orderkey % 4 = 0 then 'N' else o_orderstatus end as o_orderstatus, o_custkey from orders where o_custkey % 7 <> 0 union all select 'I', o_custkey from orders where o_orderkey % 10 = 1 and o_custkey % 7 <> 0) group by o_orderstatus")
+def sql_text_dml(spark, sf_dir):
+    t, c = fresh_table(spark, sf_dir, "orders"), client(spark)
+    sql.execute(c, f"delete from {t.name} where o_custkey % 7 = 0")
+    sql.execute(c, f"update {t.name} set o_orderstatus = 'N' where o_orderkey % 4 = 0")
+    sql.execute(c, f"insert into {t.name} (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) select -o_orderkey, o_custkey, 'I', o_totalprice, o_orderdate, o_orderpriority from {t.name} where o_orderkey % 10 = 1")
+    return sql.execute(c, f"select o_orderstatus, count(*) as n, sum(o_custkey) as s from {t.name} group by o_orderstatus")
+
+
+@query("sql_text_overwrite", "select n_nationkey, upper(n_name) as n_name, n_regionkey from nation where n_regionkey = 1")
+def sql_text_overwrite(spark, sf_dir):
+    t, c = fresh_table(spark, sf_dir, "nation"), client(spark)
+    sql.execute(c, f"insert overwrite {t.name} select n_nationkey, upper(n_name), n_regionkey from {t.name} where n_regionkey = 1")
+    return sql.execute(c, f"select * from {t.name}")
+
+
+@query("sql_text_count", "select count(*) as n from lineitem")
+def sql_text_count(spark, sf_dir):
+    t = shared_table(spark, sf_dir, "lineitem")
+    return sql.execute(client(spark), f"select count(*) as n from {t.name}")
+
+
+@query("sql_text_indexed", "select o_custkey, count(*) as n from orders where o_orderkey between 100 and 900 and o_custkey in (1, 5, 7, 20) group by o_custkey")
+def sql_text_indexed(spark, sf_dir):
+    t = shared_table(spark, sf_dir, "orders").refresh()
+    t.create_index("by_key", "btree", ["o_orderkey"], if_not_exists=True)
+    return sql.execute(client(spark), f"select o_custkey, count(*) as n from {t.name} where o_orderkey between 100 and 900 and o_custkey in (1, 5, 7, 20) group by o_custkey")
+
+
+@query("create_drop_table", "select 'kept' as name, count(*) as rows from region")
+def create_drop_table(spark, sf_dir):
+    c, rows = client(spark), source(spark, sf_dir, "region")
+    space = f"tables_{len(c.namespaces())}"
+    c.create_namespace(space)
+    for name in ("kept", "gone"):
+        c.create_table(space, name, rows.schema).insert(rows)
+    c.load_table(space, "gone").drop()
+    return spark.createDataFrame([(n, c.load_table(space, n).count()) for n in c.tables(space)], "name string, rows bigint")
+
+
+@query("drop_index", "select o_orderkey, o_custkey from orders where o_orderkey < 700")
+def drop_index(spark, sf_dir):
+    t = fresh_table(spark, sf_dir, "orders")
+    for name in ("a", "b"):
+        t.create_index(name, "btree", ["o_orderkey"])
+    t.drop_index("a")
+    if [i["name"] for i in t.index_definitions()] != ["b"]:
+        raise AssertionError(t.index_definitions())
+    t.drop_index("b")
+    return t.scan(["o_orderkey", "o_custkey"], ["o_orderkey < 700"])
