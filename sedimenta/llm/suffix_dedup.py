@@ -22,6 +22,7 @@ TRIGGER_WORDS = 4
 CHUNK = 10_000  # contexts whose order is found at once, if no trigger has more
 HOT = 20_000  # occurrences of a trigger from which its passages are shuffled one by one
 PIECE = 1 << 19
+KEY_WORDS = 2  # in a context its key, as two words of 32 bits, stands for the words that are hashed to it
 _RESULT = "key bigint, ctx bigint, a_lo int, a_hi int, f_id bigint, f_body bigint, f_at int"
 
 
@@ -48,16 +49,28 @@ class Parse:
         first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(starts)) - 1
         self.at = trigger[first]
         self.hi, self.lo = self.at - starts[first], self.at - starts[last]
-        common = min_words - self.span + 1
+        common = shared_words(min_words)
         place = np.full(n, -1)
         spots, keys = runs(h, w.doc, common)
         place[spots] = np.arange(len(spots))
         self.key = keys[place[self.at]].view(np.int64)
 
 
-def _lists(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(values[at]))
+def shared_words(min_words: int) -> int:
+    """Words from a trigger on that every passage of ``min_words`` with that trigger has; its key is their hash."""
+    return min_words - (min_words - TRIGGER_WORDS + 1) * 2 // 3 + 1
+
+
+def _lists(values: np.ndarray, key: np.ndarray, start: np.ndarray, before: np.ndarray, shared: int, after: np.ndarray) -> pa.ListArray:
+    """Contexts from ``start`` on: the words before the trigger, the key in place of the ``shared`` ones, and those after them."""
+    n = before + KEY_WORDS + after
+    row = np.repeat(np.arange(len(n)), n)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    past = off - before[row]
+    words = values[np.minimum(off + start[row] + np.where(past > 0, shared - KEY_WORDS, 0), len(values) - 1)]
+    for i in range(KEY_WORDS):
+        words[past == i] = (key >> 32 * i).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(words))
 
 
 def _parses(batch: pa.RecordBatch, min_words: int):
@@ -87,6 +100,8 @@ def _set(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
 def _occurrences(base: DataFrame, min_words: int, maps, full: bool) -> DataFrame:
     """A row for each trigger whose key may repeat: key, ctx, id, body, at; if ``full`` also its context's words and whether its key may be hot."""
 
+    shared = shared_words(min_words)
+
     def run(batches):
         (bits, block), (hot_bits, hot_block) = maps.value
         known, hot_known = np.frombuffer(block, dtype=np.uint8), np.frombuffer(hot_block, dtype=np.uint8)
@@ -102,13 +117,13 @@ def _occurrences(base: DataFrame, min_words: int, maps, full: bool) -> DataFrame
                 if full:
                     hot = _set(hot_known, hot_bits, key) if len(hot_known) else np.zeros(len(key), dtype=bool)
                     short = (w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    cols |= {"lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "hot": pa.array(hot), "words": _lists(short, at - hi, hi - lo + min_words)}
+                    cols |= {"lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "hot": pa.array(hot), "words": _lists(short, key, at - hi, hi, shared, min_words - lo - shared)}
                 yield pa.RecordBatch.from_pydict(cols)
 
     return base.mapInArrow(run, "key bigint, ctx bigint, id bigint, body bigint, at int" + (", lo int, hi int, hot boolean, words array<int>" if full else ""))
 
 
-def _one_by_one(entries: DataFrame, min_words: int) -> DataFrame:
+def _one_by_one(entries: DataFrame, length: int) -> DataFrame:
     """What combine finds, for contexts of triggers that no one task should hold: each passage is hashed (128 bits of its words'
     32) and added up by itself."""
 
@@ -120,7 +135,7 @@ def _one_by_one(entries: DataFrame, min_words: int) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = (first - first[0])[row] + off
-            hashes = [pa.array(stretches(mix(words + np.uint64(salt)), at, at + min_words).view(np.int64)) for salt in (1, 1 << 40)]
+            hashes = [pa.array(stretches(mix(words + np.uint64(salt)), at, at + length).view(np.int64)) for salt in (1, 1 << 40)]
             cols = [batch[c].take(pa.array(row)) for c in ("key", "ctx", "n", "f_id", "f_body", "f_at")]
             yield pa.RecordBatch.from_arrays([*hashes, pa.array((hi[row] - off).astype(np.int32)), *cols], names=["w1", "w2", "a", "key", "ctx", "n", "f_id", "f_body", "f_at"])
 
@@ -134,10 +149,10 @@ def _one_by_one(entries: DataFrame, min_words: int) -> DataFrame:
     return runs_of.select("key", "ctx", "a_lo", "a_hi", "f.f_id", "f.f_body", "f.f_at")
 
 
-def combine(chunk: pa.Table, min_words: int, modulus: int = 8) -> pa.RecordBatch:
+def combine(chunk: pa.Table, length: int, modulus: int = 8) -> pa.RecordBatch:
     """The repeated passages of the contexts of whole triggers: for each context runs
     of distances a_lo..a_hi before the trigger at which a passage starts that occurs more than
-    once, and its first occurrence."""
+    once, and its first occurrence. ``length`` is that of a passage in a context, where the key stands for the shared words."""
     cols = {c: chunk[c].to_numpy().astype(np.int64) for c in ("key", "ctx", "n", "lo", "hi", "f_body", "f_at")}
     f_id = chunk["f_id"].combine_chunks()
     null = f_id.is_null().to_numpy(zero_copy_only=False)
@@ -154,8 +169,8 @@ def combine(chunk: pa.Table, min_words: int, modulus: int = 8) -> pa.RecordBatch
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     a = cols["hi"][row] - at
     order, common = PrefixFreeParse(words, first, modulus).order(first[row] + row + at)
-    begin = np.flatnonzero(np.append(True, common[1:] < min_words)) if len(order) else np.zeros(0, np.int64)
-    group = np.cumsum(np.append(True, common[1:] < min_words)[: len(order)]) - 1
+    begin = np.flatnonzero(np.append(True, common[1:] < length)) if len(order) else np.zeros(0, np.int64)
+    group = np.cumsum(np.append(True, common[1:] < length)[: len(order)]) - 1
     often = np.add.reduceat(cols["n"][row[order]], begin)[group] > 1 if len(order) else np.zeros(0, bool)
     least = np.minimum.reduceat(rank[row[order]], begin)[group] if len(order) else np.zeros(0, np.int64)
     row, a, least = row[order][often], a[order][often], least[often]
@@ -170,7 +185,7 @@ def combine(chunk: pa.Table, min_words: int, modulus: int = 8) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, names=["key", "ctx", "a_lo", "a_hi", "f_id", "f_body", "f_at"])
 
 
-def _combine_all(entries: DataFrame, min_words: int) -> DataFrame:
+def _combine_all(entries: DataFrame, length: int) -> DataFrame:
     def run(batches):
         held: list[pa.RecordBatch] = []
         size, opened = 0, None
@@ -184,10 +199,10 @@ def _combine_all(entries: DataFrame, min_words: int) -> DataFrame:
                 table = pa.Table.from_batches(held)
                 key = table["key"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last trigger may go on
-                yield combine(table.slice(0, cut), min_words)
+                yield combine(table.slice(0, cut), length)
                 held, size, opened = table.slice(cut).to_batches(), len(key) - cut, int(key[-1])
         if held:
-            yield combine(pa.Table.from_batches(held), min_words)
+            yield combine(pa.Table.from_batches(held), length)
 
     return entries.mapInArrow(run, _RESULT)
 
@@ -209,7 +224,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that have the first occurrences. All runs of all texts take part; results are exact but for
     hashes: 64 bits for the words that all passages of a trigger share and 32 for each word around them.
 
-    Which triggers' keys repeat is told by a bitmap, sized by how many they are (128 MB at most; others pass by chance only
+    Contexts have the key itself in place of the words that are hashed to it. Which triggers' keys repeat is told by a bitmap, sized by how many they are (128 MB at most; others pass by chance only
     and are dropped later). Contexts are added up before they are shuffled. The distinct contexts of triggers of more than ``hot`` occurrences have their passages
     added up one by one (by hashes of 128 bits) instead of in one task.
 
@@ -226,12 +241,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     maps = spark.sparkContext.broadcast((_fetch(keys_map(repeated, "key", bits), bits), hot_map))
     discard(repeated)
 
+    length = min_words - shared_words(min_words) + KEY_WORDS
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "body", "at")
     full = _occurrences(base, min_words, maps, True)
     entries = full.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"), *[F.first(c).alias(c) for c in ("lo", "hi", "hot", "words")])
     entries = entries.select("key", "ctx", "n", "lo", "hi", "hot", "words", F.col("f.id").alias("f_id"), F.col("f.body").alias("f_body"), F.col("f.at").alias("f_at"))
-    found = _combine_all((entries.where("not hot") if hot_many else entries).repartition("key").sortWithinPartitions("key"), min_words)
-    found = materialize(found.unionByName(_one_by_one(entries.where("hot"), min_words)) if hot_many else found, "passages")
+    found = _combine_all((entries.where("not hot") if hot_many else entries).repartition("key").sortWithinPartitions("key"), length)
+    found = materialize(found.unionByName(_one_by_one(entries.where("hot"), length)) if hot_many else found, "passages")
 
     hits = _occurrences(base, min_words, maps, False).join(found, ["key", "ctx"])
     later = hits.where(~(F.col("id").eqNullSafe(F.col("f_id")) & (F.col("body") == F.col("f_body")) & (F.col("at") == F.col("f_at"))))
