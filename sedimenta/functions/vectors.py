@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,13 @@ def quantise(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return codes.astype(np.uint16), np.where(along > 0, norm / np.where(along > 0, along, 1), 0.0), norm**2
 
 
+def _code(bits: int) -> np.dtype:
+    return np.dtype(np.uint8 if bits <= 8 else np.uint16)
+
+
 def encode_vectors(df: DataFrame, keys: list[str], vector: str, bits: int) -> DataFrame:
-    """``keys`` with ``code``, ``factor``, ``norm2`` of each vector that isn't NULL or empty."""
+    """``keys`` with ``code``, ``factor``, ``norm2`` of each vector that isn't NULL or empty; a code takes one byte a dimension
+    up to eight bits, two beyond."""
 
     def run(batches):
         for batch in batches:
@@ -86,7 +92,7 @@ def encode_vectors(df: DataFrame, keys: list[str], vector: str, bits: int) -> Da
                 chosen = [i for i, v in enumerate(lists) if len(v) == n]
                 codes, factor, norm2 = quantise(np.array([lists[i] for i in chosen], dtype=float), bits)
                 part = batch.take(pa.array(chosen))
-                cols = [part[k] for k in keys] + [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor), pa.array(norm2)]
+                cols = [part[k] for k in keys] + [pa.array([c.tobytes() for c in codes.astype(_code(bits))], pa.binary()), pa.array(factor), pa.array(norm2)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, "code", "factor", "norm2"])
 
     base = df.where(F.size(vector) > 0).select(*keys, F.col(vector).cast("array<double>").alias("v"))
@@ -103,12 +109,10 @@ def estimated(codes: DataFrame, keys: list[str], q: list[float], bits: int, metr
         own, best, scores = float(np.dot(query, query)), [], np.zeros(0)
         half = 1 << bits - 1
         for batch in batches:
-            raw = [np.frombuffer(c, dtype=np.uint16) for c in batch["code"].to_pylist()]
-            fits = [i for i, c in enumerate(raw) if len(c) == len(query)]
-            if not fits:
+            part = batch.filter(pc.equal(pc.binary_length(batch["code"]), len(query) * _code(bits).itemsize))
+            if not part.num_rows:
                 continue
-            part = batch.take(pa.array(fits))
-            grid = np.stack([raw[i] for i in fits]) + 0.5 - half
+            grid = np.frombuffer(b"".join(part["code"].to_pylist()), dtype=_code(bits)).reshape(part.num_rows, -1) + 0.5 - half
             dot = (grid @ query) * part["factor"].to_numpy()
             now = dot if metric == "ip" else part["norm2"].to_numpy() - 2 * dot + own
             table = pa.Table.from_batches([*best, part.select(keys)])
