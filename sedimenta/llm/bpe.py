@@ -279,7 +279,7 @@ def cut(text: pa.Array, most_bytes: int) -> pa.Array:
     return pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()).cast(pa.string())
 
 
-def parts(batch: pa.RecordBatch, column: str):
+def texts_of(batch: pa.RecordBatch, column: str):
     """Texts of a batch in arrays of about PIECE bytes; longer texts are cut."""
     for part in slices(batch, column, PIECE):
         if is_long(part[column], PIECE):
@@ -372,7 +372,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             numbers, total, kept = Numbers(), np.zeros(0, np.int64), []
 
         for batch in batches:
-            for texts in parts(batch, "text"):
+            for texts in texts_of(batch, "text"):
                 p = Parted(texts)
                 keys, at, n = np.unique(p.hash, return_index=True, return_counts=True)
                 num = numbers.find(keys)
