@@ -3,7 +3,8 @@
 ``documents`` -> quality classifier -> line dedup -> MinHash near-dedup -> benchmark
 decontamination -> BPE ids. A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the
-columns of ``documents``; NULL ids, texts and empty tables are treated as the operators say.
+columns of ``documents``, further ones too, whatever their names. Each stage says what becomes of NULLs, empty
+texts and rows that repeat; an empty table stays empty in all of them, very long texts are worked on whole, in pieces.
 """
 
 from __future__ import annotations
@@ -15,27 +16,32 @@ from sedimenta.llm.common import materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier takes for good and not toxic."""
+    """Documents that the co-trained classifier takes for good and not toxic. NULL and empty texts are judged as documents without
+    words, NULL metadata is a value of its own, NULL ids are kept or not like others; rows that repeat fare alike. Without labels all stay."""
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without later occurrences of three lines in a row."""
+    """Every document, without later occurrences of three lines in a row. NULL texts and those of fewer than three lines stay as they are; one that
+    loses all lines stays with an empty text; NULL ids come last in the order; rows that repeat with id and text count as one occurrence."""
     return line_dedup.line_dedup(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least id. Rows with NULL id or text stay; empty texts equal each other; rows that
+    repeat with their id fare alike."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. NULL and empty texts stay, whatever their ids; rows that repeat fare alike;
+    items that are NULL or without words match nothing."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, input_ids, n_tokens, round_trip`` of what is left."""
+    """``doc_id, input_ids, n_tokens, round_trip`` of what is left: NULL for NULL texts, no ids for empty ones; NULL ids of documents
+    are returned as they are, rows that repeat are encoded again."""
     return bpe.encode_documents(docs)
 
 

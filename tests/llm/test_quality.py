@@ -179,6 +179,31 @@ def test_pipeline_stages(spark, sf):
     assert {k: r["input_ids"] for k, r in whole.items()} == {k: r["input_ids"] for k, r in last.items()}
 
 
+def test_pipeline_odd_rows(spark, sf):
+    """Stages keep what they say of NULLs, empty texts, repeated rows, columns with clashing names, and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string, body string, id string, near_flag string, c0 int"
+    lines = "one line\ntwo lines\nthree lines\nfour lines"
+    rows = [(1, lines), (1, lines), (2, lines), (None, lines), (3, None), (4, ""), (5, ""), (None, None), (6, "a word " * 20000)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or ""), "g", "b", "i", None, 7) for i, t in rows], schema)
+
+    def left(stage, df):
+        out = stage(spark, df, sf)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    (_, good), (_, lined), (_, near), (_, clean), (_, ids) = corpus_pipeline.STAGES
+    kept = left(good, docs)
+    assert all(kept.count(r) in (0, rows.count(r)) for r in rows)
+    cut = [(i, "" if t == lines and i != 1 else t) for i, t in rows]
+    assert left(lined, docs) == sorted(cut, key=str)
+    assert left(near, docs) == sorted([(1, lines), (1, lines), (None, lines), (3, None), (4, ""), (None, None), rows[-1]], key=str)
+    assert left(clean, docs) == sorted(rows, key=str)
+    coded = [(r["doc_id"], r["n_tokens"] is None, r["n_tokens"] == 0) for r in ids(spark, docs, sf).collect()]
+    assert sorted(coded, key=str) == sorted([(i, t is None, t == "") for i, t in rows], key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
 def test_registered():
     assert sorted(QUERIES) == sorted(f"op{n}_{name}" for n, name in ((1, "quality_classifier"), (2, "suffix_array_dedup"), (3, "exact_dedup"), (4, "bpe_encode"), (5, "minhash_near_dedup"), (6, "license_scan"), (7, "secret_scan"), (8, "decontaminate"), (9, "line_dedup"), (10, "chat_format")))
     assert set(ORACLES) < set(QUERIES)
