@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, and every other character by itself (blanks and punctuation
-    are tokens, newlines aren't); case is kept."""
-    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|."), F.lit(0))
+    are tokens, line feeds alone aren't); case is kept."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^\\n]"), F.lit(0))

@@ -60,7 +60,8 @@ class Intersects:
 @dataclass(frozen=True)
 class BM25Query:
     text: str
-    per_segment: bool = False  # document frequencies within each file instead of over the table
+    per_segment: bool = False  # document frequencies within each segment instead of over the table
+    segments: Sequence[Sequence[str]] = ()  # names of files that are one segment; any other file is one by itself
 
     kind = "bm25"
     dynamic = ("score",)
@@ -155,10 +156,10 @@ class FullText(Kind):
         terms = [r[0] for r in table.spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query.text))))).collect()]
         hits = entries.where(F.col("term").isin(*terms))
         if query.per_segment:
-            files = table.doc["files"]
-            sizes = table.spark.createDataFrame([(f["name"], f["live"]) for f in files], f"{FILE} string, n bigint")
-            df = hits.groupBy(FILE, "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(sizes) if len(files) <= FEW else sizes, FILE)
-            hits = hits.join(df, [FILE, "term"])
+            sizes = table.spark.createDataFrame(segments(table.doc["files"], query.segments), f"{FILE} string, segment string, n bigint")
+            hits = hits.join(F.broadcast(sizes) if len(table.doc["files"]) <= FEW else sizes, FILE)
+            df = hits.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df"))
+            hits = hits.join(F.broadcast(df) if len(table.doc["files"]) * len(terms) <= FEW else df, ["segment", "term"])
         else:
             df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n", F.lit(table.count()))
             hits = hits.join(F.broadcast(df) if len(terms) <= FEW else df, "term")
@@ -253,6 +254,18 @@ def as_intersects(tree) -> Intersects | None:
     return Intersects(of.nameParts().last(), bytes(area.value()))
 
 
+def segments(files: list[dict], groups: Sequence[Sequence[str]]) -> list[tuple[str, str, int]]:
+    """(file, its segment, live rows of the segment) of every file."""
+    of = {name: group[0] for group in groups for name in group}
+    if unknown := set(of) - {f["name"] for f in files}:
+        raise NotFound(f"files {sorted(unknown)}")
+    live: dict[str, int] = {}
+    for f in files:
+        segment = of.get(f["name"], f["name"])
+        live[segment] = live.get(segment, 0) + f["live"]
+    return [(f["name"], s := of.get(f["name"], f["name"]), live[s]) for f in files]
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """(file, row, term, tf, len) of every text, one row for each distinct token."""
     split = rows.where("key is not null").select(*KEYS, tokens(F.col("key")).alias("t"))

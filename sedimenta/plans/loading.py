@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.table import Table
 from ..sources.catalog import Client
@@ -32,6 +35,19 @@ def fresh_table(spark: SparkSession, sf_dir: str, name: str, **options) -> Table
     return table
 
 
+def in_parts(table: Table, rows: DataFrame, key: str, files: Sequence[int] | None = None) -> list[list[str]]:
+    """Insert rows by the remainder of ``key`` by 4, each into files of its own, by default as its tasks come, or into so many
+    of equal size; the names of each remainder's files."""
+    out, seen = [], set()
+    for i in range(4):
+        part = rows.where(F.col(key) % 4 == i)
+        table.bypass_insert(part.repartition(files[i]) if files else part)
+        names = [f["name"] for f in table.data_file_records() if f["name"] not in seen]
+        seen |= set(names)
+        out.append(names)
+    return out
+
+
 def shared_table(spark: SparkSession, sf_dir: str, name: str) -> Table:
     """One table for all queries that only read it, while its folder is there."""
     key = (spark.sparkContext.applicationId, sf_dir, name)

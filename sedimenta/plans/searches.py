@@ -8,7 +8,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..functions import geometry, vectors
 from ..operators.indexes import BM25Query, Compare, Intersects, RabitqQuery, VectorQuery
-from .loading import client, fresh_table, shared_table, source
+from .loading import client, fresh_table, in_parts, shared_table, source
 from .registry import query
 
 ORDER = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -141,10 +141,9 @@ def bm25_per_segment_idf(spark, sf_dir):
     c = client(spark)
     docs = source(spark, sf_dir, "documents")
     t = c.create_table("main", f"segments_{len(c.tables('main'))}", docs.schema)
-    for i in range(4):
-        t.bypass_insert(docs.where(F.col("doc_id") % 4 == i).coalesce(1))
+    parts = in_parts(t, docs, "doc_id")
     t.create_index("words", "bm25", ["text"])
-    found = t.search(BM25Query("the and", per_segment=True), ["doc_id"], ["score"], t.count())
+    found = t.search(BM25Query("the and", per_segment=True, segments=[p for p in parts if p]), ["doc_id"], ["score"], t.count())
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
