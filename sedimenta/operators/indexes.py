@@ -19,7 +19,7 @@ from ..errors import InvalidInput, NotFound, NotSupported
 from ..functions import geometry, vectors
 from ..functions.expressions import as_column
 from ..functions.rowid import ROW_ID
-from ..functions.text import tokens
+from ..functions.text import posting_lists, tokens
 
 FILE = "_file"
 KEYS = [FILE, ROW_ID]
@@ -104,6 +104,10 @@ class Kind:
         """Entries in the order in which they are stored, so that look-ups read few row groups."""
         return entries
 
+    def unpacked(self, entries: DataFrame) -> DataFrame:
+        """Entries with one row for each row of the table and whatever else they are keyed by."""
+        return entries
+
     def supports(self, condition) -> str | None:
         """What entries say of a filter on the key: "exact" (which rows), "inexact" (which files may have some), or None."""
         return None
@@ -146,13 +150,16 @@ class FullText(Kind):
         return postings(rows)
 
     def layout(self, entries):
-        return entries.orderBy("term", ROW_ID)
+        return entries.sortWithinPartitions("term")  # a task's texts are a file sorted by term, so nothing is shuffled
+
+    def unpacked(self, entries):
+        return entries.select(FILE, "term", F.explode("rows").alias("r")).select(FILE, f"r.{ROW_ID}", "term", "r.tf", "r.len")
 
     def search(self, table, index, query, limit):
         """BM25 of the rows that have a term of the query; only their postings are read."""
         entries = table._all_entries(index, table.doc["files"])
         if entries is None:
-            entries = postings(table._keyed(index, []))
+            entries = self.unpacked(postings(table._keyed(index, [])))
         terms = [r[0] for r in table.spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query.text))))).collect()]
         hits = entries.where(F.col("term").isin(*terms))
         if query.per_segment:
@@ -267,9 +274,8 @@ def segments(files: list[dict], groups: Sequence[Sequence[str]]) -> list[tuple[s
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """(file, row, term, tf, len) of every text, one row for each distinct token."""
-    split = rows.where("key is not null").select(*KEYS, tokens(F.col("key")).alias("t"))
-    return split.select(*KEYS, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(*KEYS, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Lists of (row id, tf, len) for each term of some texts of a file."""
+    return rows.select(*KEYS, "key").mapInArrow(posting_lists, f"{FILE} string, term string, rows array<struct<{ROW_ID}: binary, tf: int, len: int>>")
 
 
 def boxes(rows: DataFrame, dialect: str) -> DataFrame:
@@ -345,7 +351,7 @@ class IndexSet:
         parts = [p for p in index["parts"] if names & set(p["files"])]
         if not parts:
             return None
-        out = self.spark.read.parquet(*[self.storage.url(f"{self.path}/{p['path']}") for p in parts])
+        out = KINDS[index["kind"]].unpacked(self.spark.read.parquet(*[self.storage.url(f"{self.path}/{p['path']}") for p in parts]))
         if not {n for p in parts for n in p["files"]} <= names:
             out = out.where(F.col(FILE).isin(*sorted(names)))
         gone, n = self._deletes(names)
@@ -364,7 +370,7 @@ class IndexSet:
         out = self._entries(index, known) if known else None
         live = [f for f in rest if f["live"]]
         if live:
-            made = KINDS[index["kind"]].entries(self._keyed(index, live), index["params"])
+            made = KINDS[index["kind"]].unpacked(KINDS[index["kind"]].entries(self._keyed(index, live), index["params"]))
             out = made if out is None else out.unionByName(made)
         return out
 
@@ -469,7 +475,8 @@ class IndexSet:
         wanted = list(projection) if projection is not None else [f.name for f in self.fields]
         wanted = ([ROW_ID] if row_id and ROW_ID not in wanted else []) + wanted
         order = [F.col("_score").asc() if ascending else F.col("_score").desc(), F.col(ROW_ID)]
-        top = scored.orderBy(*order).limit(limit)
+        # all rows need no order before they are joined, which would bring them to one task
+        top = scored.orderBy(*order).limit(limit) if limit < self.count() or limit <= FEW else scored
         if limit <= FEW:  # few enough for the driver, which then reads their files alone
             best = top.select(*KEYS, "_score").collect()
             names, ids = {r[FILE] for r in best}, [bytes(r[ROW_ID]) for r in best]

@@ -133,7 +133,9 @@ def bm25_search(spark, sf_dir):
 @query("bm25_top10_rows", f"select doc_id, source, n_chars from documents where doc_id in (select doc_id from ({BM25.format(part='0')}))")
 def bm25_top10_rows(spark, sf_dir):
     t = indexed(spark, sf_dir, "documents", {"words": ("bm25", "text", {"avgdl": 256.0})})
-    return t.search(BM25Query("the and"), ["doc_id", "source", "n_chars"], limit=10)
+    # the last places go by rounded scores, then by key, so all that score are asked for
+    found = t.search(BM25Query("the and"), ["doc_id", "source", "n_chars"], ["score"], t.count())
+    return found.orderBy(F.round("score", 6).desc(), "doc_id").limit(10).select("doc_id", "source", "n_chars")
 
 
 @query("bm25_per_segment_idf", BM25.format(part="doc_id % 4"))

@@ -1,9 +1,15 @@
 """Queries where a table is many files, as large ones are."""
 
+import re
+
+import duckdb
+import pyarrow as pa
 import pytest
 from compare import connect, same
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sedimenta.functions import text
+from sedimenta.operators import indexes
 from sedimenta.operators.indexes import BM25Query
 from sedimenta.plans import registry
 from sedimenta.sources import catalog
@@ -29,3 +35,44 @@ def test_line_ends_are_tokens(client, spark):
     lengths = t._all_entries(t.doc["indexes"][0], t.doc["files"]).where("term = 'a'").select("len").collect()
     assert sorted(r[0] for r in lengths) == [2, 5]
     assert [r[0] for r in t.search(BM25Query("\r"), ["id"]).collect()] == [1]
+
+
+TEXTS = ["the cat and the dog", "", None, "\n\n", "a\n", "über, the naïve x \r\n 7z", "日本 and 🎉🎉", "word9" * 50, " ", "tail the"]
+
+
+def test_postings_are_the_tokens(client, spark, monkeypatch):
+    schema = StructType([StructField("id", LongType()), StructField("text", StringType())])
+    t = client.create_table("test", "posted", schema, config={"inline_row_count_limit": 4})
+    t.bypass_insert(spark.createDataFrame(list(enumerate(TEXTS)), schema).coalesce(1))
+    t.create_index("words", "bm25", ["text"])
+    want = sorted((i, w, found.count(w), len(found)) for i, s in enumerate(TEXTS) if s for found in [re.findall("[A-Za-z0-9]+|[^\n]", s)] for w in set(found))
+    entries = t._all_entries(t.doc["indexes"][0], t.doc["files"])
+    got = entries.join(t.rows(with_file=True), ["_file", "_row_id"]).select("id", "term", "tf", "len")
+    assert sorted(map(tuple, got.collect())) == want
+    for at_once in (1, 7, 40):  # texts in lots, long ones in pieces
+        monkeypatch.setattr(text, "AT_ONCE", at_once)
+        rows = pa.RecordBatch.from_arrays([pa.array(["f"] * 5 + ["g"] * 5), pa.array([bytes([i]) for i in range(10)]), pa.array(TEXTS)], names=["_file", "_row_id", "key"])
+        lists = [(p["_file"], r["_row_id"][0], p["term"], r["tf"], r["len"]) for b in text.posting_lists([rows.slice(0, 10)]) for p in b.to_pylist() for r in p["rows"]]
+        assert sorted(r[1:] for r in lists) == want and all(f == "fg"[i // 5] for f, i, *_ in lists)
+
+
+def test_postings_are_made_without_a_shuffle_and_all_rows_without_one_task(client, spark):
+    t = client.create_table("test", "spread", StructType([StructField("id", LongType()), StructField("text", StringType())]))
+    t.bypass_insert(spark.createDataFrame([(i, "the cat") for i in range(20)], t.schema))
+    t.create_index("words", "bm25", ["text"])
+    kind, index = indexes.KINDS["bm25"], t.doc["indexes"][0]
+    assert "Exchange" not in kind.layout(kind.entries(t._keyed(index, t.doc["files"]), {}))._jdf.queryExecution().executedPlan().toString()
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(indexes, "FEW", 10)
+    found = t.search(BM25Query("the"), ["id"], ["score"], 20)
+    monkey.undo()
+    assert found.count() == 20 and "Limit" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_places_by_key(spark, tmp_path):
+    rows = [(100 - i, "the cat and the dog", "en", "s", i) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("bm25_top10_rows", "bm25_search"):
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        same(registry.QUERIES[name](spark, str(tmp_path)), con, registry.ORACLES[name])
