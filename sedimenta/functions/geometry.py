@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,17 +105,63 @@ def boxes_of(values: pd.Series, dialect: str = "wkb") -> np.ndarray:
     return out
 
 
+def arrow_boxes(values: pa.Array, dialect: str = "wkb") -> np.ndarray:
+    """``boxes_of`` of an Arrow array; little-endian points are read where they lie."""
+    out = np.full((len(values), 4), np.nan)
+    valid = values.is_valid().to_numpy(zero_copy_only=False)
+    if dialect in ("wkb", "ewkb") and values.buffers()[2] is not None:
+        off = np.frombuffer(values.buffers()[1], np.int64 if pa.types.is_large_binary(values.type) else np.int32)[values.offset : values.offset + len(values) + 1]
+        own = np.flatnonzero(valid & (np.diff(off) == 21))
+        data = np.frombuffer(values.buffers()[2], np.uint8)[off[own][:, None] + np.arange(21)] if len(own) else np.zeros((0, 21), np.uint8)
+        points = (data[:, :5] == np.frombuffer(_POINT, np.uint8)).all(axis=1)
+        out[own[points]] = np.tile(np.ascontiguousarray(data[points, 5:]).view("<f8"), 2)
+        valid[own[points]] = False
+    if (rest := np.flatnonzero(valid)).size:
+        out[rest] = boxes_of(values.take(pa.array(rest)).to_pandas(), dialect)
+    return out
+
+
 def box(geometry: Column, dialect: str = "wkb") -> Column:
     """struct(xmin, ymin, xmax, ymax) of NULLs where there is no geometry."""
 
-    @F.pandas_udf(BOX)
-    def boxes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(boxes_of(batch, dialect), columns=["xmin", "ymin", "xmax", "ymax"])
+    @F.arrow_udf(BOX)
+    def boxes(values: pa.Array) -> pa.Array:
+        found = arrow_boxes(values, dialect)
+        return pa.StructArray.from_arrays([pa.array(c, mask=np.isnan(c)) for c in np.ascontiguousarray(found.T)], names=["xmin", "ymin", "xmax", "ymax"])
 
     return boxes(geometry)
 
 
+def touches(geometry: Column, area: tuple[float, float, float, float] | None, dialect: str = "wkb") -> Column:
+    """Whether a row's bounding box touches that of ``area``, inclusive; false where either is missing."""
+
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        if area is None:
+            return pa.array(np.zeros(len(values), dtype=bool))
+        b, (x0, y0, x1, y1) = arrow_boxes(values, dialect), area
+        return pa.array((b[:, 0] <= x1) & (b[:, 2] >= x0) & (b[:, 1] <= y1) & (b[:, 3] >= y0))
+
+    return test(geometry)
+
+
+def tile(x: Column, y: Column) -> Column:
+    """A number by which points that are near each other mostly sort together: the leading bits of x and y in turn, as they order doubles."""
+
+    @F.arrow_udf("bigint")
+    def interleaved(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.zeros(len(x), np.uint64)
+        for shift, values in ((1, x), (0, y)):
+            bits = (values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.uint64)
+            bits = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63)) >> np.uint64(32)
+            for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+                bits = (bits | bits << np.uint64(by)) & np.uint64(mask)
+            out |= bits << np.uint64(shift)
+        return pa.array((out ^ np.uint64(1 << 63)).view(np.int64))
+
+    return interleaved(x, y)
+
+
 def point_wkb(x: Column, y: Column) -> Column:
     """A point as little-endian WKB."""
     return _encode([(x, y)], "0101000000")
@@ -128,9 +174,17 @@ def box_wkb(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 
 
 def _encode(points: list[tuple[Column, Column]], head: str) -> Column:
-    @F.pandas_udf("binary")
-    def encode(values: pd.Series) -> pd.Series:
-        lead = bytes.fromhex(head)
-        return values.map(lambda v: None if v is None or any(x is None for x in v) else lead + struct.pack(f"<{len(v)}d", *v))
+    lead, width = np.frombuffer(bytes.fromhex(head), np.uint8), 2 * len(points)
+
+    @F.arrow_udf("binary")
+    def encode(values: pa.Array) -> pa.Array:
+        numbers = pc.list_flatten(pc.fill_null(values, pa.scalar([None] * width, values.type)))
+        missing = numbers.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        out = np.empty((len(values), len(lead) + 8 * width), np.uint8)
+        out[:, : len(lead)] = lead
+        out[:, len(lead) :] = numbers.fill_null(0).to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, width).view(np.uint8)
+        ends = np.arange(len(values) + 1, dtype=np.int32) * np.int32(out.shape[1])
+        made = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+        return pc.if_else(pa.array(missing), pa.scalar(None, pa.binary()), made) if missing.any() else made
 
     return encode(F.array(*[c.cast("double") for p in points for c in p]))

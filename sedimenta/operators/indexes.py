@@ -220,8 +220,8 @@ class RTree(Kind):
         return boxes(rows, params["dialect"]).where("xmin is not null")
 
     def layout(self, entries):
-        # tiles: a range of x for each task, and within it row groups that are ranges of y
-        return entries.repartitionByRange("xmin", ROW_ID).sortWithinPartitions("ymin")
+        # row groups are tiles of what a task has, so nothing is shuffled
+        return entries.withColumn("tile", geometry.tile(F.col("xmin"), F.col("ymin"))).sortWithinPartitions("tile").drop("tile")
 
     def supports(self, condition):
         return "exact" if isinstance(condition, Intersects) else None
@@ -447,15 +447,22 @@ class IndexSet:
                 break
         return files
 
-    def intersecting(self, files: list[dict], f: Intersects) -> DataFrame:
-        """Live rows whose box touches the geometry's, inclusive; rows without geometry never do."""
-        indexes = self._indexes("rstar", f.column)
+    def intersecting(self, files: list[dict], filters: Sequence[Intersects]) -> DataFrame:
+        """Live rows whose box touches each geometry's, inclusive; rows without geometry never do. A few hits are taken from
+        the index; many aren't joined, which would shuffle both sides: rows are tested where they are read."""
         rows = self.rows(files, with_file=True)
-        if indexes:
-            entries, params = self._all_entries(indexes[0], files), indexes[0]["params"]
-        else:
-            entries, params = boxes(rows.select(*KEYS, F.col(f"`{f.column}`").alias("key")), "wkb"), {"dialect": "wkb"}
-        return rows if entries is None else rows.join(KINDS["rstar"].matching(entries, params, f).select(*KEYS), KEYS, "left_semi")
+        for f in filters:
+            indexes = self._indexes("rstar", f.column)
+            dialect = indexes[0]["params"]["dialect"] if indexes else "wkb"
+            hits = None
+            if indexes and files and not self._split(indexes[0], files)[1]:
+                entries = self._entries(indexes[0], files)
+                hits = KINDS["rstar"].matching(entries, indexes[0]["params"], f).select(*KEYS)
+            if hits is not None and hits.limit(FEW + 1).count() <= FEW:
+                rows = rows.join(F.broadcast(hits), KEYS, "left_semi")
+            else:
+                rows = rows.where(geometry.touches(F.col(f"`{f.column}`"), geometry.bounding_box(f.geometry, dialect), dialect))
+        return rows
 
     # -- top-k search
 

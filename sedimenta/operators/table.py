@@ -189,9 +189,7 @@ class Table(IndexSet):
         if not filters and (offset or limit is not None):
             files, offset = self._paged(files, offset, limit)
         boxed = [f for f in filters if isinstance(f, Intersects)]
-        out = self.intersecting(files, boxed[0]) if boxed else self.rows(files)
-        for f in boxed[1:]:
-            out = out.join(self.intersecting(files, f).select(ROW_ID), ROW_ID, "left_semi")
+        out = self.intersecting(files, boxed) if boxed else self.rows(files)
         for f in filters:
             if not isinstance(f, Intersects):
                 out = out.where(self._condition(f.as_column() if isinstance(f, Compare) else f))

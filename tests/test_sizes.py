@@ -1,16 +1,19 @@
 """Queries where a table is many files, as large ones are."""
 
 import re
+import struct
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from compare import connect, same
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from sedimenta.functions import text
+from sedimenta.functions import geometry, text
 from sedimenta.operators import indexes
-from sedimenta.operators.indexes import BM25Query
+from sedimenta.operators.indexes import BM25Query, Intersects
 from sedimenta.plans import registry
 from sedimenta.sources import catalog
 from sedimenta.sources.catalog import Client
@@ -76,3 +79,30 @@ def test_last_places_by_key(spark, tmp_path):
         con = duckdb.connect()
         con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
         same(registry.QUERIES[name](spark, str(tmp_path)), con, registry.ORACLES[name])
+
+
+def test_many_boxes_are_neither_shuffled_nor_joined(client, spark, monkeypatch):
+    t = client.create_table("test", "placed", StructType([StructField("id", LongType()), StructField("geom", BinaryType())]), config={"inline_row_count_limit": 20})
+    x, y = F.col("id") % 10, -F.col("id") / 10.0
+    points = spark.range(100).select("id", geometry.point_wkb(F.when(F.col("id") != 7, x), y).alias("geom"))
+    t.bypass_insert(points)
+    assert [bytes(r[0]) if r[0] else None for r in points.orderBy("id").select("geom").collect()] == [struct.pack("<BIdd", 1, 1, i % 10, -i / 10) if i != 7 else None for i in range(100)]
+    t.create_index("boxes", "rstar", ["geom"])
+    kind, index = indexes.KINDS["rstar"], t.doc["indexes"][0]
+    assert "Exchange" not in kind.layout(kind.entries(t._keyed(index, t.doc["files"]), index["params"]))._jdf.queryExecution().executedPlan().toString()
+    t.delete("id = 15")
+    area, other = (struct.pack("<BIII10d", 1, 3, 1, 5, *b) for b in ((3, -5, 6, -5, 6, -1, 3, -1, 3, -5), (5, -9, 9, -9, 9, 0, 5, 0, 5, -9)))
+    for few in (indexes.FEW, 3):
+        monkeypatch.setattr(indexes, "FEW", few)
+        for filters, want in (([Intersects("geom", area)], {i for i in range(10, 51) if 3 <= i % 10 <= 6} - {15}), ([Intersects("geom", area), Intersects("geom", other)], {i for i in range(10, 51) if 5 <= i % 10 <= 6} - {15})):
+            found = t.scan(["id"], filters)
+            assert {r[0] for r in found.collect()} == want
+        assert few > 3 or "SemiJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "LeftSemi" not in plan
+
+
+def test_boxes_of_arrow_arrays():
+    point = lambda x, y, order="<": struct.pack(f"{order}BIdd", order == "<", 1, x, y)
+    line = struct.pack("<BII4d", 1, 2, 2, 0, 5, 3, -1)
+    values = pa.array([b"", point(9, 9), None, point(1, 2), line, point(3, 4, ">"), point(-0.5, 1e300)][1:], pa.binary())
+    got = geometry.arrow_boxes(values.slice(1))
+    assert np.array_equal(got, [[np.nan] * 4, [1, 2, 1, 2], [0, -1, 3, 5], [3, 4, 3, 4], [-0.5, 1e300, -0.5, 1e300]], equal_nan=True)
