@@ -8,6 +8,7 @@ that delete or rewrite at the same time, one gets a Conflict.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from ..functions.expressions import as_column
 from ..functions.rowid import ROW_ID, with_row_ids
 from ..sources.schema import aligned, from_json, logical_schema, make_field, physical_schema, to_json
 from ..sources.storage import Versioned
-from .indexes import FILE, Compare, Intersects, IndexSet
+from .indexes import FEW, FILE, Compare, Intersects, IndexSet
 
 #: Deletes up to this many rows (about 100 bytes each) are broadcast; more are shuffled.
 BROADCAST_DELETES = 100_000
@@ -186,16 +187,17 @@ class Table(IndexSet):
             raise NotFound(f"columns {missing}")
         filters = self.spatial(filters)
         files = self.pruned(self._chosen(partition), filters)
-        if not filters and (offset or limit is not None):
+        paged, apart = bool(offset) or limit is not None, False
+        if not filters and paged:
+            apart = self._apart(files) is not None
             files, offset = self._paged(files, offset, limit)
         boxed = [f for f in filters if isinstance(f, Intersects)]
         out = self.intersecting(files, boxed) if boxed else self.rows(files)
         for f in filters:
             if not isinstance(f, Intersects):
                 out = out.where(self._condition(f.as_column() if isinstance(f, Compare) else f))
-        if offset or limit is not None:
-            out = out.orderBy(ROW_ID).offset(offset)
-            out = out if limit is None else out.limit(limit)
+        if paged:
+            out = self._page(out, files if apart else None, offset, limit)
         return out.select(*[F.col(f"`{c}`") for c in wanted])
 
     def _condition(self, c: Column | str | bool) -> Column:
@@ -209,8 +211,8 @@ class Table(IndexSet):
     def _paged(self, files: list[dict], offset: int, limit: int | None) -> tuple[list[dict], int]:
         """Files that a page without filter may touch, and how much of the offset is left: by counts alone files are
         skipped whose rows come before it or after it, where files are apart in row ids."""
-        ranges = sorted((f for f in files if f["live"]), key=lambda f: f.get("ids", ["", ""]))
-        if any("ids" not in f for f in ranges) or any(a["ids"][1] >= b["ids"][0] for a, b in zip(ranges, ranges[1:])):
+        ranges = self._apart(files)
+        if ranges is None:
             return files, offset
         chosen, at = [], 0
         for f in ranges:
@@ -221,6 +223,39 @@ class Table(IndexSet):
                 at += f["live"]
         return chosen, offset - (at - sum(f["live"] for f in chosen))
 
+    @staticmethod
+    def _apart(files: list[dict]) -> list[dict] | None:
+        """Files with rows in the order of their ranges of row ids; None where these aren't known or overlap."""
+        ranges = sorted((f for f in files if f["live"]), key=lambda f: f.get("ids", ["", ""]))
+        if any("ids" not in f for f in ranges) or any(a["ids"][1] >= b["ids"][0] for a, b in zip(ranges, ranges[1:])):
+            return None
+        return ranges
+
+    def _page(self, rows: DataFrame, apart: list[dict] | None, offset: int, limit: int | None) -> DataFrame:
+        """A page of rows in the order of their ids. A limit would bring a large one to one task, so the ids where it begins and ends are
+        looked up: in its first and last file where all of ``apart`` are whole and apart, else by counts of all rows."""
+        if limit is not None and offset + limit <= FEW:
+            return rows.orderBy(ROW_ID).offset(offset).limit(limit)
+        end, total = None if limit is None else offset + limit, None
+        first = last = rows
+        before = 0
+        if apart is not None:
+            total = sum(f["live"] for f in apart)
+            if apart:
+                first, last, before = self.rows(apart[:1]), self.rows(apart[-1:]), total - apart[-1]["live"]
+        if total is not None and offset >= total:
+            return rows.where("false")
+        try:
+            low = nth_id(first, offset) if offset else b""
+            high = None if end is None or (total is not None and end >= total) else nth_id(last, end - before)
+        except InvalidInput:  # rows that share the id where the page begins or ends
+            page = rows.orderBy(ROW_ID).offset(offset)
+            return page if limit is None else page.limit(limit)
+        if low is None:
+            return rows.where("false")
+        rows = rows.where(F.col(ROW_ID) >= F.lit(low)) if low else rows
+        return (rows if high is None else rows.where(F.col(ROW_ID) < F.lit(high))).orderBy(ROW_ID)
+
     def fetch(self, ids: DataFrame, projection: Sequence[str] | None = None) -> DataFrame:
         """The rows whose ids ``ids`` holds, by a semi join over the files whose range of ids reaches those asked for."""
         out = self.rows(self._reached(ids)).join(ids.select(ROW_ID), ROW_ID, "left_semi")
@@ -428,6 +463,30 @@ class Table(IndexSet):
         self._publish(lambda doc: doc.update(fields=to_json([f for f in self.fields if f.id != gone.id])), rebase=False)
 
 
+def nth_id(rows: DataFrame, n: int) -> bytes | None:
+    """The beginning of the row id that has ``n`` before it, which none before it reaches; None if there are no more. Ids are counted by
+    their beginnings, two bytes more at a time, so no task sorts them and at most 65,537 counts come to the driver."""
+    ids = rows.select(ROW_ID)
+    ends = [r and bytes(r) for r in ids.agg(F.min(ROW_ID), F.max(ROW_ID)).first()]
+    if ends[0] is None:
+        return None
+    begin = os.path.commonprefix(ends)
+    while True:
+        some = ids.where(F.substring(ROW_ID, 1, len(begin)) == F.lit(begin)) if begin else ids
+        size = len(begin) + 2
+        for part, count in sorted((bytes(r[0]), r[1]) for r in some.groupBy(F.substring(ROW_ID, 1, size)).count().collect()):
+            if n < count:
+                break
+            n -= count
+        else:
+            return None
+        if not n:
+            return part
+        if len(part) < size:
+            raise InvalidInput(f"{count} rows of one id")
+        begin = part
+
+
 def forget(doc: dict) -> None:
     """Drop deletes and index parts of which no file is left."""
     left = {f["name"] for f in doc["files"]}

@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType
 
 from ..functions import expressions as x
 from ..operators.table import Partition
-from .loading import client, shared_table, source
+from .loading import client, in_parts, shared_table, source
 from .registry import query
 
 ORDER = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -164,18 +164,22 @@ def table_metadata(spark, sf_dir):
     return spark.createDataFrame([(sum(f["live"] for f in t.data_file_records()), t.inline_row_count())], "live bigint, inline_rows int")
 
 
-def parted(spark, sf_dir):
-    """Orders in four data files, by the key's remainder."""
+#: Rows of a file of ``parted``, about; no task writes or reads much more.
+ROWS_A_FILE = 500_000
+
+
+def parted(spark, sf_dir, balanced: bool = False):
+    """Orders in files by the key's remainder by 4, and the names of each remainder's files: as many of each, one up to ``ROWS_A_FILE``
+    rows. ``balanced``: as many files of remainders 0 and 1 together as of 2 and of 3, and one more."""
     rows, c = source(spark, sf_dir, "orders"), client(spark)
     t = c.create_table("main", f"parted_{len(c.tables('main'))}", rows.schema, config={"inline_row_count_limit": 1 << 40})
-    for i in range(4):
-        t.bypass_insert(rows.where(F.col("o_orderkey") % 4 == i).coalesce(1))
-    return t
+    many = max(-(-rows.count() // (4 * ROWS_A_FILE)), 1)
+    return t, in_parts(t, rows, "o_orderkey", [many // 2 + 1, (many + 1) // 2, many, many] if balanced else [many] * 4)
 
 
 @query("scan_pages", "select o_orderkey, o_custkey, o_totalprice from orders")
 def scan_pages(spark, sf_dir):
-    t = parted(spark, sf_dir)
+    t, _ = parted(spark, sf_dir)
     size = t.count() // 3 + 1
     out = t.scan(ORDER, offset=0, limit=size)
     for i in (1, 2):
@@ -185,26 +189,25 @@ def scan_pages(spark, sf_dir):
 
 @query("scan_parts", "select o_orderkey % 4 as part, o_orderkey, o_custkey from orders")
 def scan_parts(spark, sf_dir):
-    t = parted(spark, sf_dir)
+    t, _ = parted(spark, sf_dir)
     parts = [t.scan(["o_orderkey", "o_custkey"], partition=Partition(i, 4)).withColumn("part", F.lit(i).cast("bigint")) for i in range(4)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("scan_balanced_parts", "select greatest(o_orderkey % 4 - 1, 0) as part, o_orderkey, o_custkey from orders")
 def scan_balanced_parts(spark, sf_dir):
-    t = parted(spark, sf_dir)
+    t, _ = parted(spark, sf_dir, balanced=True)
     parts = [t.scan(["o_orderkey", "o_custkey"], partition=p).withColumn("part", F.lit(i).cast("bigint")) for i, p in enumerate(t.partitions(3))]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("scan_some_files", "select o_orderkey, o_custkey from orders where o_orderkey % 4 in (1, 3)")
 def scan_some_files(spark, sf_dir):
-    t = parted(spark, sf_dir)
-    names = [f["name"] for f in t.data_file_records()]
-    return t.scan(["o_orderkey", "o_custkey"], partition=Partition(files=(names[1], names[3])))
+    t, names = parted(spark, sf_dir)
+    return t.scan(["o_orderkey", "o_custkey"], partition=Partition(files=(*names[1], *names[3])))
 
 
 @query("count_each_part", "select o_orderkey % 4 as part, count(*) as n from orders group by 1")
 def count_each_part(spark, sf_dir):
-    counts = parted(spark, sf_dir).count([Partition(i, 4) for i in range(4)])
+    counts = parted(spark, sf_dir)[0].count([Partition(i, 4) for i in range(4)])
     return spark.createDataFrame(list(enumerate(counts)), "part bigint, n bigint")

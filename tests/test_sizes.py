@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from sedimenta.functions import geometry, text
-from sedimenta.operators import indexes
+from sedimenta.functions.rowid import ROW_ID
+from sedimenta.operators import indexes, table
 from sedimenta.operators.indexes import BM25Query, Intersects
-from sedimenta.plans import registry
+from sedimenta.plans import registry, scans
 from sedimenta.sources import catalog
 from sedimenta.sources.catalog import Client
 
@@ -106,3 +107,43 @@ def test_boxes_of_arrow_arrays():
     values = pa.array([b"", point(9, 9), None, point(1, 2), line, point(3, 4, ">"), point(-0.5, 1e300)][1:], pa.binary())
     got = geometry.arrow_boxes(values.slice(1))
     assert np.array_equal(got, [[np.nan] * 4, [1, 2, 1, 2], [0, -1, 3, 5], [3, 4, 3, 4], [-0.5, 1e300, -0.5, 1e300]], equal_nan=True)
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_large_pages_pass_no_single_task(client, spark, monkeypatch, apart):
+    monkeypatch.setattr(table, "FEW", 0)
+    t = client.create_table("test", f"pages_{apart}", StructType([StructField("id", LongType(), False)]), config={"inline_row_count_limit": 10})
+    for i in range(4):
+        t.bypass_insert(spark.range(10 * i, 10 * i + 10).coalesce(1))
+    t.delete("id in (3, 15)")
+    if not apart:
+        t.update({"id": "id + 100"}, "id % 5 = 1")  # keeps ids, so the new file reaches over the others
+    assert (t._apart(t.doc["files"]) is not None) == apart
+    ordered = [(r["id"]) for r in t.rows().orderBy(ROW_ID).collect()]
+    for offset, limit in ((0, 3), (9, 1), (8, 20), (12, 0), (37, None), (36, 5), (38, 5), (99, 1)):
+        page = t.scan(offset=offset, limit=limit)
+        assert [r[0] for r in page.collect()] == ordered[offset:][:limit]
+        assert "Limit" not in page._jdf.queryExecution().executedPlan().toString()
+    even = [i for i in ordered if i % 2 == 0]
+    assert [r[0] for r in t.scan(filters=["id % 2 = 0"], offset=5, limit=7).collect()] == even[5:12]
+    assert [r[0] for r in t.scan(filters=["id % 2 = 0"], offset=50, limit=7).collect()] == []
+
+
+def test_pages_where_rows_share_ids(client, spark, monkeypatch):
+    monkeypatch.setattr(table, "FEW", 0)
+    t = client.create_table("test", "shared_ids", StructType([StructField("id", LongType(), False)]))
+    rows = [(i, bytearray([0] * 14 + [i // 3, 0])) for i in range(12)] + [(12, bytearray(b"\x01")), (13, bytearray(b""))]
+    t.insert(spark.createDataFrame(rows, f"id long, {ROW_ID} binary"), keep_row_ids=True)
+    for offset, limit in ((0, 1), (2, 3), (4, 6), (7, 1), (13, 2)):
+        want = sorted(bytes(r[1]) for r in rows)[offset:][:limit]
+        assert [bytes(r[0]) for r in t.scan([ROW_ID], offset=offset, limit=limit, row_id=True).collect()] == want
+
+
+@pytest.mark.parametrize("name", ["scan_pages", "scan_parts", "scan_balanced_parts", "scan_some_files", "count_each_part"])
+def test_parts_of_several_files(spark, sf, monkeypatch, name):
+    for rows in (200, 130):
+        monkeypatch.setattr(scans, "ROWS_A_FILE", rows)
+        monkeypatch.setattr(table, "FEW", 10)
+        t, names = scans.parted(spark, sf)
+        assert max(f["rows"] for f in t.data_file_records()) < 2 * rows and len({len(n) for n in names}) == 1
+        same(registry.QUERIES[name](spark, sf), connect(sf), registry.ORACLES[name])
