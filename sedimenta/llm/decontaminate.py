@@ -17,6 +17,8 @@ from .texthash import Words, is_long, pieces, runs, slices
 RADIUS = 11
 BLOCKS, BITS = 4, 16  # by pigeonhole, of two fingerprints within ``radius`` one of four blocks is within radius // 4
 COMMON = 16  # a shingle of more items than this needn't be looked up for an item whose rarer ones suffice
+PROBE = 8  # fingerprints that can be compared, at least, in the time of looking up one block
+PAIRS = 1 << 18  # fingerprints that are compared at once
 PIECE = 1 << 19  # bytes of text that are worked on at once
 ITEM_BYTES = 1 << 24  # text of the items that one scan holds
 SCHEMA = "doc_id bigint, item_id bigint, start_word int, end_word int, distance int, similarity double"
@@ -84,6 +86,7 @@ class ItemIndex:
         self.size_least = {n: int(self.least[self.size == n].min()) for n in self.sizes}
         own = np.flatnonzero(self.size > 0)
         self.near_bits = flips(radius // BLOCKS)
+        self.of_size = {n: np.flatnonzero(self.size == n) for n in self.sizes}
         self.tables = []
         for b in range(BLOCKS):
             key = self.size[own] << BITS | self._block(self.print[own], b)
@@ -159,21 +162,37 @@ class ItemIndex:
         return start
 
     def near(self, size: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """(window, item, distance) of all pairs of a window and an item of its size within the radius."""
+        """(window, item, distance) of all pairs of a window and an item of its size within the radius.
+        Windows of a size that few items have are compared with each of these, which finds the same sooner."""
+        found, few = [np.zeros((0, 3), dtype=np.int64)], PROBE * BLOCKS * len(self.near_bits)
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.diff(size[order])) + 1
+        for win in np.split(order, cuts) if len(order) else ():
+            own = self.of_size.get(int(size[win[0]]), ())
+            if len(own) > few:
+                found.append(self._probed(win, size[win], prints[win]))
+            elif len(own):
+                step = max(1, PAIRS // len(own))
+                for part in (win[lo : lo + step] for lo in range(0, len(win), step)):
+                    distance = np.bitwise_count(prints[part][:, None] ^ self.print[own])
+                    w, i = np.nonzero(distance <= self.radius)
+                    found.append(np.stack([part[w], own[i], distance[w, i]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _probed(self, window: np.ndarray, size: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """near() of these windows by looking up all neighbours of their blocks; a pair may come more than once."""
         found = [np.zeros((0, 3), dtype=np.int64)]
         for b, (keys, who) in enumerate(self.tables):
             probes = ((size << BITS | self._block(prints, b))[:, None] ^ self.near_bits).reshape(-1)
             first = np.searchsorted(keys, probes, side="left")
-            hit = np.flatnonzero((first < len(keys)) & (keys[np.minimum(first, len(keys) - 1)] == probes)) if len(keys) else []
-            if not len(hit):
-                continue
+            hit = np.flatnonzero((first < len(keys)) & (keys[np.minimum(first, len(keys) - 1)] == probes))
             n = np.searchsorted(keys, probes[hit], side="right") - first[hit]
             win = np.repeat(hit // len(self.near_bits), n)
             item = who[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[hit], n)]
             distance = np.bitwise_count(prints[win] ^ self.print[item])
             ok = distance <= self.radius
-            found.append(np.stack([win[ok], item[ok], distance[ok]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            found.append(np.stack([window[win[ok]], item[ok], distance[ok]], axis=1))
+        return np.concatenate(found)
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
         k = min(self.shingle, len(h))
@@ -270,8 +289,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Windows of each item's size slide over every word of every document. Those that have enough of the benchmark's
     shingles to reach the threshold at all (the others can't, whatever their distance) get a 64-bit SimHash over their words,
-    from differences of running sums. Multi-index search over four 16-bit blocks, each within ``radius`` // 4 bits,
-    finds all items of the window's size within Hamming distance ``radius``. Passages edited more than that, or with words put in or
+    from differences of running sums. All items of the window's size within Hamming distance ``radius`` are found: by comparing
+    their fingerprints, or if many have that size by multi-index search over four 16-bit blocks, each within ``radius`` // 4 bits. Passages edited more than that, or with words put in or
     left out, are found by the shingles that they share
     with an item: for each document and item that may reach the threshold by them, the stretch with the greatest share.
     The stretch of the item's length is verified: the share of the item's
